@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import simhash_dedup
+from larder.llm import decontaminate, exact_dedup, simhash_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,3 +31,25 @@ def query(name: str, sql: str | None = None):
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every near copy that goes, with the document of its group that stays."""
     return simhash_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op2_exact_dedup",
+    """
+    WITH rows AS (SELECT text, doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text, doc_id),
+    span AS (SELECT min(doc_id) + (max(doc_id) - min(doc_id)) // 2 AS cut FROM rows),
+    won AS (SELECT *, min(doc_id) OVER (PARTITION BY text) AS kept_id FROM rows)
+    SELECT doc_id, kept_id, kept_id <= cut AS in_history,
+           copies - CASE WHEN doc_id = kept_id THEN 1 ELSE 0 END AS n_rows
+    FROM won, span WHERE doc_id <> kept_id OR copies > 1
+    """,
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeat that goes, with the document that stays and whether history held it."""
+    return exact_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op10_benchmark_decontamination")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a benchmark passage: the items, the passages, and the text without them."""
+    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
