@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import decontaminate, exact_dedup, simhash_dedup
+from larder.llm import chunk_dedup, decontaminate, exact_dedup, simhash_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,3 +53,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with a benchmark passage: the items, the passages, and the text without them."""
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_chunk_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage that goes because an earlier document has it."""
+    return chunk_dedup.repeated_passages(table(spark, sf_dir, "documents"))
