@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import chunk_dedup, decontaminate, exact_dedup, simhash_dedup
+from larder.llm import chat_format, chunk_dedup, decontaminate, exact_dedup, secret_scan, simhash_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,3 +59,38 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage that goes because an earlier document has it."""
     return chunk_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op6_chat_format",
+    """
+    WITH turns AS (
+        SELECT DISTINCT conv_id, turn, lower(trim(role)) AS role, replace(text, '<|', '< |') AS text FROM conversations
+        WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL AND text IS NOT NULL
+    ), shown AS (
+        SELECT *, '<|' || replace(role, '<|', '< |') || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown FROM turns
+    ), made AS (
+        SELECT *, count(*) OVER before AS n_context, coalesce(string_agg(shown, '') OVER before, '') || '<|assistant|>' || chr(10) AS context
+        FROM shown
+        WINDOW before AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    )
+    SELECT conv_id, turn, n_context, context, text || '<|end|>' || chr(10) AS reply, context || text || '<|end|>' || chr(10) AS example,
+           length(context) AS train_start, length(context || text || '<|end|>' || chr(10)) AS train_stop
+    FROM made WHERE role = 'assistant' AND text <> ''
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every assistant turn as an example of its own."""
+    return chat_format.examples(table(spark, sf_dir, "conversations"))
+
+
+@query("op7_secret_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret that its structure confirms."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op8_warc_revisits")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as archives, deduplicated: every record of the new archives."""
+    return warc.crawl_and_deduplicate(table(spark, sf_dir, "pages"))
