@@ -97,7 +97,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 16) -> DataFrame:
     all_ = materialize(chunks(docs), "chunks")
     shared = all_.groupBy("d0", "d1").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("most")).where("kept <> most")
     shared = materialize(shared.select("d0", "d1", "kept"), "shared-chunks")
-    gone = all_.join(fit(shared, 40), ["d0", "d1"]).where("doc_id <> kept")
+    gone = all_.join(shared.hint("shuffle_hash"), ["d0", "d1"]).where("doc_id <> kept")
     start, words = F.shiftright("place", 32), F.shiftright("place", 16).bitwiseAND(65535)
     gone = gone.select("doc_id", "kept", start.alias("start"), (start + F.col("place").bitwiseAND(65535)).alias("stop"), words.alias("words"))
     by = Window.partitionBy("doc_id").orderBy("start", "stop")
