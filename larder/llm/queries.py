@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import chat_format, chunk_dedup, decontaminate, exact_dedup, secret_scan, simhash_dedup, warc
+from larder.llm import chat_format, chunk_dedup, decontaminate, exact_dedup, language_id, packing, secret_scan, simhash_dedup, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,3 +94,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as archives, deduplicated: every record of the new archives."""
     return warc.crawl_and_deduplicate(table(spark, sf_dir, "pages"))
+
+
+@query("op4_nnls_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 2,048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language and how sure it is."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op5_nnpu_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
