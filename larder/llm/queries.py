@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from larder.llm import chat_format, chunk_dedup, decontaminate, exact_dedup, language_id, packing, secret_scan, simhash_dedup, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +113,6 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
