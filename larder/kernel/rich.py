@@ -6,11 +6,13 @@ import re
 
 from larder.kernel import vocab
 from larder.kernel.grammar import LEAD, Abort, Grammar
-from larder.kernel.measures import Measure
+from larder.kernel.measures import GLYPH_CLASS, Measure
 
 _ALLOWED = re.compile(r"[^\W_]|[\s\-—'’.\\,();#/:!]")
 _PLAIN = re.compile(r"[^\W\d_]+")
 _CONTINUES = (" the ", " to ", " together", " well", " until ", " for ")
+# A measure in prose begins with one of these; anywhere else the grammar needn't be asked.
+_BEGINS = re.compile(rf"[0-9.+(\-{GLYPH_CLASS}]|(?:an? )?(?:about|approx|around|brimming|generous|good|heap|healthy|less|round|rough|scant)|up to|at most", re.I)
 _MARK = re.compile(r"\. \Z| of\Z|\.\Z|\s+\Z")
 Chunk = tuple[str, str | None, list[Measure] | None]  # kind ("measure", "text", "ing"), text, measures
 
@@ -27,7 +29,7 @@ def _raw(s: str, addons: frozenset[str]) -> list[Chunk]:
 
     g, at = Grammar(s, addons, prose=True), 0
     while at < len(g.s):
-        got = g.list(at)
+        got = g.list(at) if _BEGINS.match(g.s, at) else None
         if got:
             rest, found = got
             if g.s.endswith(rest) and len(rest) < len(g.s) - at:
