@@ -15,6 +15,11 @@ def col(c: Col) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _const_map(d: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
 
@@ -50,13 +55,14 @@ def normalize_line(c: Col) -> Column:
     s = F.replace(col(c).cast("string"), F.lit(" "), F.lit(" "))
     for pattern, to in _PATTERNS:
         s = F.regexp_replace(s, pattern, to)
-    cut = F.regexp_replace(s, r"(?U)\s*\([^)]*\bminus\b[^)]*\)", "")
-    s = F.when(cut.rlike(f"[0-9{_GLYPHS}]"), cut).otherwise(s)
-    s = F.regexp_replace(s, rf"(?iU)\(([0-9{_GLYPHS}][^)]*?)\s+(?:in\s+)?total\)", "($1)")
-    s = _lift_dimension(s)
-    s = _lift_piece(s)
-    edged = s.contains("  ") | s.startswith(" ") | s.endswith(" ")
-    return F.when(edged, collapse_whitespace(s)).otherwise(s)
+
+    def without_minus(x: Column) -> Column:
+        cut = F.regexp_replace(x, r"(?U)\s*\([^)]*\bminus\b[^)]*\)", "")
+        return F.when(cut.rlike(f"[0-9{_GLYPHS}]"), cut).otherwise(x)
+
+    s = F.regexp_replace(let(s, without_minus), rf"(?iU)\(([0-9{_GLYPHS}][^)]*?)\s+(?:in\s+)?total\)", "($1)")
+    s = let(let(s, _lift_dimension), _lift_piece)
+    return let(s, lambda x: F.when(x.contains("  ") | x.startswith(" ") | x.endswith(" "), collapse_whitespace(x)).otherwise(x))
 
 
 def _words(s: Column) -> Column:
@@ -68,7 +74,10 @@ def _rest(w: Column, start: int) -> Column:
 
 
 def _lift_dimension(s: Column) -> Column:
-    w = _words(s)
+    return let(_words(s), lambda w: _dimension(s, w))
+
+
+def _dimension(s: Column, w: Column) -> Column:
     first, d = F.get(w, F.lit(0)), F.regexp_replace(F.get(w, F.lit(1)), r"^\(+|\)+$", "")
     counts = _one_of(F.lower(first), vocab.SPELLED_COUNTS) | first.rlike(f"^[0-9./{_GLYPHS}]+$")
     shape = d.rlike(rf"(?i)^[0-9{_GLYPHS}].*-(?:deep|long|tall|thick|wide)$")
@@ -76,7 +85,10 @@ def _lift_dimension(s: Column) -> Column:
 
 
 def _lift_piece(s: Column) -> Column:
-    w = _words(s)
+    return let(_words(s), lambda w: _piece(s, w))
+
+
+def _piece(s: Column, w: Column) -> Column:
     first, second, third = (F.get(w, F.lit(k)) for k in range(3))
     places = "|".join(sorted(vocab.DISTANCES, key=len, reverse=True))
     hit = first.rlike(rf"(?i)^[0-9{_GLYPHS}].*-(?:{places})(?:e?s)?$") & _one_of(F.lower(second), vocab.CONTAINERS) & third.rlike(rf"^\([0-9{_GLYPHS}]")
@@ -164,12 +176,13 @@ def two_decimals(v: Col) -> Column:
 
 def format_quantity(v: Col) -> Column:
     """1.5 as 1½, 0.1875 as 0.19: a glyph where one fits, else at most two decimals."""
-    x = col(v).cast("double")
+    return let(col(v).cast("double"), _quantity)
+
+
+def _quantity(x: Column) -> Column:
     whole = F.floor(F.abs(x))
-    part = F.abs(x) - whole
-    glyph = F.lit(None).cast("string")
-    for g, (n, d) in M.GLYPHS.items():
-        glyph = F.when(F.abs(part - n / d) < 1e-6, g).otherwise(glyph)
+    marks = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(n / d).alias("v")) for g, (n, d) in M.GLYPHS.items()])
+    glyph = F.get(F.filter(marks, lambda k: F.abs(F.abs(x) - whole - k["v"]) < 1e-6), F.lit(0))["g"]
     text = F.concat(F.when(x < 0, "-").otherwise(""), F.when(whole == 0, "").otherwise(whole.cast("string")), glyph)
     plain = F.when(x == F.floor(x), x.cast("decimal(38,0)").cast("string")).otherwise(two_decimals(x))
     return F.coalesce(text, plain)
@@ -182,7 +195,10 @@ def unit_label(m: Col) -> Column:
 
 
 def display_measure(m: Col) -> Column:
-    d = denormalize_measure(m)
+    return let(denormalize_measure(m), _displayed)
+
+
+def _displayed(d: Column) -> Column:
     upper = F.coalesce(d["upper_value"], F.lit(0.0))
 
     def body(write):
