@@ -1,6 +1,7 @@
 """Toxicity: non-negative positive-unlabelled learning (nnPU, Kiryo et al., 2017).
 
-Texts are TF-IDF vectors of hashed words; document frequencies are counted over all documents. Classifiers are trained by numpy
+Texts are TF-IDF vectors of hashed words and of the 4- and 5-grams inside them; document frequencies are counted over all documents.
+A classifier looks at the `telling` features that set confirmed examples apart most in its sample. Classifiers are trained by numpy
 from confirmed toxic examples and unlabelled documents with the risk
     prior x E_toxic[loss(+)] + max(0, E_unlabelled[loss(-)] - prior x E_toxic[loss(-)])
 under the logistic loss; the class prior is the toxic share of all labelled rows, or a parameter. The sample has at most about
@@ -20,12 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.features import document_frequencies, idf, products, take, tfidf, vectors, words
+from larder.llm.features import document_frequencies, flagged, idf, label_frequencies, products, take, telling, tfidf, vectors, word_parts
 from larder.llm.tables import fit as fitted
 from larder.llm.textual import slices
-from larder.runtime import ship
+from larder.runtime import forget, materialize, ship
 
-BITS, FOLDS, POSITIVES, UNLABELLED = 18, 3, 4000, 12000
+BITS, FOLDS, POSITIVES, UNLABELLED, TELLING = 18, 3, 4000, 12000, 1024
 OUT = "doc_id bigint, score double, toxic boolean"
 
 
@@ -33,7 +34,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def nnpu(data, positive: np.ndarray, prior: float, epochs: int = 300, rate: float = 8.0, momentum: float = 0.9, l2: float = 2e-5, beta: float = 0.0, gamma: float = 1.0) -> tuple[np.ndarray, float]:
+def nnpu(data, positive: np.ndarray, prior: float, epochs: int = 150, rate: float = 12.0, momentum: float = 0.9, l2: float = 1e-5, beta: float = 0.0, gamma: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights over the sample's features and the bias that minimise the non-negative risk, by gradient descent."""
     at, feature, value = data
     size = int(feature.max()) + 1 if len(feature) else 1
@@ -56,14 +57,14 @@ def nnpu(data, positive: np.ndarray, prior: float, epochs: int = 300, rate: floa
     return w, float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED, least_df: int = 5):
+def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED, most: int = TELLING, least_df: int = 5):
     """(idf, [(weights, bias)]) or None where no document is confirmed toxic."""
     marked = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     n, bad = marked.agg(F.count("*"), F.sum("toxic")).first()
     if not bad:
         return None
     prior = prior if prior is not None else min(0.9, bad / n)
-    df, total = document_frequencies(docs, words, BITS)
+    df, total = document_frequencies(docs, word_parts, BITS)
     weight = idf(df, total)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("text <> ''")
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003
@@ -71,19 +72,32 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positi
     fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")
     picked = rows.where(draw < min(1.0, positives / bad)).join(fitted(toxic, 16), "id", "left_semi").select((fold + FOLDS).alias("label"), "text")
     others = rows.where(draw < min(1.0, unlabelled / max(total, 1))).select(fold.alias("label"), "text")
-    label, at, feature, value = vectors(picked.union(others), words, BITS, weight)
-    part, y = np.array(label, np.int64) % FOLDS, np.array(label, np.int64) >= FOLDS
-    if not y.any():
+    sample = materialize(picked.union(others), "toxicity-sample")
+    df, n_of = label_frequencies(sample, word_parts, BITS, 2 * FOLDS)
+    if not n_of[FOLDS:].any():
         return None
-    kept = np.bincount(feature, minlength=1 << BITS) >= min(least_df, len(y))  # a feature of a few rows is noise to a classifier
-    value = np.where(kept[feature], value, 0).astype(np.float32)
-    out = []
+    chosen, shown = [], np.zeros(1 << BITS, bool)
     for k in range(FOLDS):
-        use = np.flatnonzero(part != k)
-        if not y[use].any():
-            use = np.arange(len(y))
-        w, bias = nnpu(take(at, feature, value, use), y[use], prior)
-        out.append((np.pad(w, (0, (1 << BITS) - len(w))).astype(np.float32), bias))
+        use = [i for i in range(FOLDS) if i != k]
+        use = use if n_of[[FOLDS + i for i in use]].any() else list(range(FOLDS))
+        bad_ones = [FOLDS + i for i in use]
+        p, u, n_p, n_u = df[bad_ones].sum(0), df[use].sum(0), int(n_of[bad_ones].sum()), int(n_of[use].sum())
+        chosen.append((use, telling(p, n_p, u, n_u, most, min(least_df, n_p))))
+        shown[chosen[-1][1]] = True
+    label, at, feature, value = vectors(sample, word_parts, BITS, weight, shown)
+    forget(sample)
+    part, y = np.array(label, np.int64) % FOLDS, np.array(label, np.int64) >= FOLDS
+    out = []
+    for use, features in chosen:
+        rows = np.flatnonzero(np.isin(part, use))
+        rows = rows[np.lexsort((value[np.minimum(at[rows], len(value) - 1)] if len(value) else rows, np.diff(at)[rows], y[rows]))]  # in one order whatever the tasks' order
+        place = np.full(1 << BITS, -1)
+        place[features] = np.arange(len(features))
+        a, f, v = flagged(*take(at, feature, value, rows), place >= 0)
+        w, bias = nnpu((a, place[f], v), y[rows], prior)
+        full = np.zeros(1 << BITS, np.float32)
+        full[features[: len(w)]] = w[: len(features)]
+        out.append((full, bias))
     return weight, out
 
 
@@ -96,9 +110,11 @@ def _scores(texts: pa.Array, model) -> np.ndarray:
     if model is None:
         return np.zeros(len(texts))
     weight, members = model
-    at, feature, value = tfidf(words(texts, BITS), weight)
+    counted = word_parts(texts, BITS)
+    some = np.diff(counted[0]) > 0
+    at, feature, value = flagged(*tfidf(counted, weight), np.any([w != 0 for w, _ in members], axis=0))
     z = products(at, feature, value, np.stack([w for w, _ in members], 1)) + np.array([b for _, b in members])
-    return np.where(np.diff(at) > 0, sigmoid(z[np.arange(len(texts)), folds(texts)]), 0.0)
+    return np.where(some, sigmoid(z[np.arange(len(texts)), folds(texts)]), 0.0)
 
 
 def score(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> DataFrame:
