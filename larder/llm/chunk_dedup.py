@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.tables import fit
+from larder.llm.tables import fit, free
 from larder.llm.textual import bytes_of, slices
 from larder.runtime import materialize, ship
 
@@ -111,14 +111,15 @@ def repeated_passages(docs: DataFrame, min_words: int = 16) -> DataFrame:
 
 def drop_passages(docs: DataFrame, min_words: int = 16) -> DataFrame:
     """The documents without the passages that stay elsewhere, with all their columns; n_chars follows an altered text."""
-    spans = repeated_passages(docs, min_words).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__larder_spans"))
-    spans = materialize(spans.withColumnRenamed("doc_id", "__larder_id"), "passages")
+    (of, name), columns = free(docs, "__larder_id", "__larder_spans"), docs.columns
+    spans = repeated_passages(docs, min_words).groupBy(F.col("doc_id").alias(of)).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(name))
+    spans = materialize(spans, "passages")
     counted = [f.name for f in docs.schema if f.name == "n_chars" and isinstance(f.dataType, (T.IntegerType, T.LongType))]
 
     def cut(batches):
         for batch in batches:
             j = batch.schema.get_field_index("text")
-            spans = batch.column(batch.schema.get_field_index("__larder_spans"))
+            spans = batch.column(batch.schema.get_field_index(name))
             mask = pc.is_valid(spans)
             made = []
             for text, holes in zip(batch.column(j).filter(mask).to_pylist(), spans.filter(mask).to_pylist()):
@@ -127,10 +128,10 @@ def drop_passages(docs: DataFrame, min_words: int = 16) -> DataFrame:
                     kept.append(text[at : h["start"]])
                     at = max(at, h["stop"])
                 made.append("".join([*kept, text[at:]]))
-            for name, new in [("text", made), *((c, [len(t) for t in made]) for c in counted)]:
-                k = batch.schema.get_field_index(name)
+            for c, new in [("text", made), *((c, [len(t) for t in made]) for c in counted)]:
+                k = batch.schema.get_field_index(c)
                 batch = batch.set_column(k, batch.schema.field(k), pc.replace_with_mask(batch.column(k), mask, pa.array(new, batch.column(k).type)))
-            yield batch.select(docs.columns)
+            yield batch.select(columns)
 
-    joined = docs.join(fit(spans, 64), F.col("doc_id").cast("bigint") == F.col("__larder_id"), "left").drop("__larder_id")
+    joined = docs.join(fit(spans, 64), F.col("doc_id").cast("bigint") == F.col(of), "left").drop(of)
     return joined.mapInArrow(cut, docs.schema)

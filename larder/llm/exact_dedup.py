@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.tables import fit
+from larder.llm.tables import fit, free
 from larder.llm.textual import mix
 from larder.runtime import materialize, ship
 
@@ -167,15 +167,16 @@ def repeats(docs: DataFrame, history_until: int | None = None) -> DataFrame:
 
 def drop_repeats(docs: DataFrame, history_until: int | None = None) -> DataFrame:
     """The documents with one row of each text, with all its columns."""
+    key, digest, of, kept, n = free(docs, "__larder_key", "__larder_digest", "__larder_id", "__larder_stays", "__larder_n")
     found = lookups(docs, history_until)
     stays = F.col("doc_id").eqNullSafe(F.col("winner"))
-    gone = materialize(found.where(~stays | (F.col("copies") > 1)).select(F.col("digest").alias("__larder_digest"), F.col("doc_id").alias("__larder_id"), stays.alias("__larder_stays")), "repeats")
-    keyed = docs.withColumn("__larder_key", F.unhex(F.sha2(F.col("text").cast("string"), 256)))
-    same = (F.col("__larder_key") == F.col("__larder_digest")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__larder_id"))
+    gone = materialize(found.where(~stays | (F.col("copies") > 1)).select(F.col("digest").alias(digest), F.col("doc_id").alias(of), stays.alias(kept)), "repeats")
+    keyed = docs.withColumn(key, F.unhex(F.sha2(F.col("text").cast("string"), 256)))
+    same = (F.col(key) == F.col(digest)) & F.col("doc_id").cast("bigint").eqNullSafe(F.col(of))
     out = keyed.join(fit(gone, 56), same, "left_anti")
-    double = gone.where("__larder_stays")
+    double = gone.where(F.col(kept))
     if not double.isEmpty():  # rows with the same doc_id and text: one of them stays
         one = keyed.join(double, same, "left_semi")
-        first = Window.partitionBy("__larder_key", "doc_id").orderBy(F.lit(1))
-        out = out.union(one.withColumn("__larder_n", F.row_number().over(first)).where("__larder_n = 1").drop("__larder_n"))
-    return out.drop("__larder_key")
+        first = Window.partitionBy(key, "doc_id").orderBy(F.lit(1))
+        out = out.union(one.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(n))
+    return out.drop(key)

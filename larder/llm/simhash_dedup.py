@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.components import components
-from larder.llm.tables import fit
+from larder.llm.tables import fit, free
 from larder.llm.textual import distinct, mix, ngram_hashes, slices, word_hashes
 from larder.runtime import materialize, ship
 
@@ -282,5 +282,6 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, miss: float = 0.08) -> Da
 
 def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The documents without the near copies: one document of each group stays, with all its columns."""
-    gone = materialize(near_groups(docs, radius).select(F.col("doc_id").alias("__larder_gone")), "near-copies")
-    return docs.join(fit(gone, 16), F.col("doc_id").cast("bigint") == F.col("__larder_gone"), "left_anti")
+    (name,) = free(docs, "__larder_gone")
+    gone = materialize(near_groups(docs, radius).select(F.col("doc_id").alias(name)), "near-copies")
+    return docs.join(fit(gone, 16), F.col("doc_id").cast("bigint") == F.col(name), "left_anti")

@@ -14,3 +14,13 @@ def fit(side: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     Beyond the limit both sides are shuffled on the key, and the large side isn't sorted.
     """
     return F.broadcast(side) if side.count() * row_bytes <= limit else side.hint("shuffle_hash")
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of the table has it, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
