@@ -606,7 +606,8 @@ def _surplus(text: str, at: int) -> bool:
 
 def usage(name: str, modifier: str | None = None, line: str | None = None, section: str | None = None) -> str:
     texts = [t.lower() for t in (modifier, line, name) if t is not None]
-    for kind, phrases in vocab.USAGE_RULES:
+    texts = [t for t in texts if "for " in t or "to taste" in t]  # what every phrase begins with
+    for kind, phrases in vocab.USAGE_RULES if texts else ():
         for t in texts:
             for p in phrases:
                 at = _phrase_at(t, p)
