@@ -107,6 +107,30 @@ def passes(line: Column | str) -> Column:
     return arrow_function(_passes, pa.list_(pa.string()), "array<string>")(_text(line))
 
 
+def trace_spans(line: Column | str) -> Column:
+    """array<struct<span_id, parent_id, stage, name>>: the line's parse as span 0, and under it each pass that left a mark, in order."""
+    from larder.kernel.line import stage_names
+
+    stage = F.create_map(*[F.lit(x) for s, p in stage_names() for x in (p, s)])
+    kind = "struct<span_id:int,parent_id:int,stage:string,name:string>"
+    root = F.struct(F.lit(0), F.lit(None).cast("int"), F.lit("line"), F.lit("parse_line")).cast(kind)
+    steps = F.transform(passes(line), lambda p, i: F.struct(i + 1, F.lit(0), F.element_at(stage, p), p).cast(kind))
+    return F.concat(F.array(root), steps)
+
+
+def trace_json(line: Column | str) -> Column:
+    """The spans of a line as JSON of the form that span viewers read: traces, their spans, and references from child to parent."""
+    trace = F.substring(F.sha2(_text(line), 256), 1, 32)
+    name = lambda n: F.lpad(F.hex(n), 16, "0")
+
+    def span(s: Column) -> Column:
+        up = F.struct(F.lit("CHILD_OF").alias("refType"), trace.alias("traceID"), name(s["parent_id"]).alias("spanID"))
+        refs = F.when(s["parent_id"].isNotNull(), F.array(up)).otherwise(F.array().cast("array<struct<refType:string,traceID:string,spanID:string>>"))
+        return F.struct(trace.alias("traceID"), name(s["span_id"]).alias("spanID"), s["name"].alias("operationName"), refs.alias("references"))
+
+    return F.to_json(F.struct(F.array(F.struct(trace.alias("traceID"), F.transform(trace_spans(line), span).alias("spans"))).alias("data")))
+
+
 def clauses(text: Column | str) -> Column:
     """CLAUSES of what follows a line's amounts."""
     return arrow_function(explain_clauses, _CLAUSES, T.CLAUSES)(_text(text))

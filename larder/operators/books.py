@@ -76,10 +76,10 @@ def window_chunks(lines: DataFrame, budget: int = K.BUDGET, slack: int = K.SLACK
 
 def mock_extract(chunks: DataFrame, rules: DataFrame) -> DataFrame:
     """A deterministic extractor: (book, chunk_idx, recipes) by rules (rule_idx, needle, recipes); the first rule whose needle a chunk's
-    text holds or whose needle is its hint. Rules are few and broadcast."""
+    text holds or whose needle is its hint. Whether the rules are broadcast is left to their size."""
     hit = F.contains(chunks["text"], rules["needle"]) | (chunks["title_hint"] == rules["needle"])
     w = Window.partitionBy("book", "chunk_idx").orderBy("rule_idx")
-    return chunks.join(F.broadcast(rules), hit).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "needle", "rule_idx")
+    return chunks.join(rules, hit).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "needle", "rule_idx")
 
 
 def assemble(extracted: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """(model, cost_usd) of token counts (model, input_tokens, output_tokens, cache_write_tokens, cache_read_tokens) by the price whose
     key is the longest that the model's name holds; null without one. Writing to a cache costs 1.25 times, reading 0.1 times an input token."""
     total = usage.groupBy("model").agg(*(F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cache_write_tokens", "cache_read_tokens")))
-    hit = total.join(F.broadcast(prices), F.contains(F.lower(total["model"]), prices["key"]), "left")
+    hit = total.join(prices, F.contains(F.lower(total["model"]), prices["key"]), "left")
     best = hit.withColumn("__n", F.row_number().over(Window.partitionBy("model").orderBy(F.length("key").desc_nulls_last(), "key"))).where("__n = 1")
     tokens = F.col("input_tokens") + F.col("cache_write_tokens") * 1.25 + F.col("cache_read_tokens") * 0.1
     return best.select("model", ((tokens * F.col("input_price") + F.col("output_tokens") * F.col("output_price")) / 1e6).alias("cost_usd"))

@@ -628,6 +628,12 @@ def _(spark, sf_dir):
     return made.where("n_lines > 0")
 
 
+@query("trace_spans", "{BASE}, s AS (SELECT unnest([0, 1]) AS span_id FROM t) SELECT CAST(span_id AS BIGINT) AS span_id, CASE WHEN span_id = 0 THEN 'line' ELSE 'refine' END AS stage, CASE WHEN span_id = 0 THEN 'parse_line' ELSE 'extract_adjectives_from_name' END AS name, count(*) AS n_rows FROM s GROUP BY 1, 2, 3")
+def _(spark, sf_dir):
+    spans = base(spark, sf_dir).select(F.explode(P.trace_spans(text("@n", " cups chopped ", "@name"))).alias("s"))
+    return counted(spans, F.col("s.span_id").cast("bigint").alias("span_id"), F.col("s.stage").alias("stage"), F.col("s.name").alias("name"))
+
+
 @query("unfired_passes", "SELECT CAST(28 AS BIGINT) AS n_passes")
 def _(spark, sf_dir):
     return corpus.unfired(base(spark, sf_dir).select(text("@n", " cups chopped ", "@name").alias("line"))).agg(F.count("*").alias("n_passes"))

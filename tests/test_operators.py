@@ -50,6 +50,16 @@ def test_sql_functions(spark):
     assert tuple(r) == ("oats", 3.0, 1, "$")
 
 
+def test_traces(spark):
+    import json
+
+    r = spark.createDataFrame([("2 large eggs",), (None,)], "t string").select(P.trace_spans("t").alias("s"), P.trace_json("t").alias("j")).collect()
+    assert [tuple(x) for x in r[0]["s"]] == [(0, None, "line", "parse_line"), (1, 0, "refine", "extract_size_unit_from_name")]
+    spans = json.loads(r[0]["j"])["data"][0]["spans"]
+    assert spans[1]["references"][0]["spanID"] == spans[0]["spanID"] and spans[0]["references"] == []
+    assert r[1]["s"] is None
+
+
 def test_sums(spark):
     rows = spark.createDataFrame([("a", "kg", 1.0, None), ("a", "g", 500.0, None), ("a", "cup", 1.0, 2.0), ("b", "g", None, None)], "k string, u string, v double, w double").select("k", N.make_measure("u", "v", "w").alias("measure"))
     got = {(r["k"], r["kind"]): tuple(r["total"]) for r in measures.sum_measures(rows, ["k"]).collect()}
