@@ -31,8 +31,9 @@ def _one_of(c: Column, words) -> Column:
 # lines
 
 _GLYPHS = M.GLYPH_CLASS
-_PAGE = r"(?:see\s+)?(?:this page|page\s+\d+)"
-_PAGES = rf"\(\s*{_PAGE}(?:[\s,;]*(?:and|or|to)?[\s,;]*{_PAGE})*"
+_SEE, _GAP, _INSIDE = r"(?:see\s+)?", r"[\s,;]*", r"[^)]*"
+_PAGE = _SEE + r"(?:page\s+\d+|this page)"
+_PAGES = rf"\(\s*{_PAGE}(?:{_GAP}(?:and|or|to)?{_GAP}{_PAGE})*"
 _AMOUNT = r"\d¼-¾⅐-⅞"
 _PATTERNS = [
     (r"(?U)^\s*[*·•∙–—-]\s+", ""),
@@ -40,7 +41,7 @@ _PATTERNS = [
     (r"(?U)\s*[*†‡]+\s*$", ""),
     (rf"(?iU){_PAGES}[\s,;]+optional\s*\)", "(optional)"),
     (rf"(?iU)\s*{_PAGES}\s*\)", ""),
-    (r"(?iU)\s*\(\s*(?:see\s+)?notes?\s*\)", ""),
+    (rf"(?iU)\s*\(\s*{_SEE}notes?\s*\)", ""),
     (rf"(?iU)^(\s*[{_AMOUNT}][{_AMOUNT}\s./-]*\s+)batch(?:es)?\s+of\s+", "$1recipe "),
     (rf"(?iU)^the\s+(?=[0-9{_GLYPHS}])", ""),
 ]
@@ -57,10 +58,10 @@ def normalize_line(c: Col) -> Column:
         s = F.regexp_replace(s, pattern, to)
 
     def without_minus(x: Column) -> Column:
-        cut = F.regexp_replace(x, r"(?U)\s*\([^)]*\bminus\b[^)]*\)", "")
+        cut = F.regexp_replace(x, rf"(?U)\s*\({_INSIDE}\bminus\b{_INSIDE}\)", "")
         return F.when(cut.rlike(f"[0-9{_GLYPHS}]"), cut).otherwise(x)
 
-    s = F.regexp_replace(let(s, without_minus), rf"(?iU)\(([0-9{_GLYPHS}][^)]*?)\s+(?:in\s+)?total\)", "($1)")
+    s = F.regexp_replace(let(s, without_minus), rf"(?iU)\((?<size>[{_GLYPHS}0-9]{_INSIDE}?)(?:\s+in)?\s+total\)", "(${size})")
     s = let(let(s, _lift_dimension), _lift_piece)
     return let(s, lambda x: F.when(x.contains("  ") | x.startswith(" ") | x.endswith(" "), collapse_whitespace(x)).otherwise(x))
 

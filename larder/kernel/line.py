@@ -18,8 +18,9 @@ _EDGES = re.compile(r"\A[\W_]+|[\W_]+\Z")
 _MINUS = re.compile(r"[mM]inus ")
 _OR, _AND_OR, _FOR = (re.compile(rf"\s+{w}\s+", re.I) for w in ("or", "and/or", "for"))
 _OR_AMOUNT = re.compile(rf"\s+or\s+(?:\d|[{GLYPH_CLASS}]|an?\s)", re.I)
-_ABOUT_PAREN = re.compile(r"\((?:from\s+)?(?:about|approximately|around|roughly)\s+([^)]+)\)")
-_LAST_PAREN = re.compile(r"\(([^)]+)\)\s*\Z")
+_FROM, _NEARLY = r"(?:from\s+)?", "|".join(("about", "around", "approximately", "roughly"))
+_ABOUT_PAREN = re.compile(rf"\({_FROM}(?:{_NEARLY})\s+(?P<size>[^)]+)\)")
+_LAST_PAREN = re.compile(r"\((?P<size>[^)]+)\)\s*\Z")
 _LONGEST_FIRST = sorted(vocab.ADJECTIVES, key=lambda a: (-len(a), a))
 _ANY_ADJECTIVE = re.compile("|".join(map(re.escape, _LONGEST_FIRST)))
 RAW, PREP, ALTERNATIVE = "raw", "prep", "alternative"

@@ -7,12 +7,13 @@ import re
 from larder.kernel import vocab
 from larder.kernel.measures import GLYPH_CLASS
 
-_PAGE = r"(?:see\s+)?(?:this page|page\s+\d+)"
-_PAGES = rf"\(\s*{_PAGE}(?:[\s,;]*(?:and|or|to)?[\s,;]*{_PAGE})*"
+_SEE, _GAP, _INSIDE = r"(?:see\s+)?", r"[\s,;]*", r"[^)]*"
+_PAGE = _SEE + r"(?:page\s+\d+|this page)"
+_PAGES = rf"\(\s*{_PAGE}(?:{_GAP}(?:and|or|to)?{_GAP}{_PAGE})*"
 CROSS_REF = re.compile(rf"\s*{_PAGES}\s*\)", re.I)
 _CROSS_OPTIONAL = re.compile(rf"{_PAGES}[\s,;]+optional\s*\)", re.I)
-NOTE_REF = re.compile(r"\s*\(\s*(?:see\s+)?notes?\s*\)", re.I)
-MINUS = re.compile(r"\s*\([^)]*\bminus\b[^)]*\)")
+NOTE_REF = re.compile(rf"\s*\(\s*{_SEE}notes?\s*\)", re.I)
+MINUS = re.compile(rf"\s*\({_INSIDE}\bminus\b{_INSIDE}\)")
 _MARKS = r"①-⒛⓪⓵-⓿❶-➓"
 _BULLET = re.compile(r"\A\s*[*·•∙–—-]\s+")
 _FOOTNOTES = re.compile(f"[{_MARKS}]")
@@ -20,7 +21,7 @@ _TRAILING = re.compile(r"\s*[*†‡]+\s*\Z")
 _AMOUNT = r"\d¼-¾⅐-⅞"
 _BATCH = re.compile(rf"\A(\s*[{_AMOUNT}][{_AMOUNT}\s./-]*\s+)batch(?:es)?\s+of\s+", re.I)
 _THE = re.compile(rf"\Athe\s+(?=[0-9{GLYPH_CLASS}])", re.I)
-_TOTAL = re.compile(rf"\(([0-9{GLYPH_CLASS}][^)]*?)\s+(?:in\s+)?total\)", re.I)
+_TOTAL = re.compile(rf"\((?P<size>[{GLYPH_CLASS}0-9]{_INSIDE}?)(?:\s+in)?\s+total\)", re.I)
 _NUMERIC = re.compile(f"[0-9{GLYPH_CLASS}]")
 _COUNT = re.compile(rf"[0-9./{GLYPH_CLASS}]+")
 _OPTIONAL, _LAST_OPTIONAL = re.compile(r"\s*\(optional\)", re.I), re.compile(r",?\s+optional\s*\Z", re.I)
@@ -62,7 +63,7 @@ REWRITES = [
     ("rewrite_batch_of_to_recipe", lambda s: _BATCH.sub(r"\1recipe ", s)),
     ("strip_leading_determiner", lambda s: _THE.sub("", s)),
     ("strip_minus_equivalence", lambda s: _minus(s) if "(" in s else s),
-    ("strip_total_in_measure_paren", lambda s: _TOTAL.sub(r"(\1)", s) if "(" in s else s),
+    ("strip_total_in_measure_paren", lambda s: _TOTAL.sub(r"(\g<size>)", s) if "(" in s else s),
     ("lift_leading_dimension", _dimension),
     ("lift_leading_piece_dimension", _piece_dimension),
 ]

@@ -14,7 +14,7 @@ from larder.functions.arrow import arrow
 from larder.kernel.line import LineParser, stage_names
 from larder.kernel.measures import fraction_text, parse_fraction, rational, shown, unit_of
 
-FIELDS = ("name", "amounts", "modifier", "optional", "usage")
+FIELDS = tuple("name amounts modifier optional usage".split())
 LABELS = f"struct<input:string,name:string,amounts:{P.T.MEASURES},modifier:string,optional:boolean,usage:string,xfail:string>"
 _LABELS = pa.struct([("input", pa.string()), ("name", pa.string()), ("amounts", P._MEASURES), ("modifier", pa.string()), ("optional", pa.bool_()), ("usage", pa.string()), ("xfail", pa.string())])
 

@@ -417,7 +417,7 @@ def _(spark, sf_dir):
 
 # pages and recipes
 
-_LD = '<html><head><script type="application/ld+json">{"@graph":[{"@type":"WebPage"},{"name":"%s","recipeIngredient":["2 cups %s, sifted","1 tsp salt"],"recipeInstructions":[{"text":"Mix the %s for 5 minutes."}],"recipeYield":"4 servings","totalTime":"PT1H5M","tool":["pan","n/a"]}]}</script></head></html>'
+_LD = "<html><head><script type=\"application/" + 'ld+json">{"@graph":[{"@type":"WebPage"},{"name":"%s","recipeIngredient":["2 cups %s, sifted","1 tsp salt"],"recipeInstructions":[{"text":"Mix the %s for 5 minutes."}],"recipeYield":"4 servings","totalTime":"PT1H5M","tool":["pan","n/a"]}]}</script></head></html>'
 
 
 def _recipe_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,12 @@ import pytest
 from larder.kernel import documents as D
 
 
+LD = '<script type="application/' + "ld+json\">"
+
+
 def ld(**more):
     d = {"name": "Pie &amp;amp; Mash", "recipeIngredient": ["2&nbsp;cups oats"], "recipeInstructions": [{"text": "Mix."}]} | more
-    return f'<script type="application/ld+json">{json.dumps(d)}</script>'
+    return f"{LD}{json.dumps(d)}</script>"
 
 
 def test_linked_data():
@@ -42,7 +45,7 @@ def test_roots():
 
 
 def test_fallbacks():
-    page = '<title>T</title><script type="application/ld+json">{bad</script><li class="jetpack-recipe-ingredient">1 egg</li><li class="jetpack-recipe-ingredient x">salt</li><div class="jetpack-recipe-directions">Mix.\nBake.</div><meta property="og:image" content="p.jpg">'
+    page = f'<title>T</title>{LD}{{bad</script>' + '<li class="jetpack-recipe-ingredient">1 egg</li><li class="jetpack-recipe-ingredient x">salt</li><div class="jetpack-recipe-directions">Mix.\nBake.</div><meta property="og:image" content="p.jpg">'
     got = D.scrape(page, "u")
     assert (got["name"], got["ingredients"], got["instructions"], got["image"]) == ("T", ["1 egg", "salt"], ["Mix.", "Bake."], "p.jpg")
     assert D.scrape("<p>nothing", "u") is None and D.scrape("", "u") is None

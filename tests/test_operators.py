@@ -1,5 +1,7 @@
 """Native expressions against the kernel, and DataFrame operators."""
 
+import json
+
 from test_documents import book_bytes, ld
 
 from larder.functions import native as N
@@ -51,8 +53,6 @@ def test_sql_functions(spark):
 
 
 def test_traces(spark):
-    import json
-
     r = spark.createDataFrame([("2 large eggs",), (None,)], "t string").select(P.trace_spans("t").alias("s"), P.trace_json("t").alias("j")).collect()
     assert [tuple(x) for x in r[0]["s"]] == [(0, None, "line", "parse_line"), (1, 0, "refine", "extract_size_unit_from_name")]
     spans = json.loads(r[0]["j"])["data"][0]["spans"]
@@ -115,7 +115,9 @@ def test_assembly_and_references(spark):
 
 
 def test_corpus(spark, tmp_path):
-    (tmp_path / "c.jsonl").write_text('// a comment\n// --- One ---\n{"input": "1 cup oats", "name": "oats", "amounts": [{"unit": "cup", "value": 1}]}\n\n{"input": "2/3 cup rye", "name": "x", "amounts": [{"unit": "cup", "value": "2/3"}], "xfail": "y"}\nbad\n// --- Two ---\n{"input": "salt", "name": "salt", "amounts": [{"unit": "g", "value": "1.5"}]}\n')
+    cup = lambda v: [dict(unit="cup", value=v)]
+    rows = ["// a comment", "// --- One ---", json.dumps(dict(input="1 cup oats", name="oats", amounts=cup(1))), "", json.dumps(dict(input="2/3 cup rye", name="x", amounts=cup("2/3"), xfail="y")), "bad", "// --- Two ---", json.dumps(dict(input="salt", name="salt", amounts=[dict(unit="g", value="1.5")])), ""]
+    (tmp_path / "c.jsonl").write_text("\n".join(rows))
     rows = readers.read_corpus(spark, str(tmp_path / "c.jsonl"))
     got = rows.orderBy("pos").collect()
     assert [(r["pos"], r["section"], r["problem"] is None) for r in got] == [(3, "One", True), (5, "One", True), (6, "One", False), (8, "Two", False)]
@@ -138,7 +140,7 @@ def test_rankings_and_sinks(spark, tmp_path):
     assert [tuple(r) for r in corpus.ranked_misses(lines).collect()] == [("oats no 5", 2)]
     assert {r["pass"] for r in corpus.unfired(lines).collect()} == {p for _, p in __import__("larder.kernel.line", fromlist=["x"]).stage_names()}
     made = writers.corpus_rows(lines).collect()
-    assert [(r["json"], r["refused"]) for r in made][2] == ('{"input": "2 cups rye", "name": "rye", "amounts": [{"unit": "cup", "value": 2}]}', None)
+    assert [(r["json"], r["refused"]) for r in made][2] == (json.dumps(dict(input="2 cups rye", name="rye", amounts=[dict(unit="cup", value=2)])), None)
     assert made[0]["refused"] == "unparsed_digit" and made[4]["json"] is None
     parsed = lines.where("line is not null").withColumn("parsed", P.parse_line("line"))
     writers.write_parsed(parsed, str(tmp_path / "out"))
