@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from larder.llm.textual import bytes_of, lowered, mix, slices, word_hashes
 from larder.runtime import ship
 
+SLICE = 1 << 19  # bytes of text whose n-grams are held at once
 Sparse = tuple[np.ndarray, np.ndarray, np.ndarray]  # first entry of each text (the end last), features, counts
 _LETTER = np.zeros(0x110000, bool)
 
@@ -93,7 +94,7 @@ def label_frequencies(rows: DataFrame, kind: Callable[[pa.Array, int], Sparse],
     def run(batches):
         df, n = np.zeros((labels, 1 << bits), np.int64), np.zeros(labels, np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 label = part.column("label").to_numpy().astype(np.int64)
                 at, feature, _ = kind(part.column("text"), bits)
                 df += np.bincount((np.repeat(label, np.diff(at)) << bits) | feature, minlength=labels << bits).reshape(labels, -1)
@@ -124,7 +125,7 @@ def document_frequencies(docs: DataFrame, kind: Callable[[pa.Array, int], Sparse
     def run(batches):
         df, n = np.zeros(1 << bits, np.int64), 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 at, feature, _ = kind(part.column("text"), bits)
                 df += np.bincount(feature, minlength=1 << bits)
                 n += int((np.diff(at) > 0).sum())
@@ -168,7 +169,7 @@ def vectors(rows: DataFrame, kind: Callable[[pa.Array, int], Sparse], bits: int,
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 weight, only = shared.value
                 at, feature, value = tfidf(kind(part.column("text"), bits), weight)
                 if only is not None:

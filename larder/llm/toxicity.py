@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.features import document_frequencies, flagged, idf, label_frequencies, products, take, telling, tfidf, vectors, word_parts
+from larder.llm.features import SLICE, document_frequencies, flagged, idf, label_frequencies, products, take, telling, tfidf, vectors, word_parts
 from larder.llm.tables import fit as fitted
 from larder.llm.textual import slices
 from larder.runtime import forget, materialize, ship
@@ -125,7 +125,7 @@ def score(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Dat
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 s = _scores(part.column("text"), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array(s > 0.5)], ["doc_id", "score", "toxic"])
 
@@ -140,7 +140,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, prior: float | None = None) -
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 yield part.filter(pa.array(_scores(part.column("text"), shared.value) <= 0.5))
 
     return docs.mapInArrow(run, docs.schema)
