@@ -1,12 +1,15 @@
 """Near duplicates: SimHash signatures searched by navigable small-world graphs over Hamming distance.
 
 Every document with a word gets a 256-bit SimHash of its distinct word pairs (of its one word, if it has one). Equal
-signatures are folded into one node. Each node goes to several shards, one for each block of signature bits, so that two
-signatures within the radius meet in at least one shard with a chance of 1 - `miss` at the radius itself and more below it.
-A shard builds a navigable small-world graph of its nodes, and every node queries it with a beam that doubles as long as
-it is full of partners; when the beam reaches `beam_most`, an exact scan of the shard takes over, so no partner is capped.
-A shard's recall is audited against an exact search of a spread of its queries; a shard under `recall` is searched
-exactly instead. Edges are verified by the exact distance over all 256 bits and unioned over the whole corpus.
+signatures are folded into one node. The nodes are partitioned by a hash of the signature alone, and every node is a query
+to every shard, its own and all others: a task holds one shard and reads the others from the shared folder one by one, so
+that no two signatures are left uncompared. Of two shards one asks the other, as distance is symmetric.
+A shard builds a navigable small-world graph of its nodes and answers with a beam that doubles as long as it is full of
+partners; when the beam reaches `beam_most`, an exact scan of the shard takes over, so no partner is capped. A shard is
+audited by queries planted at exactly the radius from its nodes, one partner to be found by each, so that no group weighs
+more than another; under `recall` the beam is doubled, and beyond `beam_most` the shard answers all by exact scans. Edges
+are verified by the exact distance over all 256 bits and unioned over the whole corpus. Work grows with the square of the
+nodes.
 
 Defined results: null doc_id, null text, and texts without words are near copies of nothing. Rows that share a doc_id
 are one document: they fall into one group and stay or go together. Of each group the least doc_id stays. Other columns,
@@ -15,17 +18,17 @@ whatever their names, aren't looked at. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.components import components
 from larder.llm.tables import fit, free
 from larder.llm.textual import distinct, mix, ngram_hashes, slices, word_hashes
-from larder.runtime import materialize, ship
+from larder.runtime import materialize, scratch_path, ship
 
 BITS = 256
 RADIUS = 54  # of 256 bits: word-pair sets of a Jaccard similarity near 0.65 at the edge
@@ -70,23 +73,9 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.where("doc_id is not null and text is not null").mapInArrow(_sign, "doc_id bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
 
 
-def plan(nodes: int, radius: int = RADIUS, miss: float = 0.08, shard: int = 1 << 12) -> tuple[int, int]:
-    """Bits of a shard's key and number of blocks: shards of about `shard` nodes, and a chance of `miss` to meet in none."""
-    width = max(3, math.ceil(math.log2(max(nodes, 1) / shard)))
-    meet = (1 - radius / BITS) ** width
-    return width, max(1, math.ceil(math.log(miss) / math.log(1 - meet)))
-
-
-def shard_keys(width: int, blocks: int):
-    """Column: the shards of a signature, block number in the upper part and the block's bits in the lower."""
-    keys = []
-    for j in range(blocks):
-        word, slot = j % 4, j // 4
-        lap, place = divmod(slot * width, 64 - width + 1)
-        start = (place + lap) % (64 - width + 1)
-        bits = F.shiftrightunsigned(F.col(_S[word]), start).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
-        keys.append(bits + F.lit(j << 32).cast("bigint"))
-    return F.array(*keys)
+def shards_of(nodes: int, most: int = 1 << 16, least: int = 1 << 12, tasks: int = 12) -> int:
+    """Number of shards: of `most` nodes at the most, and `tasks` of them unless they had fewer than `least`."""
+    return max(1, -(-nodes // most), min(tasks, nodes // least))
 
 
 def distances(sig: np.ndarray, query: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -97,18 +86,26 @@ def distances(sig: np.ndarray, query: np.ndarray, ids: np.ndarray) -> np.ndarray
     return d
 
 
-def exact(sig: np.ndarray, rows: np.ndarray, size: int, radius: int):
-    """All (row, other) within the radius, other among the first `size` nodes, by a scan; the first 128 bits rule most out."""
-    step = max(1, (1 << 20) // max(1, size))
-    for lo in range(0, len(rows), step):
-        part = rows[lo : lo + step]
-        d = np.bitwise_count(sig[part, 0][:, None] ^ sig[None, :size, 0])
-        d += np.bitwise_count(sig[part, 1][:, None] ^ sig[None, :size, 1])
+def scan(sig: np.ndarray, query: np.ndarray, radius: int):
+    """All (query row, node) within the radius, by comparing every pair; the first 192 bits rule most out."""
+    n, cols = len(sig), [np.ascontiguousarray(sig[:, k]) for k in range(4)]
+    step = max(1, (1 << 16) // max(1, n))
+    for lo in range(0, len(query), step):
+        q = query[lo : lo + step]
+        d = np.bitwise_count(q[:, 0:1] ^ cols[0])
+        d += np.bitwise_count(q[:, 1:2] ^ cols[1])
+        d += np.bitwise_count(q[:, 2:3] ^ cols[2])
         at = np.flatnonzero(d.ravel() <= radius)
-        q, o = part[at // size], at % size
-        far = d.ravel()[at] + np.bitwise_count(sig[q, 2] ^ sig[o, 2]).astype(np.int64) + np.bitwise_count(sig[q, 3] ^ sig[o, 3])
-        keep = (far <= radius) & (q != o)
-        yield q[keep], o[keep]
+        row, o = np.divmod(at, max(1, n))
+        keep = d.ravel()[at].astype(np.int64) + np.bitwise_count(q[row, 3] ^ cols[3][o]) <= radius
+        yield row[keep] + lo, o[keep]
+
+
+def exact(sig: np.ndarray, rows: np.ndarray, size: int, radius: int):
+    """All (row, other) within the radius, other among the first `size` nodes, by a scan."""
+    for q, o in scan(sig[:size], sig[rows], radius):
+        keep = rows[q] != o
+        yield rows[q[keep]], o[keep]
 
 
 def _joined(parts) -> tuple[np.ndarray, np.ndarray]:
@@ -163,13 +160,13 @@ class SmallWorld:
         self.links[to[keep], self.LINKS + rank[keep]] = by[keep]
         self.back_d[to[keep], rank[keep]] = dist[keep]
 
-    def search(self, rows: np.ndarray, beam: int) -> np.ndarray:
-        """The nearest found among the nodes so far, sorted, packed as distance, node, expanded; FAR where none."""
-        out, size = np.full((len(rows), beam), self.FAR, np.int64), self.size
+    def search(self, query: np.ndarray, beam: int) -> np.ndarray:
+        """The nearest found among the nodes so far to each signature, sorted, packed as distance, node, expanded; FAR where none."""
+        out, size = np.full((len(query), beam), self.FAR, np.int64), self.size
         step = max(64, min(1024, (1 << 24) // max(size, 1)))
         entry = np.linspace(0, size - 1, min(size, 16)).astype(np.int64)
-        for lo in range(0, len(rows), step):
-            q = self.sig[rows[lo : lo + step]]
+        for lo in range(0, len(query), step):
+            q = query[lo : lo + step]
             live = np.arange(len(q))
             seen = np.zeros((len(q), size), bool)
             state = self._merge(out[lo : lo + step], q, live, np.broadcast_to(entry, (len(q), len(entry))), seen)
@@ -195,47 +192,88 @@ class SmallWorld:
         new[r, c] = (d << 33) | (flat.astype(np.int64) << 1)
         return np.sort(np.concatenate([state, new], 1), axis=1)[:, : state.shape[1]]
 
+    def ask(self, query: np.ndarray, radius: int, beam: int, beam_most: int, first: list | None = None):
+        """Pairs (query row, node so far) within the radius; `first` takes the first beams."""
+        left, width = np.arange(len(query)), beam
+        while len(left):
+            state = self.search(query[left], width)
+            ids, d = self.split(state)
+            if first is not None and not first:
+                first.append((state, ids, d))
+            ok = (state != self.FAR) & (d <= radius)
+            full = ok.all(1)
+            row, col = np.nonzero(ok & ~full[:, None])
+            yield left[row], ids[row, col]
+            left, width = left[full], width * 2
+            if width > beam_most:
+                for q, o in scan(self.sig[: self.size], query[left], radius):
+                    yield left[q], o
+                break
+
     def grow(self, radius: int, beam: int, beam_most: int):
         """Join the nodes after the core; yields the pairs within the radius that each batch's queries find."""
         while self.size < len(self.sig):
-            rows = np.arange(self.size, min(len(self.sig), self.size * 2, self.size + self.BATCH))
-            left, width, at = rows, beam, self.size
-            while len(left):
-                state = self.search(left, width)
-                ids, d = self.split(state)
-                if width == beam:
-                    near = np.where(state[:, : self.LINKS] == self.FAR, -1, ids[:, : self.LINKS]), d[:, : self.LINKS]
-                ok = (state != self.FAR) & (d <= radius)
-                full = ok.all(1)
-                row, col = np.nonzero(ok & ~full[:, None])
-                yield left[row], ids[row, col]
-                left, width = left[full], width * 2
-                if width > beam_most:
-                    yield from exact(self.sig, left, at, radius)
-                    break
+            at, first = self.size, []
+            rows = np.arange(at, min(len(self.sig), at * 2, at + self.BATCH))
+            for q, o in self.ask(self.sig[rows], radius, beam, beam_most, first):
+                yield rows[q], o
             for q, o in exact(self.sig[rows], np.arange(len(rows)), len(rows), radius):
                 yield q + at, o + at
-            self.join(rows, *near)
+            state, ids, d = first[0]
+            self.join(rows, np.where(state[:, : self.LINKS] == self.FAR, -1, ids[:, : self.LINKS]), d[:, : self.LINKS])
             self.size = int(rows[-1]) + 1
 
 
-def partners(sig: np.ndarray, radius: int, beam: int = 24, beam_most: int = 96, audit: int = 256, recall: float = 0.9):
+def planted(sig: np.ndarray, rows: np.ndarray, radius: int) -> np.ndarray:
+    """The signatures of the rows with `radius` bits of each turned."""
+    turn = np.random.default_rng(len(sig)).random((len(rows), BITS)).argpartition(radius, axis=1) < radius
+    return sig[rows] ^ np.packbits(turn, axis=1).view(np.uint64)
+
+
+class Shard:
+    """A shard's answers. own() comes first: it builds the graph, and the audit settles the beam (0: exact scans)."""
+
+    def __init__(self, sig: np.ndarray, radius: int, beam: int = 24, beam_most: int = 96, audit: int = 256, recall: float = 0.9):
+        self.sig, self.radius, self.beam, self.beam_most, self.audit, self.least, self.recall = sig, radius, beam, beam_most, audit, recall, 1.0
+
+    def audited(self, beam: int) -> float:
+        """The share of planted queries whose beam finds the node that they were made from; full beams are scanned anyway."""
+        rows = np.unique(np.linspace(0, len(self.sig) - 1, self.audit).astype(np.int64))
+        state = self.world.search(planted(self.sig, rows, self.radius), beam)
+        ids, d = self.world.split(state)
+        near = (state != self.world.FAR) & (d <= self.radius)
+        asked = ~near.all(1)
+        return float((near & (ids == rows[:, None])).any(1)[asked].mean()) if asked.any() else 1.0
+
+    def own(self):
+        """Pairs (row, other) of the shard's own nodes, every row being a query."""
+        n, core = len(self.sig), min(len(self.sig), SmallWorld.CORE)
+        yield from exact(self.sig, np.arange(core), core, self.radius)
+        if n <= core:
+            self.beam = 0
+            return
+        self.world, first = SmallWorld(self.sig), self.beam
+        yield from self.world.grow(self.radius, self.beam, self.beam_most)
+        while self.beam <= self.beam_most:
+            self.recall = self.audited(self.beam)
+            if self.recall >= self.least:
+                break
+            self.beam *= 2
+        else:
+            self.beam, self.recall = 0, 1.0
+        if self.beam != first:
+            for q, o in self.meets(self.sig):
+                yield q[q != o], o[q != o]
+
+    def meets(self, query: np.ndarray):
+        """Pairs (query row, row) of other signatures with the shard's nodes."""
+        return self.world.ask(query, self.radius, self.beam, self.beam_most) if self.beam else scan(self.sig, query, self.radius)
+
+
+def partners(sig: np.ndarray, radius: int, **settings):
     """Pairs (row, other) of a shard within the radius, every row being a query; and the audited recall, 1 where exact."""
-    n = len(sig)
-    core = exact(sig, np.arange(min(n, SmallWorld.CORE)), min(n, SmallWorld.CORE), radius)
-    if n <= SmallWorld.CORE:
-        return *_joined(core), 1.0
-    probe = np.unique(np.linspace(SmallWorld.CORE, n - 1, audit).astype(np.int64))
-    p, q = _joined(exact(sig, probe, n, radius))
-    truth = np.maximum(p, q) * n + np.minimum(p, q)
-    known, got = [*core], 0.0
-    while beam <= beam_most:
-        a, b = _joined([*known, *SmallWorld(sig).grow(radius, beam, beam_most)])
-        got = float(np.isin(truth, np.maximum(a, b) * n + np.minimum(a, b)).mean()) if len(truth) else 1.0
-        if got >= recall:
-            return a, b, got
-        beam *= 2
-    return *_joined(exact(sig, np.arange(n), n, radius)), got
+    shard = Shard(sig, radius, **settings)
+    return *_joined(shard.own()), shard.recall
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -251,28 +289,71 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _shard_edges(table: pa.Table, radius: int) -> pa.Table:
-    node = table.column("node").to_numpy()
-    order = np.argsort(node)
-    sig = np.stack([table.column(s).to_numpy().view(np.uint64) for s in _S], 1)[order]
-    spread = np.argsort(mix(sig[:, 0] ^ sig[:, 2]), kind="stable")  # ids often follow the content; a graph grows best in no order
-    a, b, _ = partners(sig[spread], radius)
-    root = spanning(len(node), spread[a], spread[b])
-    far = np.flatnonzero(root != np.arange(len(node)))
-    ids = node[order]
-    return pa.table({"a": ids[far], "b": ids[root[far]]})
-
-
-def near_groups(docs: DataFrame, radius: int = RADIUS, miss: float = 0.08) -> DataFrame:
+def _forest(n: int, pairs, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Rows, and the least row of each one's component where that is another; pairs are folded as they come."""
+    held, size, known = [], 0, (np.zeros(0, np.int64),) * 2
+
+    def fold():
+        a, b = _joined([known, *held])
+        root = spanning(n, a, b)
+        far = np.flatnonzero(root != np.arange(n))
+        return far, root[far]
+
+    for a, b in pairs:
+        held.append((a, b))
+        size += len(a)
+        if size >= most:
+            known, held, size = fold(), [], 0
+    return fold()
+
+
+def _read(path: str, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and signatures of a shard's nodes."""
+    system, at = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+    at = f"{at}/shard={shard}"
+    if system.get_file_info(at).type == fs.FileType.NotFound:
+        return np.zeros(0, np.int64), np.zeros((0, 4), np.uint64)
+    files = sorted(f.path for f in system.get_file_info(fs.FileSelector(at)) if f.path.endswith(".parquet"))
+    table = pa.concat_tables([pq.ParquetFile(system.open_input_file(f)).read(["node", *_S]) for f in files])
+    sig = np.stack([table.column(s).to_numpy().view(np.uint64) for s in _S], 1)
+    order = np.lexsort((sig[:, 3], sig[:, 1], mix(sig[:, 0] ^ sig[:, 2])))  # ids often follow the content; a graph grows best in no order
+    return table.column("node").to_numpy()[order], sig[order]
+
+
+def asked_by(shard: int, shards: int) -> list[int]:
+    """The other shards whose nodes are queries to this one: of any two shards one asks the other, and all answer about as many."""
+    half = shards // 2
+    return [(shard + k) % shards for k in range(1, half + 1) if 2 * k != shards or shard < half]
+
+
+def _edges(path: str, shards: int, radius: int):
+    def run(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                ids, sig = _read(path, i)
+                if not len(ids):  # what this shard holds none of meets nothing here
+                    continue
+                shard = Shard(sig, radius)
+                a, b = _forest(len(ids), shard.own())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+                for j in asked_by(i, shards):
+                    others, query = _read(path, j)
+                    a, b = _forest(len(ids) + len(others), ((q + len(ids), o) for q, o in shard.meets(query)))
+                    both = np.concatenate([ids, others])
+                    yield pa.RecordBatch.from_arrays([pa.array(both[a]), pa.array(both[b])], ["a", "b"])
+
+    return run
+
+
+def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, kept_id) of every document that is a near copy of another in its group and isn't the one that stays."""
     spark = docs.sparkSession
     sig = materialize(signatures(docs), "signatures")
     nodes = materialize(sig.groupBy(*_S).agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")), "nodes")
-    count = nodes.count()
-    width, blocks = plan(count, radius, miss)
-    tasks = max(blocks << width, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shards = nodes.select(F.explode(shard_keys(width, blocks)).alias("shard"), "node", *_S).repartition(min(tasks, 4096), "shard")
-    edges = shards.groupBy("shard").applyInArrow(lambda t: _shard_edges(t, radius), "a bigint, b bigint")
+    shards = shards_of(nodes.count())
+    path = scratch_path(spark, "shards")
+    nodes.select("node", *_S, F.pmod(F.xxhash64(*_S), F.lit(shards)).alias("shard")).repartition(shards, "shard").write.partitionBy("shard").parquet(path)
+    edges = spark.range(0, shards, 1, shards).mapInArrow(_edges(path, shards, radius), "a bigint, b bigint")
     roots = components(edges)
     known = nodes.join(roots, "node", "left").withColumn("kept_id", F.coalesce("root", "node"))
     known = known.where("root is not null or last <> node").select(*_S, "kept_id")

@@ -113,6 +113,28 @@ def test_small_world_recall():
     assert got <= want and len(got) >= 0.9 * len(want) and recall >= 0.9
 
 
+def turned(gen, sig, bits):
+    """The signatures with so many bits of each turned."""
+    return sig ^ np.packbits(gen.random((len(sig), 256)).argsort(1) < bits, axis=1).view(np.uint64)
+
+
+def test_every_pair_within_the_radius_meets(spark, monkeypatch):
+    gen = np.random.default_rng(11)
+    base = gen.integers(0, 1 << 63, (3000, 4), dtype=np.uint64)
+    sig = np.concatenate([base, turned(gen, base, simhash_dedup.RADIUS)]).view(np.int64)
+    rows = spark.createDataFrame([(k, *map(int, s)) for k, s in enumerate(sig)], "doc_id bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    monkeypatch.setattr(simhash_dedup, "signatures", lambda docs: docs)
+    monkeypatch.setattr(simhash_dedup, "shards_of", lambda nodes: 7)
+    got = {(r["doc_id"], r["kept_id"]) for r in simhash_dedup.near_groups(rows).collect()}
+    assert got == {(3000 + k, k) for k in range(3000)}
+
+
+@pytest.mark.parametrize("shards", [1, 2, 3, 8, 9])
+def test_any_two_shards_meet_once(shards):
+    met = [frozenset((i, j)) for i in range(shards) for j in simhash_dedup.asked_by(i, shards)]
+    assert len(met) == len(set(met)) == shards * (shards - 1) // 2 and all(len(m) == 2 for m in met)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (3, 1), (20, 21)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
