@@ -135,6 +135,17 @@ def test_any_two_shards_meet_once(shards):
     assert len(met) == len(set(met)) == shards * (shards - 1) // 2 and all(len(m) == 2 for m in met)
 
 
+def test_the_audit_weighs_queries_not_pairs():
+    gen = np.random.default_rng(7)
+    hot = turned(gen, np.repeat(gen.integers(0, 1 << 63, (1, 4), dtype=np.uint64), 1500, 0), 20)
+    lone = gen.integers(0, 1 << 63, (2500, 4), dtype=np.uint64)
+    sig = np.concatenate([hot, lone, turned(gen, lone, 46), gen.integers(0, 1 << 63, (5500, 4), dtype=np.uint64)])
+    at = gen.permutation(len(sig))
+    a, b, recall = simhash_dedup.partners(sig[at], simhash_dedup.RADIUS)
+    got = {(min(i, j), max(i, j)) for i, j in zip(at[a].tolist(), at[b].tolist())}
+    assert recall >= 0.9 and sum((1500 + k, 4000 + k) in got for k in range(2500)) >= 0.9 * 2500
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (3, 1), (20, 21)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
