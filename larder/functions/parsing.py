@@ -154,6 +154,11 @@ def rich_text(text: Column | str, names: Column) -> Column:
     return F.arrow_udf(run, T.CHUNKS)(_text(text), names)
 
 
+def every_measure(text: Column | str) -> Column:
+    """MEASURES of a whole document's prose."""
+    return arrow_function(lambda t: [measure_row(m) for m in rich.every_measure(t)], _MEASURES, T.MEASURES)(_text(text))
+
+
 def is_valid_unit(unit: Column | str) -> Column:
     from larder.kernel.measures import is_known
 

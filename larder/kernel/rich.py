@@ -14,6 +14,8 @@ _CONTINUES = (" the ", " to ", " together", " well", " until ", " for ")
 # A measure in prose begins with one of these; anywhere else the grammar needn't be asked.
 _BEGINS = re.compile(rf"[0-9.+(\-{GLYPH_CLASS}]|(?:an? )?(?:about|approx|around|brimming|generous|good|heap|healthy|less|round|rough|scant)|up to|at most", re.I)
 _MARK = re.compile(r"\. \Z| of\Z|\.\Z|\s+\Z")
+# A number whose exponent has no digits, on which the grammar gives up.
+_MALFORMED = re.compile(r"(?<![0-9.])(?<![0-9.][eE])(?<![0-9.][eE][+-])[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?=[eE](?![+-]?[0-9]))")
 Chunk = tuple[str, str | None, list[Measure] | None]  # kind ("measure", "text", "ing"), text, measures
 
 
@@ -52,6 +54,24 @@ def _raw(s: str, addons: frozenset[str]) -> list[Chunk]:
     return out
 
 
+def every_measure(s: str, addons: frozenset[str] = vocab.ADDON_UNITS) -> list[Measure]:
+    """The measures of a whole document: characters that prose may not hold and malformed numbers are passed over, not ends."""
+    out: list[Measure] = []
+    for piece in _MALFORMED.split(s):
+        g, at = Grammar(piece, addons, prose=True), 0
+        while m := _BEGINS.search(g.s, at):
+            try:
+                got = g.list(m.start())
+            except Abort:
+                got = None
+            if got:
+                out += got[1]
+                g, at = Grammar(got[0], addons, prose=True), 0
+            else:
+                at = m.start() + 1
+    return out
+
+
 def _ends(s: str, end: int) -> int | None:
     """Where a name that ends here ends as a word, with a plural's ending."""
     for more in ("es", "s", ""):

@@ -410,8 +410,7 @@ def _(spark, sf_dir):
 @query("document_measures")
 def _(spark, sf_dir):
     """Every measure in the prose of all documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", P.rich_text("text", F.array().cast("array<string>")).alias("c"))
-    found = docs.select("doc_id", F.explode("c").alias("k")).where("k.kind = 'measure'").select("doc_id", F.explode("k.measures").alias("m"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(P.every_measure("text")).alias("m"))
     return found.groupBy("doc_id", "m.unit").agg(F.count("*").alias("n"))
 
 

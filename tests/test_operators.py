@@ -22,6 +22,25 @@ def test_native_rewrites_agree(spark):
     assert {r["line"]: r["n"] for r in rows} == {x: K.normalize(x) for x in LINES}
 
 
+def test_document_measures_reads_whole_documents(spark, tmp_path):
+    from larder.kernel import rich
+    from larder.queries import QUERIES
+
+    parts = ["Mix 2 cups oats", "bake for 20 minutes", "add 3 tsp salt", "rest 1 hour"]
+    bare = lambda t: [m for k, _, ms in rich.parse(t, []) if k == "measure" for m in ms]
+    rows = [(k, f" {c} ".join(parts)) for k, c in enumerate("|@=&%*_~<>[]{}$^")] + [(50, " 2eggs ".join(parts)), (51, "\n".join(parts)), (52, "x " * 20_000 + "| 4 cups"), (53, None), (54, ""), (55, "1 cup and 2eggs"), (56, "3e5e cups * 2 tsp")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {}
+    for r in QUERIES["document_measures"](spark, str(tmp_path)).collect():
+        got.setdefault(r["doc_id"], {})[r["unit"]] = r["n"]
+    want = {}
+    for part in parts:
+        for m in bare(part):
+            want[m[0]] = want.get(m[0], 0) + 1
+    assert sum(want.values()) == 4 and all(got[k] == want for k, _ in rows[:18])
+    assert got[52] == {"cup": 1} and got[55] == {"cup": 1} and got[56].get("tsp") == 1 and not {53, 54} & set(got)
+
+
 def test_native_measures_agree(spark):
     cases = [("cup", 1.0, None), ("tsp", 6.0, None), ("tsp", 1.5, 3.0), ("$", 5.0, 6.5), ("cent", 250.0, None), ("whole", 7 / 3, None), ("second", 7200.0, None), ("g", 0.1875, None), ("cup", 0.0, 5.0), ("lb", 3.0, 1.0), ("cloves", 2.0, None)]
     rows = spark.createDataFrame(cases, "u string, v double, w double").withColumn("m", N.make_measure("u", "v", "w"))
