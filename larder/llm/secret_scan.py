@@ -32,10 +32,10 @@ FOUND = "doc_id bigint, kind string, start int, stop int, n_bytes int, digest st
 GATE = r"[A-Za-z0-9+/_=-]{22,}|(?:AKIA|ASIA)[A-Z2-7]{16}|-----BEGIN"
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
-_HEX = re.compile(r"(?<![0-9A-Za-z+/_=-])(?:[0-9a-fA-F]{2}){16,}(?![0-9A-Za-z+/_=-])")
-_B64 = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z0-9+/]{22,}|[A-Za-z0-9_-]{22,})={0,2}(?![A-Za-z0-9+/_=-])")
+_HEX = re.compile(r"(?:(?<![0-9A-Za-z+/_-])|(?<=(?<![0-9A-Za-z+/_-])0[xX]))(?:[0-9a-fA-F]{2}){16,}(?![0-9A-Za-z+/_=-])")
+_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{22,}|[A-Za-z0-9_-]{22,})={0,2}(?![A-Za-z0-9+/_=-])")
 _KEY_ID = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)([A-Z2-7]{16})(?![A-Za-z0-9])")
-_NAMED = re.compile(r"(?:key|token|secret|credential|passwd|password)[\w.\-]*[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?$", re.I)
+_NAMED = re.compile(r"(?:key|token|secret|credential|passwd|password)[\w.\-]*[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?(?:0x)?$", re.I)
 _RAW = {16, 20, 24, 32, 48, 64}
 
 

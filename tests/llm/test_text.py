@@ -153,6 +153,17 @@ def test_secrets(spark):
     assert secret_scan.scan(docs(spark, [])).count() == 0
 
 
+def test_secrets_right_after_the_sign():
+    key = hashlib.sha256(b"x").digest()
+    p, q = 2**127 - 1, 2**89 - 1
+    rsa = der(0x30, b"".join(number(x) for x in (0, p * q, 65537, 5, p, q, 3, 3, 3)))
+    b64 = base64.b64encode(key).decode()
+    cases = [(f"api_key={key.hex()}", key.hex(), "assigned_key"), (f"export SECRET_TOKEN={b64}\nA=1", b64, "assigned_key"), (f"PRIVATE_KEY={base64.b64encode(rsa).decode()}", base64.b64encode(rsa).decode(), "private_key"), (f"key = 0x{key.hex()};", key.hex(), "assigned_key"), (f"token=0X{key.hex()}", key.hex(), "assigned_key"), (f"/x?token={key.hex()}&a=b", key.hex(), "assigned_key")]
+    for text, value, kind in cases:
+        assert [(k, text[a:b]) for k, a, b, _, _ in secret_scan.findings(text)] == [(kind, value)]
+    assert not secret_scan.findings(f"digest={key.hex()}") and not secret_scan.findings(f"at 0x{key.hex()}")
+
+
 def test_archives(spark, tmp_path):
     pages = [(1, "http://a.org/1", "<p>x"), (2, "http://a.org/2", "<p>x"), (3, "http://b.org/3", "<p>x"), (4, "http://a.org/4", "other"), (4, "http://a.org/4", "other"), (5, None, None), (None, "http://c.org", "y"), (6, "http://d.org/", "")]
     table = spark.createDataFrame([(*p, "d") for p in pages], "page_id bigint, url string, html string, digest string")
