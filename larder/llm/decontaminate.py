@@ -4,7 +4,8 @@ Words are lower-cased runs of letters, digits, marks and underscores, so case, p
 Every window of `n` words of a document is looked up in the set; each hit is verified word by word. The passages that
 verified windows cover are cut, or the document goes when they cover `drop_share` of its words or more. Items of fewer than
 `n` words are sought whole; those under `least` words are ordinary phrases and are passed over. The set's size is counted:
-beyond `most_grams` the items are split and the documents scanned once for each part.
+beyond `most_grams` the items are split, each part marks the documents in a pass of its own, and a document is judged once
+by the passages of all parts together, so that results don't depend on the number of parts.
 
 Defined results: null or empty texts are clean. Each row is judged by itself, repeated rows and null doc_ids included.
 An empty benchmark table leaves all documents as they are. A cut passage leaves one space; n_chars, where the documents have
@@ -13,6 +14,8 @@ it as an integer, follows the text. Other columns, whatever their names, pass th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larder.llm.tables import free
 from larder.llm.textual import WORD, ngram_hashes, slices, word_hashes
 from larder.runtime import materialize, ship
 
@@ -32,6 +36,17 @@ def tokens(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return pc.utf8_lower(pa.array([w for w, _ in found], pa.string())).to_pylist(), [s for _, s in found]
 
 
+def _runs(covered: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+
+
+def _without(text: str, passages: list[tuple[int, int, int]]) -> str:
+    for a, b, _ in reversed(passages):
+        text = f"{text[:a].rstrip(' ')} {text[b:].lstrip(' ')}"
+    return text
+
+
 class Grams:
     """The items' n-grams: for each length a bit filter, sorted hashes, and the words to verify hits by."""
 
@@ -68,18 +83,21 @@ class Grams:
             out.append(row[i + size <= at[row + 1]])
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
-    def passages(self, text: str) -> tuple[list[tuple[int, int, int]], set[int], int]:
-        """Verified passages as (start, stop, words), the items they are from, and the words of the text."""
-        words, spans = tokens(text)
-        covered, ids = np.zeros(len(words) + 1, bool), set()
+    def covered(self, words: list[str]) -> tuple[np.ndarray, set[int]]:
+        """Which words verified windows cover, and the items they are from."""
+        covered, ids = np.zeros(len(words), bool), set()
         for size, of in self.items.items():
             for i, gram in enumerate(zip(*(words[k:] for k in range(size)))):
                 if gram in of:
                     covered[i : i + size] = True
                     ids.update(of[gram])
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], covered]).astype(np.int8)))
-        pairs = list(zip(edge[::2].tolist(), edge[1::2].tolist()))
-        return [(spans[a][0], spans[b - 1][1], b - a) for a, b in pairs], ids, len(words)
+        return covered, ids
+
+    def passages(self, text: str) -> tuple[list[tuple[int, int, int]], set[int], int]:
+        """Verified passages as (start, stop, words), the items they are from, and the words of the text."""
+        words, spans = tokens(text)
+        covered, ids = self.covered(words)
+        return [(spans[a][0], spans[b - 1][1], b - a) for a, b in _runs(covered)], ids, len(words)
 
     def clean(self, text: str, drop_share: float):
         """What became of a text with hits: (items, passages in it, their words, all words, the new text or None), or None."""
@@ -91,16 +109,18 @@ class Grams:
             return sorted(ids), found, hit, n, None
         new, more = text, found
         while more:  # a cut may join the halves of another passage
-            for a, b, _ in reversed(more):
-                new = f"{new[:a].rstrip(' ')} {new[b:].lstrip(' ')}"
+            new = _without(new, more)
             more = self.passages(new)[0]
         return sorted(ids), found, hit, n, new
 
 
-def _parts(benchmark: DataFrame, n: int, least: int, most_grams: int) -> list[Grams]:
-    """The items' grams in parts of about `most_grams`: one part unless the benchmark table is large."""
-    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-size // (4 * most_grams)))
+def _count(benchmark: DataFrame, most_grams: int) -> int:
+    """Parts of about `most_grams`: one unless the benchmark table is large."""
+    return max(1, -(-(benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) // (4 * most_grams)))
+
+
+def _parts(benchmark: DataFrame, n: int, least: int, parts: int) -> Iterator[Grams]:
+    """The items' grams in parts."""
     rows = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("text is not null")
     for k in range(parts):
         part = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
@@ -109,12 +129,99 @@ def _parts(benchmark: DataFrame, n: int, least: int, most_grams: int) -> list[Gr
             yield made
 
 
+_FOUND = "struct<items:array<bigint>,words:array<struct<start:int,stop:int>>,spans:array<struct<start:int,stop:int>>,hit:int,n:int,action:string,now:string,again:boolean>"
+
+
+def _put(batch: pa.RecordBatch, j: int, made: dict[int, dict]) -> pa.RecordBatch:
+    """The batch with other values in some rows of a column."""
+    mask = np.zeros(batch.num_rows, bool)
+    mask[list(made)] = True
+    column = batch.column(j)
+    new = pa.array([made[i] for i in sorted(made)], column.type)
+    at = np.arange(batch.num_rows)
+    at[mask] = batch.num_rows + np.arange(len(made))
+    return batch.set_column(j, batch.schema.field(j), pa.concat_arrays([column, new]).take(pa.array(at)))
+
+
+def _marked(shared, name: str):
+    """Each row's covered words and items so far, with those of one part."""
+
+    def mark(batches):
+        grams = shared.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                j = part.schema.get_field_index(name)
+                state, text, made = part.column(j), part.column(part.schema.get_field_index("text")), {}
+                now = pa.array([(s or {}).get("now") for s in state.to_pylist()], pa.string())
+                now = pc.coalesce(now, text.cast(pa.string()))
+                for i in grams.rows(now).tolist():
+                    covered, ids = grams.covered(tokens(now[i].as_py())[0])
+                    if ids:
+                        old = state[i].as_py() or {}
+                        items = old["items"] if old.get("action") else sorted({*(old.get("items") or []), *ids})  # of the text as it was
+                        made[i] = old | {"items": items, "words": [*(old.get("words") or []), *({"start": a, "stop": b} for a, b in _runs(covered))]}
+                yield _put(part, j, made) if made else part
+
+    return mark
+
+
+def _judged(name: str, drop_share: float):
+    """What becomes of the rows that the parts marked; a text that is cut is to be read again, as a cut may join passages."""
+
+    def judge(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                j, texts, made = part.schema.get_field_index(name), part.column(part.schema.get_field_index("text")), {}
+                for i, old in enumerate(part.column(j).to_pylist()):
+                    if not old or not old["words"]:
+                        if old and old["again"]:
+                            made[i] = old | {"again": False}
+                        continue
+                    first = old.get("action") is None
+                    text = texts[i].as_py() if first else old["now"]
+                    _, spans = tokens(text)
+                    covered = np.zeros(len(spans), bool)
+                    for w in old["words"]:
+                        covered[w["start"] : w["stop"]] = True
+                    found = [(spans[a][0], spans[b - 1][1], b - a) for a, b in _runs(covered)]
+                    if first:
+                        hit = sum(w for _, _, w in found)
+                        drop = hit >= drop_share * len(spans)
+                        old |= {"spans": [{"start": a, "stop": b} for a, b, _ in found], "hit": hit, "n": len(spans), "action": "drop" if drop else "cut"}
+                    cut = old["action"] == "cut"
+                    old |= {"words": None, "now": _without(text, found) if cut else None, "again": cut}
+                    made[i] = {k: old[k] for k in ("items", "words", "spans", "hit", "n", "action", "now", "again")}
+                yield _put(part, j, made) if made else part
+
+    return judge
+
+
+def _by_all_parts(rows: DataFrame, name: str, benchmark: DataFrame, n: int, least: int, drop_share: float, parts: int) -> DataFrame:
+    """The rows with a column of what was found (_FOUND, null where nothing was), by the items of all parts together."""
+    todo, done = rows.withColumn(name, F.lit(None).cast(_FOUND)), None
+    while True:
+        for grams in _parts(benchmark, n, least, parts):
+            shared = rows.sparkSession.sparkContext.broadcast(grams)
+            todo = materialize(todo.mapInArrow(_marked(shared, name), todo.schema), "marked")
+            shared.destroy()
+        todo = materialize(todo.mapInArrow(_judged(name, drop_share), todo.schema), "judged")
+        again = F.coalesce(F.col(name)["again"], F.lit(False))
+        ready = todo.where(~again)
+        done, todo = ready if done is None else done.union(ready), todo.where(again)
+        if todo.isEmpty():
+            return done
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 8, least: int = 5, drop_share: float = 0.5, most_grams: int = 5_000_000) -> DataFrame:
-    """One row (HITS) for each document with a verified hit; with a large benchmark, one for each part of it."""
+    """One row (HITS) for each document with a verified hit."""
     spark = docs.sparkSession
     ship(spark)
     rows, out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null"), None
-    for grams in _parts(benchmark, n, least, most_grams):
+    parts = _count(benchmark, most_grams)
+    if parts > 1:
+        found = _by_all_parts(rows, "found", benchmark, n, least, drop_share, parts).where("found.action is not null")
+        return found.selectExpr("doc_id", "found.items as item_ids", "found.spans as spans", "found.hit as hit_words", "found.n as n_words", "found.action as action", "found.now as clean_text")
+    for grams in _parts(benchmark, n, least, parts):
         shared = spark.sparkContext.broadcast(grams)
 
         def find(batches, shared=shared):
@@ -129,17 +236,24 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 8, least: int = 5, drop
                             found.append((part.column("doc_id")[i].as_py(), ids, [{"start": a, "stop": b} for a, b, _ in spans], hit, words, "drop" if new is None else "cut", new))
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, f)) for f in found], schema)
 
-        part = rows.mapInArrow(find, HITS)
-        out = part if out is None else out.union(part)
+        out = rows.mapInArrow(find, HITS)
     return out if out is not None else rows.sparkSession.createDataFrame([], HITS)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8, least: int = 5, drop_share: float = 0.5, most_grams: int = 5_000_000) -> DataFrame:
-    """The documents without the benchmark's passages, in one pass and with no shuffle."""
+    """The documents without the benchmark's passages, with no shuffle; in one pass unless the benchmark is in parts."""
     spark, out = docs.sparkSession, docs
     ship(spark)
     counted = [f.name for f in docs.schema if f.name == "n_chars" and isinstance(f.dataType, (T.IntegerType, T.LongType))]
-    for k, grams in enumerate(_parts(benchmark, n, least, most_grams)):
+    parts = _count(benchmark, most_grams)
+    if parts > 1:
+        (name,) = free(docs, "__larder_found")
+        rows = _by_all_parts(docs, name, benchmark, n, least, drop_share, parts)
+        cut = F.col(name)["action"].eqNullSafe("cut")
+        now = {"text": F.col(name)["now"]} | {c: F.length(F.col(name)["now"]) for c in counted}
+        kept = rows.where(~F.col(name)["action"].eqNullSafe("drop"))
+        return kept.select(*(F.when(cut, now[f.name]).otherwise(F.col(f.name)).cast(f.dataType).alias(f.name) if f.name in now else F.col(f"`{f.name}`") for f in docs.schema))
+    for grams in _parts(benchmark, n, least, parts):
         shared = spark.sparkContext.broadcast(grams)
 
         def keep(batches, shared=shared):
@@ -161,7 +275,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 8, least: int
                     keep[[i for i, t in made.items() if t is None]] = False
                     yield part.filter(pa.array(keep))
 
-        if k:
-            out = materialize(out, "decontaminated")
         out = out.mapInArrow(keep, out.schema)
     return out

@@ -60,6 +60,20 @@ def test_decontamination(spark):
     assert decontaminate.scan(docs(spark, rows), bench, most_grams=10).select("doc_id").distinct().count() == 3
 
 
+def test_decontamination_is_the_same_in_parts(spark):
+    items = [prose(30), prose(30), prose(12), prose(6)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    joined = items[2].split()
+    rows = [(1, f"{items[0]} {prose(40)} {items[1]}", "en"), (2, f"{prose(90)} {items[0]} {prose(90)} {items[1]}", "en"), (3, f"{prose(99)} {' '.join(joined[:5])} {items[3]} {' '.join(joined[5:])} {prose(9)}", "en"), (2, items[3], "en"), (None, f"{items[1]} {prose(50)}", "en"), *ODD]
+    docs_ = docs(spark, rows)
+    one, many = ({repr(r) for r in decontaminate.scan(docs_, bench, most_grams=m).collect()} for m in (5_000_000, 10))
+    assert one == many and len(many) == 5
+    got = {r["doc_id"]: r for r in decontaminate.scan(docs_, bench, most_grams=10).where("doc_id <> 2").collect()}
+    assert got[1]["action"] == "drop" and got[1]["item_ids"] == [0, 1] and got[1]["hit_words"] == 60
+    one, many = (decontaminate.decontaminate(docs_, bench, most_grams=m) for m in (5_000_000, 10))
+    assert one.schema.simpleString() == many.schema.simpleString() and sorted(map(repr, one.collect())) == sorted(map(repr, many.collect()))
+
+
 def test_packing(spark):
     rows = [(k, prose(rng.choice([3, 30, 300, 900])), "en") for k in range(150)] + [(7, "same", "en"), (7, "same", "en"), *ODD]
     table = docs(spark, rows)
