@@ -91,7 +91,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
-@query("op8_warc_revisits")
+@query(
+    "op8_warc_revisits",
+    """
+    WITH p AS (SELECT DISTINCT coalesce(page_id, -1) AS page_id, coalesce(url, 'about:blank') AS url, coalesce(html, '') AS html FROM pages),
+    d AS (SELECT *, strftime(TIMESTAMP '2024-01-01' + to_seconds(greatest(page_id, 0) % 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS date FROM p),
+    r AS (SELECT *, row_number() OVER w AS n, first_value(url) OVER w AS first_url, first_value(date) OVER w AS first_date FROM d WINDOW w AS (PARTITION BY html ORDER BY date, page_id, url))
+    SELECT CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS type, url AS uri, date, sha256(html) AS payload,
+           CASE WHEN n > 1 THEN first_url END AS refers_to_uri, CASE WHEN n > 1 THEN first_date END AS refers_to_date FROM r
+    """,
+)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as archives, deduplicated: every record of the new archives."""
     return warc.crawl_and_deduplicate(table(spark, sf_dir, "pages"))
