@@ -1,13 +1,16 @@
 """Repeated passages: content-defined chunks by a gear rolling hash, deduplicated by digest.
 
 A gear hash rolls over the UTF-8 bytes; a chunk may end after a word where the hash of the last 16 bytes says so and no such
-place is among the `GAP` - 1 words before. Both depend on nearby bytes alone, so an insertion moves only the chunks around it.
+place is among the `GAP` - 1 words before. In a run of more than `LONG` bytes without white space, as in scripts that have none and in
+encoded or minified text, a chunk may end after any character where the hash says so and no such place is among the 17
+bytes before; such a run counts as a word for each `UNIT` bytes. All of this depends on nearby bytes alone, so an insertion moves only the
+chunks around it. A chunk of more than `MOST` bytes, which only monotonous text has, is cut at every `MOST` bytes from its start.
 Chunks are grouped by a 128-bit digest; a chunk that occurs in several documents stays in the one with the least doc_id.
 Neighbouring chunks that go make one passage, and passages of fewer than `min_words` words stay. A shared passage of w words
 loses about its first and last half dozen words to the chunks that reach over its edges.
 
 Defined results: null doc_ids and null or empty texts have no passages. Rows that share a doc_id are one document, and repeats
-within a document stay. Offsets count characters. A text without white space is cut at every 4,096 bytes from its start. Other columns, whatever
+within a document stay. Offsets count characters. Texts of any length are read whole. Other columns, whatever
 their names, aren't looked at. An empty table gives an empty result.
 """
 
@@ -21,11 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.tables import fit, free
+from larder.llm.tables import fit, free, hashed
 from larder.llm.textual import bytes_of, slices
 from larder.runtime import materialize, ship
 
 GAP, MASK, MOST = 3, 3, 4096
+LONG, UNIT = 48, 6
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 16, 256, np.uint16)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32]).tobytes()
 CHUNKS = "d0 bigint, d1 bigint, doc_id bigint, place bigint"
@@ -49,21 +53,40 @@ def bounds(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     end = ~space
     end[:-1] &= space[1:] | last[:-1]
     ends = np.flatnonzero(end)  # of words: their last bytes
+    begin = ~space
+    begin[1:] &= space[:-1] | last[:-1]
+    begins = np.flatnonzero(begin)
     row = np.searchsorted(at, ends, "right") - 1
-    mark = ((gear(raw)[ends] >> np.uint16(12)) & np.uint16(MASK) == 0) & (ends - at[row] >= 15) & ~last[ends]
+    hashes = gear(raw)
+    mark = ((hashes[ends] >> np.uint16(12)) & np.uint16(MASK) == 0) & (ends - at[row] >= 15) & ~last[ends]
     k = np.flatnonzero(mark)
     alone = np.ones(len(k), bool)
     alone[1:] = (np.diff(k) >= GAP) | (row[k[1:]] != row[k[:-1]])
     cuts = ends[k[alone]] + 2  # the white space after the word belongs to the chunk
-    edge = np.unique(np.concatenate([at, cuts]))
+    run = np.flatnonzero(ends - begins >= LONG)
+    inside = [_inside(raw, hashes, begins[i], ends[i]) for i in run.tolist()]
+    edge = np.unique(np.concatenate([at, cuts, *inside]))
     long = np.flatnonzero(np.diff(edge) > MOST)
     if len(long):
         more = np.concatenate([np.arange(edge[i] + MOST, edge[i + 1], MOST) for i in long])
         for _ in range(3):  # on to the start of a character
             more = more + ((raw[np.minimum(more, len(raw) - 1)] & 0xC0) == 0x80)
         edge = np.unique(np.concatenate([edge, np.minimum(more, len(raw))]))
-    n = np.searchsorted(ends, edge)
-    return edge[:-1], edge[1:], np.diff(n)
+    words = np.diff(np.searchsorted(np.delete(ends, run), edge))
+    if len(run):
+        first, size = begins[run], ends[run] - begins[run] + 1
+        before = np.concatenate([[0], np.cumsum(size)])
+        j = np.searchsorted(first, edge, "right")
+        part = np.where(j > 0, np.minimum(edge - first[j - 1], size[j - 1]) - size[j - 1], 0)
+        words = words + np.diff(before[j] + part) // UNIT
+    return edge[:-1], edge[1:], words
+
+
+def _inside(raw: np.ndarray, hashes: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """Where chunks start inside a run without white space, begin and end being its first and last byte."""
+    p = np.flatnonzero(hashes[begin + 15 : end] < 1 << 12) + begin + 16
+    p = p[(raw[p] & 0xC0) != 0x80]
+    return p[np.concatenate([[True], np.diff(p) >= GAP * UNIT])] if len(p) else p
 
 
 def _chunk(batches):
@@ -86,7 +109,7 @@ def _chunk(batches):
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(d0, d1, doc_id, place) of each chunk of three words or more; place packs start, words and length."""
+    """(d0, d1, doc_id, place) of each chunk of GAP words or more; place packs start, words and length."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.where("doc_id is not null and text is not null").mapInArrow(_chunk, CHUNKS)
@@ -97,7 +120,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 16) -> DataFrame:
     all_ = materialize(chunks(docs), "chunks")
     shared = all_.groupBy("d0", "d1").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("most")).where("kept <> most")
     shared = materialize(shared.select("d0", "d1", "kept"), "shared-chunks")
-    gone = all_.join(shared.hint("shuffle_hash"), ["d0", "d1"]).where("doc_id <> kept")
+    gone = all_.join(hashed(shared, 24), ["d0", "d1"]).where("doc_id <> kept")
     start, words = F.shiftright("place", 32), F.shiftright("place", 16).bitwiseAND(65535)
     gone = gone.select("doc_id", "kept", start.alias("start"), (start + F.col("place").bitwiseAND(65535)).alias("stop"), words.alias("words"))
     by = Window.partitionBy("doc_id").orderBy("start", "stop")

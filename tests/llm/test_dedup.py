@@ -174,3 +174,60 @@ def test_chunks_resist_shifts():
 @pytest.mark.parametrize("run", [exact_dedup.repeats, exact_dedup.drop_repeats, simhash_dedup.near_groups, simhash_dedup.drop_near_copies, chunk_dedup.repeated_passages, chunk_dedup.drop_passages])
 def test_empty_tables(spark, run):
     assert run(docs(spark, [])).count() == 0
+
+
+def whole_chunks(t):
+    raw = np.frombuffer(t.encode(), np.uint8)
+    return [raw[a:b].tobytes() for a, b in zip(*chunk_dedup.bounds(raw, np.array([0, len(raw)]))[:2])]
+
+
+@pytest.mark.parametrize("letters", ["的一是不了人我在有他这为之大来以个中上们", "abcdefghijklmnop(){};=", "ABCDEFabcdef0123456789+/", "กขฃคฅฆงจฉชซฌญ"])
+def test_passages_without_white_space(spark, letters):
+    r = random.Random(1)
+    text = lambda n: "".join(r.choice(letters) for _ in range(n))
+    shared, other = text(30_000), text(5_000)
+    made = whole_chunks(shared)
+    assert b"".join(made) == shared.encode() and all(c.decode() for c in made)
+    assert len(set(made) & set(whole_chunks(letters[0] + shared))) >= 0.99 * len(set(made))
+    rows = [(1, shared), (2, shared), (3, letters[0] + shared), (4, text(300) + shared[2000:2400] + text(300)), (5, other)]
+    got = {}
+    for p in chunk_dedup.repeated_passages(docs(spark, rows)).collect():
+        got[p["doc_id"]] = got.get(p["doc_id"], 0) + p["stop"] - p["start"]
+    assert got[2] >= len(shared) - 50 and got[3] >= len(shared) - 300 and 100 <= got[4] <= 400 and not {1, 5} & set(got)
+
+
+def test_passages_in_monotonous_and_repeated_rows(spark):
+    rows = [(1, "x" * 50_000), (2, "x" * 50_000), (3, prose(80)), (3, prose(80)), (4, " ".join(["same few words here"] * 100)), (5, "\n" * 9000), (6, "\n" * 9000)]
+    rows += [(7, rows[2][1] + " " + rows[3][1])]
+    got = {p["doc_id"] for p in chunk_dedup.repeated_passages(docs(spark, rows)).collect()}
+    assert got == {2, 7}  # rows of one doc_id are one document, and what repeats within a document stays
+
+
+def naive_passages(rows, least=16):
+    """Chunks by a plain loop over each text, and the runs of those that an earlier document has."""
+    where, out = {}, {}
+    for i, t in rows:
+        for c in whole_chunks(t):
+            if len(c.split()) >= chunk_dedup.GAP:
+                where.setdefault(c, set()).add(i)
+    for i, t in rows:
+        n = at = 0
+        for c in [*whole_chunks(t), b""]:
+            if c and len(c.split()) >= chunk_dedup.GAP and min(where[c]) != i:
+                n += len(c.split())
+            else:
+                if n >= least:
+                    out[i] = out.get(i, 0) + n
+                n = 0
+            at += len(c)
+    return out
+
+
+def test_passages_against_a_plain_loop(spark):
+    r = random.Random(8)
+    parts = [prose(r.randint(20, 90), r) for _ in range(30)]
+    rows = [(k, " ".join(r.choice(parts) if r.random() < 0.4 else prose(r.randint(5, 60), r) for _ in range(6))) for k in range(60)]
+    got = {}
+    for p in chunk_dedup.repeated_passages(docs(spark, rows)).collect():
+        got[p["doc_id"]] = got.get(p["doc_id"], 0) + p["n_words"]
+    assert got == naive_passages(rows) and got
