@@ -6,11 +6,16 @@ Kinds reported:
                    must fill the bytes exactly, and the parts must be those of the kind
   openssh_key      openssh-key-v1: magic, then length-prefixed strings that fill the bytes, as the format nests them
   access_key_id    AKIA or ASIA and 16 characters that decode as base32 to an account number of twelve digits
-  assigned_key     hex or base64 of exactly 16, 20, 24, 32, 48 or 64 varied bytes, assigned to a name that says key, token or secret
+  assigned_key     hex or base64 of 16 varied bytes or more, assigned to a name that says key, token or secret; varied means 0.65
+                   or more of the distinct values that so many random bytes have on average, and written in three
+                   or more of upper case, lower case, digits and other signs (hex: in digits and letters), which lengths
+                   of 16, 20, 24, 32, 48 and 64 bytes needn't be
 Anything else (digests in running text, base64 without a structure, passwords) isn't reported.
 
 Defined results: null or empty texts hold no secret. Each row is scanned by itself, repeated rows and null doc_ids included. One
-row is returned for each finding, in the order of the text; offsets count characters; the value is never returned, only its
+row is returned for each finding, in the order of the text; where findings overlap, the kind that is first in PEM, token, key id,
+hex, base64 stays. Texts of any length are scanned whole in time that is linear in their length; a modulus of more than 65,536 bits is
+no key. Offsets count characters; the value is never returned, only its
 length and a SHA-256 of it. Other columns, whatever their names, aren't looked at. An empty table gives an empty result.
 """
 
@@ -18,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -25,18 +31,20 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.textual import slices
 from larder.runtime import ship
 
 FOUND = "doc_id bigint, kind string, start int, stop int, n_bytes int, digest string"
 # Any reportable value holds one of these; the JVM rules out the other texts before a byte goes to Python.
 GATE = r"[A-Za-z0-9+/_=-]{22,}|(?:AKIA|ASIA)[A-Z2-7]{16}|-----BEGIN"
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
-_HEX = re.compile(r"(?:(?<![0-9A-Za-z+/_-])|(?<=(?<![0-9A-Za-z+/_-])0[xX]))(?:[0-9a-fA-F]{2}){16,}(?![0-9A-Za-z+/_=-])")
-_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{22,}|[A-Za-z0-9_-]{22,})={0,2}(?![A-Za-z0-9+/_=-])")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,}+)\.([A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]*+)")
+_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+_HEX = re.compile(r"(?:(?<![0-9A-Za-z+/_-])|(?<=(?<![0-9A-Za-z+/_-])0[xX]))(?:[0-9a-fA-F]{2}){16,}+(?![0-9A-Za-z+/_=-])")
+_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{22,}+(?![_-])|[A-Za-z0-9_-]{22,}+)={0,2}+(?![A-Za-z0-9+/_=-])")
 _KEY_ID = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)([A-Z2-7]{16})(?![A-Za-z0-9])")
 _NAMED = re.compile(r"(?:key|token|secret|credential|passwd|password)[\w.\-]*[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?(?:0x)?$", re.I)
 _RAW = {16, 20, 24, 32, 48, 64}
+_CLASSES = [re.compile(x) for x in ("[a-z]", "[A-Z]", "[0-9]", "[+/_-]")]
 
 
 def tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
@@ -74,6 +82,8 @@ def private_der(data: bytes) -> bool:
     tags = [t for t, _, _ in inner]
     value = lambda i: data[inner[i][1] : inner[i][2]]
     if tags == [2] * 9 and value(0) in (b"\0", b"\1"):  # PKCS#1: version and eight numbers, the modulus the product of the primes
+        if len(value(1)) > 8193:
+            return False
         n, p, q = (int.from_bytes(value(i), "big") for i in (1, 4, 5))
         return n > 1 and p * q == n
     if tags[:2] == [2, 4] and value(0) == b"\1" and set(tags[2:]) <= {0xA0, 0xA1}:  # SEC 1
@@ -139,18 +149,37 @@ def _kind(data: bytes | None) -> str | None:
     return "private_key" if private_der(data) else "openssh_key" if openssh(data) else None
 
 
+def varied(data: bytes, text: str) -> bool:
+    """Whether a decoded value is like random bytes, as the head of this module states it."""
+    n = len(data)
+    if n < 16 or len(set(data)) < 0.65 * 256 * (1 - (255 / 256) ** n):
+        return False
+    return n in _RAW or sum(bool(c.search(text)) for c in _CLASSES) >= (2 if len(text) == 2 * n else 3)
+
+
+def pem(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, stop, body start, body stop) of each private key block: a mark that opens one, and the next mark, which closes it."""
+    out, open_ = [], None
+    for m in _MARK.finditer(text):
+        if m[1] == "END" and open_ is not None and open_[2] == m[2]:
+            out.append((open_.start(), m.end(), open_.end(), m.start()))
+        open_ = m if m[1] == "BEGIN" else None
+    return out
+
+
 def findings(text: str) -> list[tuple[str, int, int, int, str]]:
     """(kind, start, stop, bytes, digest of the value) of each confirmed secret, in order and without overlaps."""
-    out = []
+    out: list[tuple[int, int, str, int, str]] = []  # in order
 
     def add(kind: str, start: int, stop: int, data: bytes) -> None:
-        if not any(a < stop and start < b for _, a, b, _, _ in out):
-            out.append((kind, start, stop, len(data), hashlib.sha256(data).hexdigest()))
+        k = bisect.bisect_left(out, (start,))
+        if (k == 0 or out[k - 1][1] <= start) and (k == len(out) or stop <= out[k][0]):
+            out.insert(k, (start, stop, kind, len(data), hashlib.sha256(data).hexdigest()))
 
-    for m in _PEM.finditer(text):
-        body = re.sub(r"^(?:[A-Za-z-]+:.*\n)+|\\n|\s", "", m[2].lstrip(), flags=re.M)
+    for start, stop, a, b in pem(text):
+        body = re.sub(r"^(?:[A-Za-z-]+:.*\n)+|\\n|\s", "", text[a:b].lstrip(), flags=re.M)
         if (data := unbase64(body)) and (kind := _kind(data)):
-            add(kind, *m.span(), data)
+            add(kind, start, stop, data)
     for m in _TOKEN.finditer(text):
         head = _object(m[1])
         if head and isinstance(head.get("alg"), str) and _object(m[2]) is not None:
@@ -165,11 +194,11 @@ def findings(text: str) -> list[tuple[str, int, int, int, str]]:
             if not data:
                 continue
             kind = _kind(data)
-            if not kind and len(data) in _RAW and len(set(data)) >= len(data) * 0.6 and _NAMED.search(text, max(0, m.start() - 80), m.start()):
+            if not kind and varied(data, m[0]) and _NAMED.search(text, max(0, m.start() - 80), m.start()):
                 kind = "assigned_key"
             if kind:
                 add(kind, *m.span(), data)
-    return sorted(out, key=lambda f: f[1:3])
+    return [(kind, start, stop, n, digest) for start, stop, kind, n, digest in out]
 
 
 def _scan(batches):
@@ -177,8 +206,9 @@ def _scan(batches):
 
     schema = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("n_bytes", pa.int32()), ("digest", pa.string())])
     for batch in batches:
-        rows = [dict(zip(schema.names, (i, *f))) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for f in findings(t)]
-        yield pa.RecordBatch.from_pylist(rows, schema)
+        for part in slices(batch, "text"):
+            rows = [dict(zip(schema.names, (i, *f))) for i, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()) for f in findings(t)]
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 def scan(docs: DataFrame) -> DataFrame:
