@@ -1,7 +1,7 @@
 """Repeated passages: content-defined chunks by a gear rolling hash, deduplicated by digest.
 
-A gear hash rolls over the UTF-8 bytes; a chunk may end after a word where the hash of the last 16 bytes says so and no such
-place is among the `GAP` - 1 words before. In a run of more than `LONG` bytes without white space, as in scripts that have none and in
+A gear hash rolls over the UTF-8 bytes; a chunk ends after a word where the hash of the last 16 bytes is less than after any of
+the `REACH` words before, and not more than after any of the `REACH` words behind. In a run of more than `LONG` bytes without white space, as in scripts that have none and in
 encoded or minified text, a chunk may end after any character where the hash says so and no such place is among the 17
 bytes before; such a run counts as a word for each `UNIT` bytes. All of this depends on nearby bytes alone, so an insertion moves only the
 chunks around it. A chunk of more than `MOST` bytes, which only monotonous text has, is cut at every `MOST` bytes from its start.
@@ -28,7 +28,7 @@ from larder.llm.tables import fit, free, hashed
 from larder.llm.textual import bytes_of, slices
 from larder.runtime import materialize, ship
 
-GAP, MASK, MOST = 3, 3, 4096
+GAP, REACH, MOST = 3, 5, 4096
 LONG, UNIT = 48, 6
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 16, 256, np.uint16)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32]).tobytes()
@@ -58,11 +58,14 @@ def bounds(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     begins = np.flatnonzero(begin)
     row = np.searchsorted(at, ends, "right") - 1
     hashes = gear(raw)
-    mark = ((hashes[ends] >> np.uint16(12)) & np.uint16(MASK) == 0) & (ends - at[row] >= 15) & ~last[ends]
-    k = np.flatnonzero(mark)
-    alone = np.ones(len(k), bool)
-    alone[1:] = (np.diff(k) >= GAP) | (row[k[1:]] != row[k[:-1]])
-    cuts = ends[k[alone]] + 2  # the white space after the word belongs to the chunk
+    h = hashes[ends].astype(np.int32)
+    h[(ends - at[row] < 15) | last[ends]] = 1 << 16  # no whole window, or nothing follows
+    least = h < 1 << 16
+    for s in range(1, REACH + 1):
+        apart = row[s:] != row[:-s]
+        least[s:] &= (h[s:] < h[:-s]) | apart
+        least[:-s] &= (h[:-s] <= h[s:]) | apart
+    cuts = ends[least] + 2  # the white space after the word belongs to the chunk
     run = np.flatnonzero(ends - begins >= LONG)
     inside = [_inside(raw, hashes, begins[i], ends[i]) for i in run.tolist()]
     edge = np.unique(np.concatenate([at, cuts, *inside]))
