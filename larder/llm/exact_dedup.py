@@ -3,7 +3,7 @@
 History is the rows up to a doc_id (by default the lower half of the ids' range); the rest arrive. The distinct digests of
 history are spread over shards by their first bytes, and each shard gets a minimal perfect hash of levels of bits
 (as BBHash, Limasset et al., 2017) whose slots hold the whole digest and the locator (doc_id) of the row that stays. An
-arriving digest is looked up in its shard's slot and compared byte for byte: a member is a repeat of the slot's winner. Digests
+arriving distinct digest is looked up once in its shard's slot and compared byte for byte: a member is a repeat of the slot's winner. Digests
 that aren't members are grouped among themselves, and the least doc_id of each stays.
 
 Defined results: texts are equal when their bytes are (SHA-256 of UTF-8); an empty text equals an empty text; a null text
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.tables import fit, free
@@ -85,7 +85,7 @@ class PerfectHash:
         return cls([np.frombuffer(w, np.uint64) for w in levels], base, np.frombuffer(tail, np.uint64).reshape(-1, 4))
 
 
-KEYS = "digest binary, doc_id bigint, copies bigint"
+FOUND = "digest binary, least bigint, n_rows bigint, winner bigint, member boolean"
 INDEX = "shard bigint, levels array<binary>, base array<bigint>, tail binary, digests binary, winners array<bigint>"
 
 
@@ -111,7 +111,7 @@ def _index(table: pa.Table) -> pa.Table:
 
 
 def _lookup(index: pa.Table, asked: pa.Table) -> pa.Table:
-    """The asked rows of a shard with the winner that history has for their digests."""
+    """The asked distinct digests of a shard with the winner that history has for each."""
     words = _words(asked.column("digest"))
     winner, member = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
     if index.num_rows and len(words):
@@ -122,7 +122,7 @@ def _lookup(index: pa.Table, asked: pa.Table) -> pa.Table:
         inside = (slot >= 0) & (slot < len(held))
         member[inside] = (held[slot[inside]] == words[inside]).all(1)  # byte check: a nonmember may land on any slot
         winner[member] = r.column("winners").combine_chunks().values.to_numpy()[slot[member]]
-    out = {c: asked.column(c) for c in ("digest", "doc_id", "copies")}
+    out = {c: asked.column(c) for c in ("digest", "least", "n_rows")}
     return pa.table({**out, "winner": pa.array(winner, mask=~member), "member": pa.array(member)})
 
 
@@ -141,21 +141,24 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def lookups(docs: DataFrame, history_until: int | None = None, shard_rows: int = 500_000) -> DataFrame:
-    """(digest, doc_id, copies, winner, member) of every distinct (text, doc_id); member: history holds the digest."""
+    """(digest, doc_id, copies, winner, member) of every distinct (text, doc_id) whose text has several rows; member: history holds the digest.
+
+    A digest is looked up once however many rows have it, so that a shard's task follows the number of distinct texts.
+    """
     spark = docs.sparkSession
     ship(spark)
     keys = materialize(digests(docs).groupBy("digest", "doc_id").agg(F.count("*").alias("copies")), "digests")
-    low, high, n = keys.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    low, high = keys.agg(F.min("doc_id"), F.max("doc_id")).first()
     cut = history_until if history_until is not None else (None if low is None else low + (high - low) // 2)
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // shard_rows))
-    old = keys.where(F.lit(False) if cut is None else F.col("doc_id") <= cut)
-    index = materialize(build_index(old.groupBy("digest").agg(F.min("doc_id").alias("winner")), shards), "perfect-hash")
-    asked = keys.withColumn("shard", shard_of(shards))
-    found = materialize(index.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_lookup, f"{KEYS}, winner bigint, member boolean"), "lookups")
-    rest = found.where("not member")
-    least = rest.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    grouped = rest.join(least, "digest").select("digest", "doc_id", "copies", F.col("least").alias("winner"), "member")
-    return found.where("member").select("digest", "doc_id", "copies", "winner", "member").union(grouped)
+    old = F.lit(False) if cut is None else F.col("doc_id") <= cut
+    distinct = keys.groupBy("digest").agg(F.min("doc_id").alias("least"), F.sum("copies").alias("n_rows"), F.min(F.when(old, F.col("doc_id"))).alias("in_history"))
+    distinct = materialize(distinct, "distinct-digests")
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() // shard_rows))
+    index = materialize(build_index(distinct.where("in_history is not null").select("digest", F.col("in_history").alias("winner")), shards), "perfect-hash")
+    asked = distinct.select(shard_of(shards).alias("shard"), "digest", "least", "n_rows")
+    found = index.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_lookup, FOUND)
+    found = materialize(found.where("n_rows > 1").select("digest", F.when(F.col("member"), F.col("winner")).otherwise(F.col("least")).alias("winner"), "member"), "lookups")
+    return keys.join(fit(found, 44), "digest").select("digest", "doc_id", "copies", "winner", "member")
 
 
 def repeats(docs: DataFrame, history_until: int | None = None) -> DataFrame:
@@ -167,7 +170,7 @@ def repeats(docs: DataFrame, history_until: int | None = None) -> DataFrame:
 
 def drop_repeats(docs: DataFrame, history_until: int | None = None) -> DataFrame:
     """The documents with one row of each text, with all its columns."""
-    key, digest, of, kept, n = free(docs, "__larder_key", "__larder_digest", "__larder_id", "__larder_stays", "__larder_n")
+    key, digest, of, kept = free(docs, "__larder_key", "__larder_digest", "__larder_id", "__larder_stays")
     found = lookups(docs, history_until)
     stays = F.col("doc_id").eqNullSafe(F.col("winner"))
     gone = materialize(found.where(~stays | (F.col("copies") > 1)).select(F.col("digest").alias(digest), F.col("doc_id").alias(of), stays.alias(kept)), "repeats")
@@ -176,7 +179,5 @@ def drop_repeats(docs: DataFrame, history_until: int | None = None) -> DataFrame
     out = keyed.join(fit(gone, 56), same, "left_anti")
     double = gone.where(F.col(kept))
     if not double.isEmpty():  # rows with the same doc_id and text: one of them stays
-        one = keyed.join(double, same, "left_semi")
-        first = Window.partitionBy(key, "doc_id").orderBy(F.lit(1))
-        out = out.union(one.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(n))
+        out = out.union(keyed.join(double, same, "left_semi").dropDuplicates([key, "doc_id"]))
     return out.drop(key)
