@@ -8,7 +8,8 @@ beyond `most_grams` the items are split, each part marks the documents in a pass
 by the passages of all parts together, so that results don't depend on the number of parts.
 
 Defined results: null or empty texts are clean. Each row is judged by itself, repeated rows and null doc_ids included.
-An empty benchmark table leaves all documents as they are. A cut passage leaves one space; n_chars, where the documents have
+An empty benchmark table leaves all documents as they are, and an empty table of documents gives an
+empty result. Items without an id stand last among a document's items, as null. A cut passage leaves one space; n_chars, where the documents have
 it as an integer, follows the text. Other columns, whatever their names, pass through.
 """
 
@@ -47,51 +48,77 @@ def _without(text: str, passages: list[tuple[int, int, int]]) -> str:
     return text
 
 
+def _sorted(ids) -> list:
+    return sorted(ids, key=lambda i: (i is None, i or 0))
+
+
 class Grams:
-    """The items' n-grams: for each length a bit filter, sorted hashes, and the words to verify hits by."""
+    """The items' n-grams: for each length sorted hashes, the words of each gram as places in one table of words, the items of
+    each, and a bit filter. Some 60 bytes a gram of eight words, and each word once."""
 
     def __init__(self, items: list[tuple[int, str]], n: int, least: int):
-        self.items: dict[int, dict[tuple[str, ...], list[int]]] = {}
+        self.words: dict[str, int] = {}
+        rows: dict[int, list[np.ndarray]] = {}
+        owners: dict[int, list[np.ndarray]] = {}
         for item, text in items:
             words, _ = tokens(text or "")
             size = min(n, len(words))
             if size < min(least, n):
                 continue
-            of = self.items.setdefault(size, {})
-            for i in range(len(words) - size + 1):
-                ids = of.setdefault(tuple(words[i : i + size]), [])
-                if item not in ids:
-                    ids.append(item)
-        self.hashes, self.filter = {}, {}
-        for size, of in self.items.items():
-            words, _ = word_hashes(pa.array([w for gram in of for w in gram], pa.large_string()))
-            rows = words.reshape(-1, size)
-            h = np.array([ngram_hashes(r, size)[0] for r in rows], np.uint64)
-            self.hashes[size] = np.sort(h)
+            at = np.array([self.words.setdefault(w, len(self.words)) for w in words], np.int32)
+            rows.setdefault(size, []).append(np.lib.stride_tricks.sliding_window_view(at, size))
+            owners.setdefault(size, []).append(np.full(len(words) - size + 1, np.iinfo(np.int64).min if item is None else item, np.int64))
+        self.word_hashes, _ = word_hashes(pa.array(list(self.words), pa.large_string()))
+        self.hashes, self.filter, self.grams, self.first, self.items = {}, {}, {}, {}, {}
+        for size in rows:
+            gram, item = np.concatenate(rows[size]), np.concatenate(owners[size])
+            h = ngram_hashes(self.word_hashes[gram].ravel(), size)[::size] if len(gram) else np.zeros(0, np.uint64)
+            order = np.lexsort((item, *gram.T[::-1], h))
+            gram, item, h = gram[order], item[order], h[order]
+            new = np.concatenate([[True], (gram[1:] != gram[:-1]).any(1)])
+            once = new | np.concatenate([[True], item[1:] != item[:-1]])
+            kept = np.flatnonzero(new)
+            self.grams[size], self.hashes[size], self.items[size] = gram[kept], h[kept], item[once]
+            self.first[size] = np.append(np.cumsum(once)[kept] - 1, int(once.sum()))
             self.filter[size] = np.zeros(1 << _BITS, bool)
             self.filter[size][(h >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
+    def _hits(self, h: np.ndarray, size: int) -> np.ndarray:
+        """Which hashes are in the set."""
+        i = np.flatnonzero(self.filter[size][(h >> np.uint64(64 - _BITS)).astype(np.int64)])
+        known = self.hashes[size]
+        return i[known[np.minimum(np.searchsorted(known, h[i]), len(known) - 1)] == h[i]]
+
     def rows(self, texts: pa.Array) -> np.ndarray:
         """Rows with a window whose hash is in the set."""
         words, at = word_hashes(texts)
         out = []
-        for size, known in self.hashes.items():
-            h = ngram_hashes(words, size)
-            i = np.flatnonzero(self.filter[size][(h >> np.uint64(64 - _BITS)).astype(np.int64)])
-            i = i[known[np.minimum(np.searchsorted(known, h[i]), len(known) - 1)] == h[i]]
+        for size in self.hashes:
+            i = self._hits(ngram_hashes(words, size), size)
             row = np.searchsorted(at, i, "right") - 1
             out.append(row[i + size <= at[row + 1]])
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
-    def covered(self, words: list[str]) -> tuple[np.ndarray, set[int]]:
+    def covered(self, words: list[str]) -> tuple[np.ndarray, set]:
         """Which words verified windows cover, and the items they are from."""
         covered, ids = np.zeros(len(words), bool), set()
-        for size, of in self.items.items():
-            for i, gram in enumerate(zip(*(words[k:] for k in range(size)))):
-                if gram in of:
-                    covered[i : i + size] = True
-                    ids.update(of[gram])
-        return covered, ids
+        at = np.array([self.words.get(w, -1) for w in words], np.int32)
+        h = np.append(self.word_hashes, np.uint64(0))[at] if len(at) else np.zeros(0, np.uint64)
+        for size, known in self.hashes.items():
+            if len(at) < size:
+                continue
+            i = self._hits(ngram_hashes(h, size), size)
+            k, window = np.searchsorted(known, h_i := ngram_hashes(h, size)[i]), np.lib.stride_tricks.sliding_window_view(at, size)[i]
+            while len(i):  # grams with the same hash stand together
+                same = (self.grams[size][k] == window).all(1)
+                for a in i[same].tolist():
+                    covered[a : a + size] = True
+                for g in np.unique(k[same]).tolist():
+                    ids.update(self.items[size][self.first[size][g] : self.first[size][g + 1]].tolist())
+                k = k + 1
+                on = ~same & (known[np.minimum(k, len(known) - 1)] == h_i) & (k < len(known))
+                i, k, window, h_i = i[on], k[on], window[on], h_i[on]
+        return covered, {None if x == np.iinfo(np.int64).min else x for x in ids}
 
     def passages(self, text: str) -> tuple[list[tuple[int, int, int]], set[int], int]:
         """Verified passages as (start, stop, words), the items they are from, and the words of the text."""
@@ -106,12 +133,12 @@ class Grams:
             return None
         hit = sum(w for _, _, w in found)
         if hit >= drop_share * n:
-            return sorted(ids), found, hit, n, None
+            return _sorted(ids), found, hit, n, None
         new, more = text, found
         while more:  # a cut may join the halves of another passage
             new = _without(new, more)
             more = self.passages(new)[0]
-        return sorted(ids), found, hit, n, new
+        return _sorted(ids), found, hit, n, new
 
 
 def _count(benchmark: DataFrame, most_grams: int) -> int:
@@ -125,7 +152,7 @@ def _parts(benchmark: DataFrame, n: int, least: int, parts: int) -> Iterator[Gra
     for k in range(parts):
         part = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
         made = Grams([(r[0], r[1]) for r in part.toLocalIterator()], n, least)
-        if made.items:
+        if made.hashes:
             yield made
 
 
@@ -158,7 +185,7 @@ def _marked(shared, name: str):
                     covered, ids = grams.covered(tokens(now[i].as_py())[0])
                     if ids:
                         old = state[i].as_py() or {}
-                        items = old["items"] if old.get("action") else sorted({*(old.get("items") or []), *ids})  # of the text as it was
+                        items = old["items"] if old.get("action") else _sorted({*(old.get("items") or []), *ids})  # of the text as it was
                         made[i] = old | {"items": items, "words": [*(old.get("words") or []), *({"start": a, "stop": b} for a, b in _runs(covered))]}
                 yield _put(part, j, made) if made else part
 

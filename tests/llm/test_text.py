@@ -60,6 +60,16 @@ def test_decontamination(spark):
     assert decontaminate.scan(docs(spark, rows), bench, most_grams=10).select("doc_id").distinct().count() == 3
 
 
+def test_decontamination_of_empty_tables_and_items_without_an_id(spark):
+    item = prose(20)
+    bench = spark.createDataFrame([(None, item), (7, item), (7, item), (3, item + " x")], "item_id bigint, text string")
+    table = docs(spark, [(1, item, "en"), (1, item, "en"), (None, prose(30) + " " + item, "en")])
+    got = decontaminate.scan(table, bench).collect()
+    assert len(got) == 3 and all(r["item_ids"] == [3, 7, None] for r in got) and sorted(r["action"] for r in got) == ["cut", "drop", "drop"]
+    for run in (decontaminate.scan, decontaminate.decontaminate):
+        assert run(table.where("false"), bench).count() == 0
+
+
 def test_decontamination_is_the_same_in_parts(spark):
     items = [prose(30), prose(30), prose(12), prose(6)]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
