@@ -18,6 +18,7 @@ def arrow(sql: str) -> Callable[[Callable], Callable[..., Column]]:
         def call(*columns: Column | str) -> Column:
             return F.arrow_udf(f, sql)(*columns)
 
+        call.function = lambda: F.arrow_udf(f, sql)  # to be registered under an SQL name
         return call
 
     return wrap

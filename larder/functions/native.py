@@ -1,8 +1,14 @@
-"""Column expressions that Catalyst compiles: text rewrites, units and quantities, durations and titles. No Python runs for them."""
+"""Column expressions that run in the JVM: text rewrites, units and quantities, durations and titles. No Python runs for them.
+
+Most compile into generated code. Those that use let() or an array's elements one by one are interpreted by Spark; normalize_lines() gives
+the rewrites of a table's lines as bound columns, which are compiled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.kernel import measures as M
@@ -38,7 +44,7 @@ _AMOUNT = r"\d¼-¾⅐-⅞"
 _PATTERNS = [
     (r"(?U)^\s*[*·•∙–—-]\s+", ""),
     ("[①-⒛⓪⓵-⓿❶-➓]", ""),
-    (r"(?U)\s*[*†‡]+\s*$", ""),
+    (r"(?U)(?:(?<!\s)\s+|(?<![*†‡\s]))[*†‡]++\s*$", ""),
     (rf"(?iU){_PAGES}[\s,;]+optional\s*\)", "(optional)"),
     (rf"(?iU)\s*{_PAGES}\s*\)", ""),
     (rf"(?iU)\s*\(\s*{_SEE}notes?\s*\)", ""),
@@ -51,33 +57,21 @@ def collapse_whitespace(c: Col) -> Column:
     return F.trim(F.regexp_replace(col(c), r"(?U)\s+", " "))
 
 
-def normalize_line(c: Col) -> Column:
-    """The ordered rewrites of a line as nested expressions; the same text as the kernel's first stage."""
-    s = F.replace(col(c).cast("string"), F.lit(" "), F.lit(" "))
-    for pattern, to in _PATTERNS:
+def _replaced(s: Column, patterns) -> Column:
+    for pattern, to in patterns:
         s = F.regexp_replace(s, pattern, to)
-
-    def without_minus(x: Column) -> Column:
-        cut = F.regexp_replace(x, rf"(?U)\s*\({_INSIDE}\bminus\b{_INSIDE}\)", "")
-        return F.when(cut.rlike(f"[0-9{_GLYPHS}]"), cut).otherwise(x)
-
-    s = F.regexp_replace(let(s, without_minus), rf"(?iU)\((?<size>[{_GLYPHS}0-9]{_INSIDE}?)(?:\s+in)?\s+total\)", "(${size})")
-    s = let(let(s, _lift_dimension), _lift_piece)
-    return let(s, lambda x: F.when(x.contains("  ") | x.startswith(" ") | x.endswith(" "), collapse_whitespace(x)).otherwise(x))
+    return s
 
 
 def _words(s: Column) -> Column:
-    return F.split(collapse_whitespace(s), " ")
+    """The words of a line that may open with a dimension, else null."""
+    return F.when(s.contains("-"), F.split(collapse_whitespace(s), " "))
 
 
 def _rest(w: Column, start: int) -> Column:
     return F.array_join(F.slice(w, start, F.greatest(F.size(w), F.lit(1))), " ")
 
 
-def _lift_dimension(s: Column) -> Column:
-    return let(_words(s), lambda w: _dimension(s, w))
-
-
 def _dimension(s: Column, w: Column) -> Column:
     first, d = F.get(w, F.lit(0)), F.regexp_replace(F.get(w, F.lit(1)), r"^\(+|\)+$", "")
     counts = _one_of(F.lower(first), vocab.SPELLED_COUNTS) | first.rlike(f"^[0-9./{_GLYPHS}]+$")
@@ -85,10 +79,6 @@ def _dimension(s: Column, w: Column) -> Column:
     return F.when((F.size(w) >= 3) & counts & shape, F.concat(first, F.lit(" "), _rest(w, 3), F.lit(", "), d)).otherwise(s)
 
 
-def _lift_piece(s: Column) -> Column:
-    return let(_words(s), lambda w: _piece(s, w))
-
-
 def _piece(s: Column, w: Column) -> Column:
     first, second, third = (F.get(w, F.lit(k)) for k in range(3))
     places = "|".join(sorted(vocab.DISTANCES, key=len, reverse=True))
@@ -96,6 +86,75 @@ def _piece(s: Column, w: Column) -> Column:
     return F.when((F.size(w) >= 3) & hit, F.concat(F.lit("1 "), second, F.lit(" "), _rest(w, 3), F.lit(", "), first)).otherwise(s)
 
 
+def _when_paren(s: Column, run) -> Column:
+    return F.when(s.contains("("), run(s)).otherwise(s)
+
+
+def _minus(s: Column, cut: Column) -> Column:
+    return F.when(cut.isNotNull() & cut.rlike(f"[0-9{_GLYPHS}]"), cut).otherwise(s)
+
+
+def _cut_minus(s: Column) -> Column:
+    return F.when(s.contains("minus"), F.regexp_replace(s, rf"(?U)\s*\({_INSIDE}\bminus\b{_INSIDE}\)", ""))
+
+
+def _total(s: Column) -> Column:
+    return F.regexp_replace(s, rf"(?iU)\((?<size>[{_GLYPHS}0-9]{_INSIDE}?)(?:\s+in)?\s+total\)", "(${size})")
+
+
+def _tidy(s: Column) -> Column:
+    return F.when(s.contains("  ") | s.startswith(" ") | s.endswith(" "), collapse_whitespace(s)).otherwise(s)
+
+
+#: The ordered rewrites: (what is bound, from what, how). A step names what was bound before, by "s" for the line so far.
+_BULLETS = lambda s: _replaced(F.replace(s, F.lit("\u00a0"), F.lit(" ")), _PATTERNS[:3])
+_STEPS = [
+    ("s", ("s",), _BULLETS),
+    ("s", ("s",), lambda s: _when_paren(s, lambda x: _replaced(x, _PATTERNS[3:6]))),
+    ("s", ("s",), lambda s: _replaced(s, _PATTERNS[6:])),
+    ("x", ("s",), _cut_minus),
+    ("s", ("s", "x"), _minus),
+    ("s", ("s",), lambda s: _when_paren(s, _total)),
+    ("x", ("s",), _words),
+    ("s", ("s", "x"), _dimension),
+    ("x", ("s",), _words),
+    ("s", ("s", "x"), _piece),
+    ("s", ("s",), _tidy),
+]
+
+
+def normalize_lines(df: DataFrame, line: str, out: str) -> DataFrame:
+    """The table with `out`: the ordered rewrites of a line, the same text as the kernel's first stage.
+
+    Each step is a column bound once, so no expression is repeated and all of them compile; a pattern that few lines can hold
+    stands behind a plain test.
+    """
+    bound = {"s": f"__{out}_s", "x": f"__{out}_x"}
+    df = df.withColumn(bound["s"], F.col(line).cast("string"))
+    for name, using, step in _STEPS:
+        df = df.withColumn(bound[name], step(*(F.col(bound[u]) for u in using)))
+    return df.withColumn(out, F.col(bound["s"])).drop(*bound.values())
+
+
+def _with(s: Column, step, after) -> Column:
+    return let(s, lambda v: let(step(v), lambda x: after(v, x)))
+
+
+def normalize_line(c: Col) -> Column:
+    """The rewrites as one expression, for where a table's columns can't be bound; normalize_lines() is faster."""
+    s = col(c).cast("string")
+    at = 0
+    while at < len(_STEPS):
+        name, using, step = _STEPS[at]
+        if name == "x":
+            s = _with(s, step, _STEPS[at + 1][2])
+            at += 2
+        else:
+            s = let(s, step)
+            at += 1
+    return s
+
+
 def strip_optional_note(c: Col) -> Column:
     """struct<text, optional>: the line without "(optional)" or a last ", optional"."""
     s = col(c)
@@ -325,3 +384,57 @@ def cache_key(version: Col, model: Col, text: Col, hint: Col) -> Column:
 def unparsed_digits(c: Col) -> Column:
     """Runs of ASCII digits in a line."""
     return F.regexp_extract_all(col(c), F.lit("([0-9]+)"), F.lit(1))
+
+
+def digit_spans(c: Col) -> Column:
+    """array<struct<start, end, text>>: the runs of digits and fraction signs of a line, offsets counting characters from 0."""
+    s = col(c)
+    run = f"[0-9{_GLYPHS}]+"
+    found = F.regexp_extract_all(s, F.lit(f"({run})"), F.lit(1))
+    gaps = F.split(s, run)
+    kind = "struct<at:int,out:array<struct<start:int,end:int,text:string>>>"
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out")).cast(kind)
+
+    def step(acc: Column, pair: Column) -> Column:
+        start = acc["at"] + F.length(pair["gap"])
+        end = start + F.length(pair["text"])
+        one = F.struct(start.alias("start"), end.alias("end"), pair["text"].alias("text"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")).cast(kind)
+
+    pairs = F.transform(found, lambda t, i: F.struct(F.get(gaps, i).alias("gap"), t.alias("text")))
+    return F.aggregate(pairs, none, step)["out"]
+
+
+def diagnostics(line: Col, p: Col) -> Column:
+    """array<struct<start, end, text, label>>: what a person should look at in a line whose reading found a digit but no amount."""
+    label = F.lit("digit without an amount")
+    spans = F.transform(digit_spans(line), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), label.alias("label")))
+    return F.when(col(p)["parse_notes"]["unparsed_digit"], spans).otherwise(F.array().cast("array<struct<start:int,end:int,text:string,label:string>>"))
+
+
+def ingredient_key(p: Col) -> Column:
+    """An INGREDIENT without its notes, for comparing and ordering: by name, amounts, modifier, optional and usage."""
+    p = col(p)
+    amounts = F.transform(p["amounts"], lambda m: F.struct(m["unit"].alias("unit"), m["value"].alias("value"), m["upper_value"].alias("upper_value")))
+    return F.when(p.isNotNull(), F.struct(p["name"].alias("name"), amounts.alias("amounts"), p["modifier"].alias("modifier"), p["optional"].alias("optional"), p["usage"].alias("usage")))
+
+
+def section_usage(usage: Col, section: Col) -> Column:
+    """The role of an ingredient, which the title of its section decides where the line says nothing."""
+    words = "|".join(sorted(map(re.escape, vocab.MARINADE_SECTIONS)))
+    said = F.lower(col(section)).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])")
+    return F.when((col(usage) == "normal") & F.coalesce(said, F.lit(False)), "marinade").otherwise(col(usage))
+
+
+def format_quantity_ascii(v: Col) -> Column:
+    """1.5 as 1 1/2: a fraction of at most 64 parts where one is that near, else at most four decimals."""
+    x = col(v).cast("double")
+    whole = F.floor(F.abs(x))
+    part = F.abs(x) - whole
+    tries = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda d: F.struct(d.alias("d"), F.round(part * d).cast("int").alias("n")))
+    found = F.get(F.filter(tries, lambda t: F.abs(t["n"] / t["d"] - part) < 1e-9), F.lit(0))
+    up = found["n"] == found["d"]
+    head = whole + F.when(up, 1).otherwise(0)
+    sign = F.when(x < 0, "-").otherwise("")
+    text = F.when(up | (found["n"] == 0), F.concat(sign, head.cast("string"))).otherwise(F.concat(sign, F.when(whole == 0, "").otherwise(F.concat(whole.cast("string"), F.lit(" "))), found["n"].cast("string"), F.lit("/"), found["d"].cast("string")))
+    return F.when(x == 0, "0").when(found.isNotNull(), text).otherwise(F.regexp_replace(F.format_string("%.4f", x), r"\.?0+$", ""))

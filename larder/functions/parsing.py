@@ -1,7 +1,8 @@
 """Text to structure: the line grammar as Column functions.
 
-Each is an Arrow function: a column goes to the worker in batches, and only that column. Results of repeated lines are kept, so
-equal lines in a batch or task are parsed once. Null in gives null out.
+Each is an Arrow function: a column goes to the worker in batches, and only that column. A batch is read by its distinct texts,
+and results are kept beyond it, so equal lines in a batch or task are parsed once. Null in gives null out. Any text gives a result: a
+line that the grammar gives up on, such as one nested more than 200 deep, is its own name, and its notes say that it fell back.
 """
 
 from __future__ import annotations
@@ -77,11 +78,17 @@ def _mapping(text: str) -> dict:
         return {"a": None, "b": None, "source": None, "error": str(e)}
 
 
+def by_distinct(texts: pa.Array, kernel: Callable, kind: pa.DataType) -> pa.Array:
+    """kernel(text) of each text, asked once for each distinct one."""
+    coded = texts.dictionary_encode()
+    return pa.array([kernel(t) for t in coded.dictionary.to_pylist()], kind).take(coded.indices)
+
+
 def arrow_function(kernel: Callable, kind: pa.DataType, sql: str | DataType):
     """A Column function of one text column that gives kernel(text)."""
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else kernel(t) for t in texts.to_pylist()], kind)
+        return by_distinct(texts, kernel, kind)
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, sql)
@@ -107,6 +114,24 @@ def passes(line: Column | str) -> Column:
     return arrow_function(_passes, pa.list_(pa.string()), "array<string>")(_text(line))
 
 
+@lru_cache(KEPT)
+def _trace_text(line: str) -> str:
+    return _parser(()).report(line)
+
+
+def trace_text(line: Column | str) -> Column:
+    """The stages of a line's parse as text, one line for the input, each rewrite, recognizer, decision and refinement, and the result."""
+    return arrow_function(_trace_text, pa.string(), "string")(_text(line))
+
+
+def trace_stages(line: Column | str) -> Column:
+    """array<struct<stage, name, before, after>>: what each pass made of the line, in order, under normalize, recognize, grammar, segment
+    and refine."""
+    kind = "struct<stage:string,name:string,before:string,after:string>"
+    shape = pa.list_(pa.struct([(k, pa.string()) for k in ("stage", "name", "before", "after")]))
+    return arrow_function(lambda t: [dict(zip(("stage", "name", "before", "after"), r)) for r in _parser(()).stages(t)], shape, f"array<{kind}>")(_text(line))
+
+
 def trace_spans(line: Column | str) -> Column:
     """array<struct<span_id, parent_id, stage, name>>: the line's parse as span 0, and under it each pass that left a mark, in order."""
     from larder.kernel.line import stage_names
@@ -141,42 +166,118 @@ def parse_mapping(text: Column | str) -> Column:
     return arrow_function(_mapping, _MAPPING, T.MAPPING)(_text(text))
 
 
-def rich_text(text: Column | str, names: Column) -> Column:
+@lru_cache(KEPT)
+def _chunks(text: str, names: tuple[str, ...], extra: tuple[str, ...] = ()) -> list | None:
+    got = rich.parse(text, list(names), _parser(extra).addons)
+    return None if got is None else [{"kind": k, "text": s, "measures": None if ms is None else [measure_row(m) for m in ms]} for k, s, ms in got]
+
+
+def rich_text(text: Column | str, names: Column, extra_units: tuple[str, ...] = ()) -> Column:
     """CHUNKS of instruction prose, `names` being an array of the recipe's ingredient names."""
+    extra = tuple(extra_units)
 
     def run(texts: pa.Array, names: pa.Array) -> pa.Array:
-        out = []
-        for t, n in zip(texts.to_pylist(), names.to_pylist()):
-            got = None if t is None else rich.parse(t, [x for x in n or [] if x])
-            out.append(None if got is None else [{"kind": k, "text": s, "measures": None if ms is None else [measure_row(m) for m in ms]} for k, s, ms in got])
-        return pa.array(out, _CHUNKS)
+        return pa.array([None if t is None else _chunks(t, tuple(x for x in n or () if x), extra) for t, n in zip(texts.to_pylist(), names.to_pylist())], _CHUNKS)
 
     return F.arrow_udf(run, T.CHUNKS)(_text(text), names)
 
 
+def classify_usage(name: Column | str, modifier: Column | str, line: Column | str, section: Column | str) -> Column:
+    """The role of an ingredient by its name, modifier, raw line and its section's title; any of them may be null."""
+    from larder.kernel.line import usage
+
+    def run(names: pa.Array, modifiers: pa.Array, lines: pa.Array, sections: pa.Array) -> pa.Array:
+        return pa.array([usage(n or "", m, t, s) for n, m, t, s in zip(*(c.to_pylist() for c in (names, modifiers, lines, sections)))], pa.string())
+
+    return F.arrow_udf(run, "string")(_text(name), _text(modifier), _text(line), _text(section))
+
+
 def every_measure(text: Column | str) -> Column:
     """MEASURES of a whole document's prose."""
     return arrow_function(lambda t: [measure_row(m) for m in rich.every_measure(t)], _MEASURES, T.MEASURES)(_text(text))
 
 
-def is_valid_unit(unit: Column | str) -> Column:
-    from larder.kernel.measures import is_known
+def is_valid_unit(unit: Column | str, extra_units: tuple[str, ...] = ()) -> Column:
+    """Whether a text names a unit: a built-in one in any spelling, singular or plural, or a countable one."""
+    from larder.functions import native as N
+    from larder.kernel.measures import ALIASES
 
-    return arrow_function(lambda t: is_known(t, vocab.ADDON_UNITS), pa.bool_(), "boolean")(_text(unit))
+    known = vocab.ADDON_UNITS | {u.lower() for u in extra_units}
+    return N.singular(_text(unit)).isin(*sorted(ALIASES)) | F.lower(_text(unit)).isin(*sorted(known))
 
 
 def _text(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
-def register(spark: SparkSession) -> None:
-    """The functions under their SQL names."""
+_M = "struct<unit:string,value:double,upper_value:double>"
+_CALC = pa.struct([("unit", pa.string()), ("value", pa.float64()), ("upper_value", pa.float64())])
+
+
+def _over_measures(f: Callable, kind: pa.DataType, sql: str | DataType, *more: str):
+    """An SQL function of a measure and further columns; null where a needed one is."""
+
+    def run(*columns: pa.Array) -> pa.Array:
+        return pa.array([None if any(v is None for v in row) or row[0]["value"] is None or row[0]["unit"] is None else f(*row) for row in zip(*(c.to_pylist() for c in columns))], kind)
+
+    names = ("m", *more)
+    env: dict = {"run": run, "pa": pa}
+    exec(f"def call({', '.join(f'{n}: pa.Array' for n in names)}) -> pa.Array:\n    return run({', '.join(names)})", env)
+    return F.arrow_udf(env["call"], sql)
+
+
+def register(spark: SparkSession, extra_units: tuple[str, ...] = ()) -> None:
+    """The functions under their SQL names. `extra_units` are countable units beyond the built-in ones, singular and plural each.
+
+    Of measures: format_amount, format_amount_value, amount_kind, scale_amount, conv_amount_to_kind, conv_amount_to_unit,
+    conv_amount_to_nutrients; of mappings: parse_unit_mapping, graph_unit_mappings; of texts: parse_ingredient, decompose_ingredient,
+    parse_amount, parse_rich_text, is_valid_unit, scrape, ingredient_passes, ingredient_trace. A measure is any struct with unit,
+    value and upper_value, a mapping any struct with a and b. What can't be converted is null.
+    """
+    from larder.kernel import convert as C
+    from larder.kernel import measures as M
+    from larder.operators.recipes import scraped
+
+    extra = tuple(extra_units)
     one = {
-        "parse_ingredient": (lambda t: _ingredient(t, ()), _INGREDIENT, T.INGREDIENT),
-        "parse_amount": (lambda t: _amounts(t, ()), _MEASURES, T.MEASURES),
+        "parse_ingredient": (lambda t: _ingredient(t, extra), _INGREDIENT, T.INGREDIENT),
+        "parse_amount": (lambda t: _amounts(t, extra), _MEASURES, T.MEASURES),
         "decompose_ingredient": (_decomposed, _SPANS, T.SPANS),
         "ingredient_passes": (_passes, pa.list_(pa.string()), "array<string>"),
+        "ingredient_trace": (_trace_text, pa.string(), "string"),
         "parse_unit_mapping": (_mapping, _MAPPING, T.MAPPING),
+        "is_valid_unit": (lambda t: M.is_known(t, _parser(extra).addons), pa.bool_(), "boolean"),
     }
     for name, (kernel, kind, sql) in one.items():
         spark.udf.register(name, arrow_function(kernel, kind, sql))
+    of = lambda d: M.measure(d["unit"], d["value"], d.get("upper_value"))
+    plain = lambda m: None if m is None else {"unit": M.shown(m[0]), "value": float(m[1]), "upper_value": None if m[2] is None else float(m[2])}
+
+    def whole(x) -> bool:
+        return x is not None and all(x.get(k) and x[k]["unit"] is not None and x[k]["value"] is not None for k in ("a", "b"))
+
+    def graph(mappings):
+        return C.make_graph([(of(x["a"]), of(x["b"])) for x in mappings if whole(x)])
+
+    def to(kind: str, d: dict, mappings) -> dict | None:
+        got = C.convert(of(d), kind, graph(mappings))
+        return plain(got[0] if got else None)
+
+    spark.udf.register("format_amount", _over_measures(lambda d: M.display(of(d)), pa.string(), "string"))
+    spark.udf.register("format_amount_value", _over_measures(lambda d: int(d["value"] * 1000) / 1000, pa.float64(), "double"))
+    spark.udf.register("amount_kind", _over_measures(lambda d: M.kind_of(of(d)[0]), pa.string(), "string"))
+    spark.udf.register("scale_amount", _over_measures(lambda d, by: plain(M.scale(of(d), float(by))), _CALC, _M, "factor"))
+    spark.udf.register("conv_amount_to_kind", _over_measures(lambda d, kind, g: to(M.parse_kind(kind), d, g), _CALC, _M, "kind", "mappings"))
+    spark.udf.register("conv_amount_to_unit", _over_measures(lambda d, unit, g: to(C.target_kind(unit), d, g), _CALC, _M, "unit", "mappings"))
+    spark.udf.register("conv_amount_to_nutrients", _over_measures(lambda d, names, g: [(n, to(f"nutrient:{n}", d, g)) for n in dict.fromkeys(names) if n is not None], pa.map_(pa.string(), _CALC), f"map<string,{_M}>", "names", "mappings"))
+
+    def dots(mappings: pa.Array) -> pa.Array:
+        return pa.array([None if g is None else C.dot(graph(g)) for g in mappings.to_pylist()], pa.string())
+
+    spark.udf.register("graph_unit_mappings", F.arrow_udf(dots, "string"))
+
+    def chunked(text: pa.Array, names: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _chunks(t, tuple(x for x in n or () if x), extra) for t, n in zip(text.to_pylist(), names.to_pylist())], _CHUNKS)
+
+    spark.udf.register("parse_rich_text", F.arrow_udf(chunked, T.CHUNKS))
+    spark.udf.register("scrape", scraped.function())

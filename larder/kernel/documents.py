@@ -58,6 +58,22 @@ def iso_minutes(s: str) -> int | None:
     return total if 0 < total < 1 << 32 else None
 
 
+_NEARLY = re.compile(r"(?:about |approximately |approx\. |approx |around |roughly |~) *")
+_CLOCK = re.compile(r" *([0-9]+) *(hours?|hrs?|h|minutes?|mins?|m)(?![a-z])\.?")
+
+
+def prose_minutes(s: str) -> int | None:
+    """Minutes of "about 1 hr. 20 min"; None for anything that isn't hours and minutes throughout."""
+    t = s.strip()
+    t = t.lower() if t.isascii() else "".join(c.lower() if c.isascii() else c for c in t)
+    at = m.end() if (m := _NEARLY.match(t)) else 0
+    total, some = 0, False
+    while m := _CLOCK.match(t, at):
+        n = int(m[1]) if len(m[1]) < 20 else 1 << 33
+        total, at, some = total + n * (60 if m[2][0] == "h" else 1), m.end(), True
+    return total if some and not t[at:].strip(" ") and 0 < total < 1 << 32 else None
+
+
 def humanize(minutes: int) -> str:
     parts = [(minutes // 60, "hour"), (minutes % 60, "minute")]
     return " ".join(f"{n} {word}{'' if n == 1 else 's'}" for n, word in parts if n)
@@ -296,7 +312,8 @@ def scrape(body: str, url: str) -> dict | None:
         got[k] = got[k] and decode_entities(got[k])
     for k, clean in (("notes", decode_entities), ("equipment", decode_entities), ("ingredients", clean_line), ("instructions", clean_line)):
         got[k] = [clean(x) for x in got[k]]
-    return got
+    got["sections"] = [{"name": None, "ingredients": got["ingredients"], "instructions": got["instructions"]}]
+    return got | {k: humanize(m) if (m := got[f"{k}_minutes"]) else None for k in ("total", "prep", "cook")}
 
 
 # books

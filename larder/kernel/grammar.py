@@ -1,6 +1,7 @@
 """The measurement grammar: ordered attempts over one string, each giving where it ends and what it found, or None.
 
-`Abort` stands for input on which the line as a whole gives up: a number whose exponent has no digits.
+`Abort` stands for input on which the line as a whole gives up: a number whose exponent has no digits, or lists that are nested
+more than `DEPTH` deep.
 """
 
 from __future__ import annotations
@@ -37,28 +38,40 @@ _STEP = re.compile(r"\s*(?=[A-Z])([^\W\d_]+)")
 _STARTS = re.compile(rf"[0-9{GLYPH_CLASS}]")
 
 
+_PLUS_SIGN, _TO_SIGN, _RANGE_SIGN = re.compile(r"plus|\+"), re.compile(r"to|through|[–-]"), re.compile(r"to|through|or|[–-]")
+DEPTH = 200
+
+
+_PAREN, _WORD = re.compile(r"[()]"), re.compile(r"\S*")
+
+
 class Abort(Exception):
     pass
 
 
+class TooDeep(Abort):
+    pass
+
+
 def closing(s: str, at: int = 0) -> int | None:
     """Where the group that the first "(" from `at` opens is closed."""
-    depth, i = 0, s.find("(", at)
-    while 0 <= i < len(s):
-        depth += (s[i] == "(") - (s[i] == ")")
+    start = s.find("(", at)
+    depth = 0
+    for m in _PAREN.finditer(s, start) if start >= 0 else ():
+        depth += 1 if m[0] == "(" else -1
         if depth == 0:
-            return i
-        i += 1
+            return m.start()
     return None
 
 
 class Grammar:
     """Attempts over one string; numbers and single measures are remembered by place, as many attempts begin with them."""
 
-    __slots__ = ("s", "addons", "prose", "_numbers", "_singles")
+    __slots__ = ("s", "addons", "prose", "depth", "_numbers", "_singles", "_signs")
 
-    def __init__(self, s: str, addons: frozenset[str] = vocab.ADDON_UNITS, prose: bool = False):
-        self.s, self.addons, self.prose = s, addons, prose
+    def __init__(self, s: str, addons: frozenset[str] = vocab.ADDON_UNITS, prose: bool = False, depth: int = 0):
+        self.s, self.addons, self.prose, self.depth = s, addons, prose, depth
+        self._signs: tuple[bool, bool, bool] | None = None
         self._numbers: dict[int, tuple[int, float] | None] = {}
         self._singles: dict[int, tuple[int, Measure] | None] = {}
 
@@ -270,9 +283,10 @@ class Grammar:
                 return None
             inner, after = s[at + 1 : end], s[end + 1 :].lstrip()
         elif c == "-" or (c and _STARTS.match(c)):
-            inner, _, after = _cut(s[at:])
+            inner = _WORD.match(s, at)[0]
             if "-" not in inner:
                 return None
+            after = s[at + len(inner) :].lstrip()
         else:
             return None
         first, _, rest = _cut(after)
@@ -282,7 +296,9 @@ class Grammar:
             last = re.search(r"\S*\Z", after)[0]
             container, rest = (last.lower(), after[: len(after) - len(last)].rstrip()) if last.lower() in vocab.CONTAINERS else ("whole", after)
         try:
-            sizes = measures(inner.replace("-", " "), self.addons, self.prose)
+            sizes = measures(inner.replace("-", " "), self.addons, self.prose, self.depth + 1)
+        except TooDeep:
+            raise
         except Abort:
             return None
         if not sizes or sizes[0].strip() or not sizes[1]:
@@ -290,9 +306,16 @@ class Grammar:
         return rest, [measure(container, got[1], got[2]), *sizes[1]]
 
     def enclosed(self, i: int, pair: str) -> tuple[str, list[Measure]] | None:
-        if self.s[i : i + 1] != pair[0] or not (got := self.list(i + 1)):
+        if self.s[i : i + 1] != pair[0]:
             return None
-        rest, found = got
+        self.depth += 1
+        try:
+            got = self.read(i + 1)
+        finally:
+            self.depth -= 1
+        if not got:
+            return None
+        rest, found = got[0].s[got[1] :], got[2]
         if rest[:1] == pair[1]:
             return rest[1:], found
         if (gap := _S1.match(rest)) and (end := rest.find(pair[1], gap.end())) >= 0 and not re.search("[0-9]", rest[gap.end() : end]):
@@ -314,15 +337,22 @@ class Grammar:
         gap = _S1.match(s, at)
         return (gap.end(), [measure(m[0].lower(), 1.0)]) if gap else None
 
+    def _look(self) -> tuple[bool, bool, bool]:
+        self._signs = tuple(bool(p.search(self.s)) for p in (_PLUS_SIGN, _TO_SIGN, _RANGE_SIGN))
+        return self._signs
+
     def item(self, i: int) -> tuple[int | str, list[Measure]] | None:
-        got = self.plus(i) or self.cross_range(i) or self.unit_range(i) or self.counted_size(i) or self.enclosed(i, "()")
+        one = self.single(i)
+        plus, to, ranged = self._signs or self._look()  # what those forms can't do without
+        got = (plus and self.plus(i)) or (to and self.cross_range(i)) or (ranged and self.unit_range(i)) or self.counted_size(i) or self.enclosed(i, "()")
         if got:
             return got
-        one = self.single(i)
         return (one[0], [one[1]]) if one else self.unit_only(i)
 
-    def list(self, i: int = 0) -> tuple[str, list[Measure]] | None:
-        """What is left, and all measures of one list."""
+    def read(self, i: int) -> tuple[Grammar, int, list[Measure]] | None:
+        """All measures of one list, and where what is left begins: in this grammar, unless a container at the end was read first."""
+        if self.depth > DEPTH:
+            raise TooDeep
         g, at, out = self, i, []
         got = g.item(at)
         if not got:
@@ -330,11 +360,11 @@ class Grammar:
         while True:
             end, found = got
             out += found
-            g, at = (g, end) if isinstance(end, int) else (Grammar(end, g.addons, g.prose), 0)
+            g, at = (g, end) if isinstance(end, int) else (Grammar(end, g.addons, g.prose, g.depth), 0)
             m = _SEPARATOR.match(g.s, at)
             got = g.item(m.end()) if m else None
             if not got:
-                return g.s[at:], out
+                return g, at, out
 
 
 def _cut(s: str) -> tuple[str, str, str]:
@@ -347,8 +377,9 @@ def same_unit(a: str, b: str) -> bool:
     return normal_unit(unit_of(a)) == normal_unit(unit_of(b))
 
 
-def measures(s: str, addons: frozenset[str] = vocab.ADDON_UNITS, prose: bool = False) -> tuple[str, list[Measure]] | None:
-    return Grammar(s, addons, prose).list()
+def measures(s: str, addons: frozenset[str] = vocab.ADDON_UNITS, prose: bool = False, depth: int = 0) -> tuple[str, list[Measure]] | None:
+    got = Grammar(s, addons, prose, depth).read(0)
+    return (got[0].s[got[1] :], got[2]) if got else None
 
 
 def parse_amount(s: str, addons: frozenset[str] = vocab.ADDON_UNITS) -> list[Measure] | None:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from larder.kernel import paren, vocab
 from larder.kernel.grammar import Abort, Grammar, closing, measures
 from larder.kernel.measures import GLYPH_CLASS, Measure, display, measure
-from larder.kernel.normalize import REWRITES, collapse, normalize, strip_optional
+from larder.kernel.normalize import REWRITES, Step, collapse, normalize, strip_optional
 
 _NAME = re.compile(r"(?:[^\W_]|[\s\-—'’./\\])*")
 _SPLIT = re.compile(r"[(),;]")
@@ -46,6 +46,10 @@ class Draft:
                 out += (" " if text[0] == "(" else ", ") * bool(out) + text
         return out or None
 
+    def text(self) -> str:
+        mod = self.modifier()
+        return f"{self.name}, {mod}" if mod else self.name
+
     def state(self):
         return self.name, list(self.amounts), list(self.parts)
 
@@ -472,10 +476,10 @@ class LineParser:
             if log is None:
                 run(d, *args)
                 continue
-            before = d.state()
+            before, text = d.state(), d.text()
             run(d, *args)
             if d.state() != before:
-                log.append(name)
+                log.append(Step.of(name, text, d.text()))
 
     def core(self, s: str, log: list[str] | None = None) -> Line | None:
         aside = _aside(s)
@@ -534,7 +538,7 @@ class LineParser:
             inner = None if log is None else []
             if got := run(self, s, inner):
                 if log is not None:
-                    log += [name, *inner]
+                    log += [Step.of(name, s, got.name), *inner]
                 return got
         return None
 
@@ -552,6 +556,47 @@ class LineParser:
         got.confidence = "high" if got.amounts else "low" if got.unparsed_digit else "medium"
         return got
 
+    def stages(self, raw: str) -> list[tuple[str, str, str, str | None]]:
+        """(stage, name, before, after) of each pass that left its mark, of the recognizers up to the one that read the line (after is
+        null for those that didn't), and of the grammar (null where it gave the line up)."""
+        log: list[Step] = []
+        line = normalize(raw, log)
+        out = [("normalize", str(x), x.before, x.after) for x in log]
+        text, optional = strip_optional(line)
+        if optional:
+            out.append(("normalize", "strip_optional_note", line, text))
+        got, log = None, []
+        for name, run in self.RECOGNIZERS:
+            got = run(self, text, log := [])
+            out.append(("recognize", name, text, got.name if got else None))
+            if got:
+                break
+        if not got:
+            got = self.core(text, log := [])
+            out.append(("grammar", "parse_ingredient", text, got.name if got else None))
+        of = dict((name, stage) for stage, name in stage_names())
+        return out + [(of[x], str(x), x.before, x.after) for x in log if of[x] in ("segment", "refine")]
+
+    def report(self, raw: str) -> str:
+        """The stages as text."""
+        steps = self.stages(raw)
+        out = [f'{"input:":<11}"{raw}"']
+
+        def block(stage: str, none: str | None, write) -> None:
+            rows = [write(*s[1:]) for s in steps if s[0] == stage]
+            for k, text in enumerate(rows or ([none] if none else [])):
+                out.append(f"{'' if k else stage + ':':<11}{text}")
+
+        block("normalize", "(no rewrites fired)", lambda n, a, b: f'{n}  "{a}" → "{b}"')
+        tried = [f"{n} ✗" if b is None else f"{n} ✓ → {b}" for stage, n, _, b in steps if stage == "recognize"]
+        core = any(s[0] == "grammar" for s in steps)
+        out.append(f'{"recognize:":<11}{"  ".join(tried)}{"  → core parse" if core else ""}')
+        block("grammar", "(skipped: a recognizer read the line)", lambda n, a, b: "(no parse: fell back)" if b is None else f'name="{b}"')
+        block("segment", None, lambda n, a, b: f'{n}  "{a}" → {b}')
+        block("refine", "(no passes changed it)", lambda n, a, b: f'{n}  "{a}" → {b}')
+        out.append(f'{"result:":<11}name="{self.parse(raw).name}"')
+        return "\n".join(out) + "\n"
+
     def decompose(self, raw: str) -> tuple[str, list[tuple[str, int, int, str]]]:
         """The cleaned line and which of its characters became amounts, name and modifier; no spans for a recognized form."""
         text, _ = strip_optional(normalize(raw))

@@ -13,11 +13,11 @@ _PAGES = rf"\(\s*{_PAGE}(?:{_GAP}(?:and|or|to)?{_GAP}{_PAGE})*"
 CROSS_REF = re.compile(rf"\s*{_PAGES}\s*\)", re.I)
 _CROSS_OPTIONAL = re.compile(rf"{_PAGES}[\s,;]+optional\s*\)", re.I)
 NOTE_REF = re.compile(rf"\s*\(\s*{_SEE}notes?\s*\)", re.I)
-MINUS = re.compile(rf"\s*\({_INSIDE}\bminus\b{_INSIDE}\)")
+_MINUS = re.compile(r"\bminus\b")
 _MARKS = r"①-⒛⓪⓵-⓿❶-➓"
 _BULLET = re.compile(r"\A\s*[*·•∙–—-]\s+")
 _FOOTNOTES = re.compile(f"[{_MARKS}]")
-_TRAILING = re.compile(r"\s*[*†‡]+\s*\Z")
+_TRAILING = re.compile(r"(?:(?<!\s)\s+|(?<![*†‡\s]))[*†‡]++\s*\Z")
 _AMOUNT = r"\d¼-¾⅐-⅞"
 _BATCH = re.compile(rf"\A(\s*[{_AMOUNT}][{_AMOUNT}\s./-]*\s+)batch(?:es)?\s+of\s+", re.I)
 _THE = re.compile(rf"\Athe\s+(?=[0-9{GLYPH_CLASS}])", re.I)
@@ -28,8 +28,18 @@ _OPTIONAL, _LAST_OPTIONAL = re.compile(r"\s*\(optional\)", re.I), re.compile(r",
 _SHAPES = frozenset(("deep", "long", "tall", "thick", "wide"))
 
 
+def without_minus(s: str) -> str:
+    """The text without each group that says minus, and without the space before it; groups end at the first ")"."""
+    out = []
+    *closed, tail = s.split(")")
+    for part in closed:
+        i = part.find("(")
+        out.append(part[:i].rstrip() if i >= 0 and _MINUS.search(part, i) else part + ")")
+    return "".join(out) + tail
+
+
 def _minus(s: str) -> str:
-    t = MINUS.sub("", s)
+    t = without_minus(s) if "minus" in s else s
     return t if t != s and _NUMERIC.search(t) else s
 
 
@@ -69,6 +79,19 @@ REWRITES = [
 ]
 
 
+class Step(str):
+    """The name of a pass that left a mark, with what it took and made."""
+
+    before: str
+    after: str
+
+    @classmethod
+    def of(cls, name: str, before: str, after: str) -> Step:
+        made = cls(name)
+        made.before, made.after = before, after
+        return made
+
+
 def collapse(s: str) -> str:
     return " ".join(s.split())
 
@@ -77,9 +100,9 @@ def normalize(s: str, log: list[str] | None = None) -> str:
     for name, run in REWRITES:
         t = run(s)
         if t != s:
-            s = t
             if log is not None:
-                log.append(name)
+                log.append(Step.of(name, s, t))
+            s = t
     return collapse(s) if "  " in s or s[:1] == " " or s[-1:] == " " else s
 
 

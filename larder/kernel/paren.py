@@ -7,7 +7,7 @@ import re
 from larder.kernel import vocab
 from larder.kernel.grammar import Abort, closing, measures
 from larder.kernel.measures import GLYPH_CLASS
-from larder.kernel.normalize import CROSS_REF, MINUS, NOTE_REF
+from larder.kernel.normalize import CROSS_REF, NOTE_REF, without_minus
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _NUMBERED = re.compile(rf"[0-9{GLYPH_CLASS}][\s/-]*\Z")
@@ -47,7 +47,7 @@ def classify(inner: str, addons: frozenset[str] | None = vocab.ADDON_UNITS) -> s
     for kind, pattern in (("cross_reference", CROSS_REF), ("note_reference", NOTE_REF)):
         if (m := pattern.search(wrapped)) and m[0].strip() == wrapped:
             return kind
-    if MINUS.search(wrapped):
+    if without_minus(wrapped) != wrapped:
         return "minus_equivalence"
     if inner.strip().lower() == "optional":
         return "optional"

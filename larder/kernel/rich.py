@@ -5,14 +5,16 @@ from __future__ import annotations
 import re
 
 from larder.kernel import vocab
-from larder.kernel.grammar import LEAD, Abort, Grammar
+from larder.kernel.grammar import DEPTH, LEAD, Abort, Grammar, TooDeep
 from larder.kernel.measures import GLYPH_CLASS, Measure
 
-_ALLOWED = re.compile(r"[^\W_]|[\s\-—'’.\\,();#/:!]")
+_ALLOWED = re.compile(r"(?:[^\W_]+|[\s\-—'’.\\,();#/:!]+)*+")
 _PLAIN = re.compile(r"[^\W\d_]+")
 _CONTINUES = (" the ", " to ", " together", " well", " until ", " for ")
 # A measure in prose begins with one of these; anywhere else the grammar needn't be asked.
-_BEGINS = re.compile(rf"[0-9.+(\-{GLYPH_CLASS}]|(?:an? )?(?:about|approx|around|brimming|generous|good|heap|healthy|less|round|rough|scant)|up to|at most", re.I)
+_BEGINS = re.compile(
+    rf"[0-9({GLYPH_CLASS}]|\.[0-9]|[+-](?:[0-9]|\.[0-9])|(?:an? )?(?:about|approx|approximately|around|brimming|generous|good|heaped|heaping|healthy|less than|rounded|roughly|scant)[ \t]|up to|at most", re.I
+)
 _MARK = re.compile(r"\. \Z| of\Z|\.\Z|\s+\Z")
 # A number whose exponent has no digits, on which the grammar gives up.
 _MALFORMED = re.compile(r"(?<![0-9.])(?<![0-9.][eE])(?<![0-9.][eE][+-])[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?=[eE](?![+-]?[0-9]))")
@@ -31,42 +33,52 @@ def _raw(s: str, addons: frozenset[str]) -> list[Chunk]:
 
     g, at = Grammar(s, addons, prose=True), 0
     while at < len(g.s):
-        got = g.list(at) if _BEGINS.match(g.s, at) else None
+        begin = _BEGINS.search(g.s, at)
+        stop = begin.start() if begin else len(g.s)
+        end = _ALLOWED.match(g.s, at, stop).end()
+        text(g.s[at:end])
+        if end < stop or not begin:
+            break
+        at = stop
+        got = g.read(at)
         if got:
-            rest, found = got
-            if g.s.endswith(rest) and len(rest) < len(g.s) - at:
-                used = g.s[at : len(g.s) - len(rest)]
-            else:  # a container at the end of the line was read before what precedes it
-                used = g.s[at:]
+            left, end, found = got
+            # a container at the end of the line may have been read before what precedes it
+            used = g.s[at:end] if left is g else g.s[at : len(g.s) - len(left.s) + end] if g.s.endswith(left.s[end:]) and len(left.s) - end < len(g.s) - at else g.s[at:]
             lead = LEAD.match(g.s, at)
             if lead:
                 text(lead[0])
             out.append(("measure", None, found))
             if m := _MARK.search(used):
                 text(m[0])
-            g, at = Grammar(rest, addons, prose=True), 0
-            continue
-        m = _ALLOWED.match(g.s, at)
-        if not m:
+            g, at = left, end
+        elif _ALLOWED.match(g.s, at, at + 1).end() == at:
             break
-        text(m[0])
-        at = m.end()
+        else:
+            text(g.s[at])
+            at += 1
     return out
 
 
 def every_measure(s: str, addons: frozenset[str] = vocab.ADDON_UNITS) -> list[Measure]:
-    """The measures of a whole document: characters that prose may not hold and malformed numbers are passed over, not ends."""
+    """The measures of a whole document: characters that prose may not hold, malformed numbers and what opens more than DEPTH
+    parentheses are passed over, not ends."""
     out: list[Measure] = []
     for piece in _MALFORMED.split(s):
         g, at = Grammar(piece, addons, prose=True), 0
         while m := _BEGINS.search(g.s, at):
             try:
-                got = g.list(m.start())
+                got = g.read(m.start())
+            except TooDeep:  # on past what is open by then
+                at = m.start()
+                for _ in range(DEPTH):
+                    at = max(at, g.s.find("(", at)) + 1
+                continue
             except Abort:
                 got = None
             if got:
-                out += got[1]
-                g, at = Grammar(got[0], addons, prose=True), 0
+                out += got[2]
+                g, at = got[0], got[1]
             else:
                 at = m.start() + 1
     return out
@@ -102,7 +114,7 @@ def names_of(names: list[str]) -> list[str]:
 
 
 def parse(s: str, names: list[str], addons: frozenset[str] = vocab.ADDON_UNITS) -> list[Chunk] | None:
-    """The chunks; None where a number is malformed. The earliest name is taken first, of several there the longest."""
+    """The chunks; None where a number is malformed or parentheses are more than DEPTH deep. The earliest name is taken first, of several there the longest."""
     try:
         chunks = _raw(s, addons)
     except Abort:

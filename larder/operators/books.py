@@ -85,29 +85,41 @@ def mock_extract(chunks: DataFrame, rules: DataFrame) -> DataFrame:
 def assemble(extracted: DataFrame) -> DataFrame:
     """Recipes of a book from what each chunk gave, one row for each (book, title).
 
-    `extracted` has (book, chunk_idx, recipe_idx, title_hint, doc_path, title, ingredients, instructions, notes, equipment, description,
-    category). Blank titles go. A recipe without ingredients counts only as the continuation that its chunk's hint announces of a title
+    `extracted` has (book, chunk_idx, recipe_idx, title_hint, doc_path, title, notes, equipment, description, category), and either `sections`
+    or one section as (ingredients, instructions); recipe_yield, times, page and image (the recipe's photo in its chunk) where there
+    are any. Blank titles go. A recipe without ingredients counts only as the continuation that its chunk's hint announces of a title
     known before. The first occurrence names the recipe; later ones append their sections, add notes and equipment that are new, and fill what is null.
     """
     at = F.struct("chunk_idx", "recipe_idx")
     rows = extracted.withColumn("title", F.trim("title")).where("title <> ''").withColumns({"__key": F.lower("title"), "__at": at})
-    rows = rows.withColumn("__full", F.coalesce(F.size("ingredients") > 0, F.lit(False)))
+    if "sections" not in extracted.columns:
+        rows = rows.withColumn("sections", F.array(F.struct(F.lit(None).cast("string").alias("name"), "ingredients", "instructions")))
+    rows = rows.withColumn("__full", F.coalesce(F.exists("sections", lambda s: F.size(s["ingredients"]) > 0), F.lit(False)))
     by = Window.partitionBy("book", "__key").orderBy("__at")
     known = F.coalesce(F.max("__full").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     rows = rows.where(F.col("book").isNotNull()).withColumn("__known", known)
     rows = rows.where(F.col("__full") | (F.col("__known") & (F.lower(F.trim("title_hint")) == F.col("__key"))))
-    section = F.struct("ingredients", "instructions")
-    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("__at", F.expr(c).alias("v") if isinstance(c, str) else c.alias("v")))), lambda x: x["v"])
+    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("__at", F.expr(c).alias("v")))), lambda x: x["v"])
     union = lambda c: F.array_distinct(F.flatten(ordered(f"coalesce({c}, array())")))
     first = lambda c: F.get(ordered(c), F.lit(0))
-    filled = lambda c: F.get(F.filter(ordered(c), lambda x: x.isNotNull()), F.lit(0))
+    filled = lambda c: F.get(F.filter(ordered(c), lambda x: x.isNotNull()), F.lit(0)).alias(c)
+    more = [filled(c) for c in ("recipe_yield", "times", "page", "image") if c in extracted.columns]
     made = rows.groupBy("book", "__key").agg(
-        F.min("__at").alias("__first"), first("title").alias("title"), ordered(section).alias("sections"), union("notes").alias("notes"), union("equipment").alias("equipment"),
-        filled("description").alias("description"), filled("category").alias("category"), F.concat("book", F.lit("#"), first("doc_path")).alias("url"),
+        F.min("__at").alias("__first"), first("title").alias("title"), F.flatten(ordered("coalesce(sections, array())")).alias("sections"), union("notes").alias("notes"), union("equipment").alias("equipment"),
+        filled("description"), filled("category"), F.concat("book", F.lit("#"), first("doc_path")).alias("url"), *more,
     )
     return made.withColumn("recipe_pos", F.row_number().over(Window.partitionBy("book").orderBy("__first"))).drop("__key", "__first")
 
 
+def title_lines(extracted: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(book, chunk_idx, recipe_pos, line_idx): the first line of its chunk that holds each extracted recipe's title as whole words;
+    recipe_pos is the row's recipe_idx."""
+    lines = chunks.select("book", "chunk_idx", F.posexplode(F.split("text", "\n")).alias("line_idx", "__line")).withColumn("__norm", N.normalize_title("__line")).where("__norm <> ''")
+    titles = extracted.select("book", "chunk_idx", F.col("recipe_idx").alias("recipe_pos"), N.normalize_title("title").alias("__title")).where("__title <> ''")
+    hit = titles.join(lines, ["book", "chunk_idx"]).where(N.contains_title("__norm", "__title"))
+    return hit.groupBy("book", "chunk_idx", "recipe_pos").agg(F.min("line_idx").alias("line_idx"))
+
+
 def resolve_references(recipes: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(book, recipe_pos, line, title, confidence): for each ingredient line the longest title of another recipe of its book in it.
 
@@ -133,6 +145,17 @@ def reference_index(references: DataFrame) -> DataFrame:
     return references.groupBy("book", "title").agg(F.sort_array(F.collect_set("recipe_pos")).alias("used_by"))
 
 
+def reference_graph(references: DataFrame, recipes: DataFrame) -> DataFrame:
+    """(book, from_pos, to_pos, from_title, to_title): an edge for each recipe that uses another, each once.
+
+    `recipes` has (book, recipe_pos, title); a reference's title is resolved to the recipe of its book that has it.
+    """
+    to = recipes.select("book", F.col("title").alias("__t"), F.col("recipe_pos").alias("to_pos"))
+    by = recipes.select("book", F.col("recipe_pos").alias("from_pos"), F.col("title").alias("from_title"))
+    made = references.select("book", F.col("recipe_pos").alias("from_pos"), F.col("title").alias("__t")).distinct().join(to, ["book", "__t"])
+    return made.where("from_pos <> to_pos").join(by, ["book", "from_pos"]).select("book", "from_pos", "to_pos", "from_title", F.col("__t").alias("to_title"))
+
+
 def hero_images(titles: DataFrame, images: DataFrame) -> DataFrame:
     """(book, recipe_pos, path): the image nearest at or above a title's line, else the nearest below, within the chunk.
 
@@ -141,8 +164,8 @@ def hero_images(titles: DataFrame, images: DataFrame) -> DataFrame:
     near = images.select("book", "chunk_idx", F.col("line_idx").alias("__at"), "path")
     rows = titles.join(near, ["book", "chunk_idx"])
     below, far = F.col("__at") > F.col("line_idx"), F.abs(F.col("__at") - F.col("line_idx"))
-    w = Window.partitionBy("book", "recipe_pos").orderBy(below, far, "__at", "path")
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("book", "recipe_pos", "path")
+    w = Window.partitionBy("book", "chunk_idx", "recipe_pos").orderBy(below, far, "__at", "path")
+    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").select("book", "chunk_idx", "recipe_pos", "path")
 
 
 def nearest_lines(points: DataFrame, ranges: DataFrame) -> DataFrame:

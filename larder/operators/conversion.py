@@ -1,10 +1,11 @@
 """Unit conversion at table scale: equivalences as edges, their closure per graph, and an equi-join of measures to it.
 
-A table of mappings holds many graphs (one for each ingredient, say), told apart by `graph_id`. Each graph is small; the closure of
-a graph is made by one task, and measures meet it by a join on (graph_id, unit), so nothing depends on how many graphs there are.
+A table of mappings holds many graphs (one for each ingredient, say), told apart by `graph_id`. Each graph is small; its edges are
+gathered in a row, and a task reads graphs in batches, so nothing depends on how many there are. Measures meet their graph by one join on
+graph_id.
 
 Defined results: mappings without both sides, and null graph_ids, make no edge. Of several mappings of a pair of units the one with
-the highest `seq` holds. A measure that no path leads from gives null. Of paths with equally few steps the first in order of units is taken.
+the highest `seq` holds, of equal ones the one that sorts last. A measure that no path leads from gives null. Of paths with equally few steps the first in order of units is taken.
 """
 
 from __future__ import annotations
@@ -26,9 +27,20 @@ def _measure(d: dict) -> Measure:
     return unit_of(d["unit"]), rational(d["value"]), None if d.get("upper_value") is None else rational(d["upper_value"])
 
 
-def _graph(table: pa.Table) -> K.Graph:
-    rows = sorted(table.select(["seq", "a", "b"]).to_pylist(), key=lambda r: r["seq"])
-    return K.make_graph([(_measure(r["a"]), _measure(r["b"])) for r in rows])
+def _graph(edges: list[dict]) -> K.Graph:
+    return K.make_graph([(_measure(r["a"]), _measure(r["b"])) for r in edges])
+
+
+def _per_graph(mappings: DataFrame, rows_of, schema: pa.Schema, sql: str) -> DataFrame:
+    """rows_of(graph_id, graph) of each graph."""
+
+    def run(batches):
+        for batch in batches:
+            made = [r for name, edges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in rows_of(name, _graph(edges))]
+            yield pa.RecordBatch.from_pylist(made, schema)
+
+    rows = _edges(mappings).groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("seq", "a", "b"))).alias("edges"))
+    return rows.mapInArrow(run, sql)
 
 
 def _edges(mappings: DataFrame) -> DataFrame:
@@ -37,66 +49,91 @@ def _edges(mappings: DataFrame) -> DataFrame:
     return rows.where("graph_id is not null and a.unit is not null and a.value is not null and b.unit is not null and b.value is not null")
 
 
-def closure(mappings: DataFrame) -> DataFrame:
-    """CLOSURE of every graph of (graph_id, seq, a, b): factors between all units that a path joins, with the steps."""
+def goal_unit(target: str, unit: bool = False) -> str:
+    """The unit that a kind, or with `unit` a unit's spelling, is converted to."""
+    return K.normal_unit(K.base_unit(K.target_kind(target) if unit else target))
 
-    def run(table: pa.Table) -> pa.Table:
-        name = table.column("graph_id")[0].as_py()
-        rows = [{"graph_id": name, "from_unit": a, "to_unit": b, "factor": lo, "upper_factor": hi, "steps": [dict(zip(("from_unit", "to_unit", "factor"), s)) for s in steps]} for a, b, lo, hi, steps in K.closure(_graph(table))]
-        return pa.Table.from_pylist(rows, _SCHEMA)
 
-    return _edges(mappings).groupBy("graph_id").applyInArrow(run, CLOSURE)
+def closure(mappings: DataFrame, goals: list[str] | None = None) -> DataFrame:
+    """CLOSURE of every graph of (graph_id, seq, a, b): factors between all units that a path joins, with the steps.
 
+    With `goals` (units, as goal_unit gives them) only the ways to these, and for each unit a row without a goal.
+    """
 
-def convert(measures: DataFrame, closed: DataFrame, kind: str, measure: str = "measure") -> DataFrame:
-    """The measures with `converted` (in the kind's friendly unit) and `steps`; both null where the graph has no way.
+    def row(name, a, b, low, high, steps):
+        return {"graph_id": name, "from_unit": a, "to_unit": b, "factor": low, "upper_factor": high, "steps": None if steps is None else [dict(zip(("from_unit", "to_unit", "factor"), s)) for s in steps]}
 
-    `measures` has `graph_id` and a struct<unit, value, upper_value>. Pinches and dashes are teaspoons where the graph doesn't know them.
-    """
-    goal = K.normal_unit(K.base_unit(kind))
+    def rows_of(name, g):
+        if goals is None:
+            return [row(name, *w) for w in K.closure(g)]
+        return [row(name, u, None, None, None, None) for u in g] + [row(name, a, goal, *w) for goal in goals for a, *w in K.ways(g, goal)]
+
+    return _per_graph(mappings, rows_of, _SCHEMA, CLOSURE)
+
+
+_WAY = "struct<factor:double,upper_factor:double,steps:array<struct<from_unit:string,to_unit:string,factor:double>>>"
+
+
+def _converted(measures: DataFrame, closed: DataFrame, goals: dict[str, str], measure: str, each) -> DataFrame:
+    """The measures, each joined once to its graph's units and ways to all goals, with the columns that `each` makes of the results by name."""
+    units = list(dict.fromkeys(goals.values()))
+    way = F.struct("factor", "upper_factor", "steps").cast(_WAY)
+    held = [F.map_from_entries(F.collect_list(F.when(F.col("to_unit") == u, F.struct("from_unit", way)))).alias(f"__w{i}") for i, u in enumerate(units)]
+    graphs = closed.groupBy(F.col("graph_id").alias("__g")).agg(F.collect_set("from_unit").alias("__known"), *held)
     m = N.normalize_measure(measure)
     rows = measures.withColumn("__m", F.struct(*(m[k].alias(k) for k in ("unit", "value", "upper_value"))))
-    known = closed.select(F.col("graph_id").alias("__g"), F.col("from_unit").alias("__u")).distinct()
+    rows = rows.join(graphs, F.col("graph_id").cast("string") == F.col("__g"), "left")
     tiny = F.element_at(F.create_map(*[F.lit(x) for kv in K.TINY.items() for x in kv]), F.col("__m.unit"))
-    same_graph = F.col("graph_id").cast("string")
-    rows = rows.join(known, (same_graph == F.col("__g")) & (F.col("__m.unit") == F.col("__u")), "left")
-    small = F.when(F.col("__u").isNull(), tiny)
-    first = F.when(small.isNotNull(), F.array(F.struct(F.col("__m.unit").alias("from_unit"), F.lit("tsp").alias("to_unit"), small.alias("factor")))).otherwise(F.array().cast("array<struct<from_unit:string,to_unit:string,factor:double>>"))
-    rows = rows.select(*measures.columns, F.when(small.isNotNull(), "tsp").otherwise(F.col("__m.unit")).alias("__unit"), (F.col("__m.value") * F.coalesce(small, F.lit(1.0))).alias("__low"), (F.col("__m.upper_value") * F.coalesce(small, F.lit(1.0))).alias("__high"), first.alias("__first"))
-    ways = closed.where(F.col("to_unit") == goal).select(F.col("graph_id").alias("__g"), F.col("from_unit").alias("__u"), "factor", "upper_factor", F.col("steps").alias("__steps"))
-    rows = rows.join(ways, (same_graph == F.col("__g")) & (F.col("__unit") == F.col("__u")), "left")
-    here = F.col("__unit") == goal
-    low = N.round_sig(F.when(here, F.col("__low")).otherwise(F.col("__low") * F.col("factor")))
-    high = N.round_sig(F.when(here, F.col("__high")).otherwise(F.coalesce("__high", "__low") * F.col("upper_factor")))
-    found = F.struct(F.lit(goal).alias("unit"), low.alias("value"), F.when(high > low, high).alias("upper_value"))
-    reached = here | F.col("factor").isNotNull()
-    steps = F.when(here, F.col("__first")).otherwise(F.concat("__first", "__steps"))
-    return rows.select(*measures.columns, F.when(reached, N.denormalize_measure(found)).alias("converted"), F.when(reached, steps).alias("steps"))
+    rows = rows.withColumn("__small", F.when(~F.coalesce(F.array_contains("__known", F.col("__m.unit")), F.lit(False)), tiny))
+    small = F.coalesce("__small", F.lit(1.0))
+    step = "array<struct<from_unit:string,to_unit:string,factor:double>>"
+    first = F.when(F.col("__small").isNotNull(), F.array(F.struct(F.col("__m.unit"), F.lit("tsp"), F.col("__small"))).cast(step)).otherwise(F.array().cast(step))
+    rows = rows.select("*", F.when(F.col("__small").isNotNull(), "tsp").otherwise(F.col("__m.unit")).alias("__unit"), (F.col("__m.value") * small).alias("__low"), (F.col("__m.upper_value") * small).alias("__high"), first.alias("__first"))
+    rows = rows.withColumns({f"__way{i}": F.try_element_at(f"__w{i}", F.col("__unit")) for i in range(len(units))})
+    out = {}
+    for name, goal in goals.items():
+        found = F.col(f"__way{units.index(goal)}")
+        here = F.col("__unit") == goal
+        low = N.round_sig(F.when(here, F.col("__low")).otherwise(F.col("__low") * found["factor"]))
+        high = N.round_sig(F.when(here, F.col("__high")).otherwise(F.coalesce("__high", "__low") * found["upper_factor"]))
+        made = F.struct(F.lit(goal).alias("unit"), low.alias("value"), F.when(high > low, high).alias("upper_value"))
+        reached = here | found["factor"].isNotNull()
+        out[name] = F.when(reached, N.denormalize_measure(made)), F.when(reached, F.when(here, F.col("__first")).otherwise(F.concat("__first", found["steps"])))
+    return rows.select(*measures.columns, *each(out))
+
+
+def convert(measures: DataFrame, closed: DataFrame, kind: str, measure: str = "measure", unit: bool = False) -> DataFrame:
+    """The measures with `converted` (in the kind's friendly unit) and `steps`; both null where the graph has no way.
+
+    `measures` has `graph_id` and a struct<unit, value, upper_value>. Pinches and dashes are teaspoons where the graph doesn't know them.
+    With `unit` the target is a unit's spelling instead of a kind.
+    """
+    return _converted(measures, closed, {"x": goal_unit(kind, unit)}, measure, lambda out: [out["x"][0].alias("converted"), out["x"][1].alias("steps")])
+
+
+def convert_to_nutrients(measures: DataFrame, closed: DataFrame, nutrients: list[str], measure: str = "measure") -> DataFrame:
+    """The measures with `nutrients`: a map from each target ("g protein") to its amount, null where the graph has no way."""
+    goals = {n: goal_unit(f"nutrient:{n}") for n in nutrients}
+    return _converted(measures, closed, goals, measure, lambda out: [F.create_map(*[x for n in nutrients for x in (F.lit(n), out[n][0])]).alias("nutrients")])
 
 
 def convert_to_all(measures: DataFrame, closed: DataFrame, kinds: list[str], measure: str = "measure") -> DataFrame:
-    """One row for each measure and kind, `kind` naming it; the closure is read once for each kind."""
-    out = None
-    for kind in kinds:
-        part = convert(measures, closed, kind, measure).withColumn("kind", F.lit(kind))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """One row for each measure and kind, `kind` naming it; the closure is read and joined once for all kinds."""
+    goals = {k: goal_unit(k) for k in kinds}
 
+    def each(out):
+        return [F.explode(F.array(*[F.struct(out[k][0].alias("converted"), out[k][1].alias("steps"), F.lit(k).alias("kind")) for k in kinds])).alias("__one")]
 
-def islands(mappings: DataFrame) -> DataFrame:
-    """(graph_id, units) of each connected part with more than one unit."""
+    return _converted(measures, closed, goals, measure, each).select(*measures.columns, "__one.converted", "__one.steps", "__one.kind")
 
-    def run(table: pa.Table) -> pa.Table:
-        name = table.column("graph_id")[0].as_py()
-        return pa.Table.from_pylist([{"graph_id": name, "units": u} for u in K.islands(_graph(table))], pa.schema([("graph_id", pa.string()), ("units", pa.list_(pa.string()))]))
 
-    return _edges(mappings).groupBy("graph_id").applyInArrow(run, "graph_id string, units array<string>")
+def islands(mappings: DataFrame) -> DataFrame:
+    """(graph_id, units) of each connected part with more than one unit."""
+    schema = pa.schema([("graph_id", pa.string()), ("units", pa.list_(pa.string()))])
+    return _per_graph(mappings, lambda name, g: [{"graph_id": name, "units": u} for u in K.islands(g)], schema, "graph_id string, units array<string>")
 
 
 def dot(mappings: DataFrame) -> DataFrame:
     """(graph_id, dot): each graph as DOT text."""
-
-    def run(table: pa.Table) -> pa.Table:
-        return pa.table({"graph_id": pa.array([table.column("graph_id")[0].as_py()], pa.string()), "dot": pa.array([K.dot(_graph(table))], pa.string())})
-
-    return _edges(mappings).groupBy("graph_id").applyInArrow(run, "graph_id string, dot string")
+    schema = pa.schema([("graph_id", pa.string()), ("dot", pa.string())])
+    return _per_graph(mappings, lambda name, g: [{"graph_id": name, "dot": K.dot(g)}], schema, "graph_id string, dot string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.functions import native as N
@@ -56,10 +56,11 @@ def parse_corpus(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def strict(corpus: DataFrame) -> DataFrame:
-    """The rows, or ValueError with the first problems when there is any."""
-    bad = corpus.where("problem is not null").orderBy("pos").limit(20).collect()
-    if bad:
-        raise ValueError("; ".join(f"line {r['pos']}: {r['problem']}" for r in bad))
+    """The rows, or ValueError with all problems when there is any; what makes none is on the driver only as its problems."""
+    bad = corpus.where("problem is not null").orderBy("pos").select("pos", "problem").toLocalIterator()
+    said = "; ".join(f"line {r['pos']}: {r['problem']}" for r in bad)
+    if said:
+        raise ValueError(said)
     return corpus
 
 
@@ -150,15 +151,48 @@ def corpus_row(line: pa.Array) -> pa.Array:
     return pa.array([{"json": a, "refused": b} for a, b in made], pa.struct([("json", pa.string()), ("refused", pa.string())]))
 
 
-def html_table(scored: DataFrame, most: int = 10_000) -> str:
-    """A page with the scored rows by section, for people to read; `most` bounds what a page shows."""
+FILTERS = {"all": None, "regressions": "regression", "promotes": "promote", "xfails": "xfail"}
+
+
+def by_status(scored: DataFrame, which: str = "all") -> DataFrame:
+    """The scored rows that a filter (a key of FILTERS) lets through, in the order of `pos`."""
+    status = FILTERS[which]
+    return (scored if status is None else scored.where(F.col("status") == status)).orderBy("pos")
+
+
+def same_ingredient(a: Column, b: Column) -> Column:
+    """Whether two INGREDIENTs are equal; how sure the reading is doesn't count, and null equals null."""
+    return N.ingredient_key(a).eqNullSafe(N.ingredient_key(b))
+
+
+def amount_table(rows: DataFrame, parsed: str = "parsed") -> DataFrame:
+    """(line, unit, value, upper_value, shown): a row for each amount of each line, for show()."""
+    m = rows.select("line", F.explode(f"{parsed}.amounts").alias("m"))
+    return m.select("line", "m.unit", "m.value", "m.upper_value", N.display_measure("m").alias("shown"))
+
+
+def html_rows(scored: DataFrame) -> DataFrame:
+    """(section, pos, html): a table row for each scored row, parsed beside labelled, to be written in any number of files."""
+    cell = lambda c: F.concat(F.lit("<td>"), _escaped(F.coalesce(c, F.lit(""))), F.lit("</td>"))
+    amounts = lambda c: F.array_join(F.transform(c, N.display_measure), ", ")
+    cells = [F.col("labels.input"), F.col("parsed.name"), amounts("parsed.amounts"), F.col("parsed.modifier"), F.col("labels.name"), amounts("labels.amounts"), F.col("labels.modifier"), F.col("status")]
+    return scored.select("section", "pos", F.concat(F.lit("<tr>"), *map(cell, cells), F.lit("</tr>")).alias("html"))
+
+
+def _escaped(c: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def html_table(scored: DataFrame) -> str:
+    """A page with all scored rows by section, for people to read; rows come one partition at a time. For many rows write html_rows()."""
     from html import escape
 
-    rows = scored.orderBy("pos").limit(most).select("section", "labels.input", "parsed.name", F.array_join(F.transform("parsed.amounts", N.display_measure), ", ").alias("amounts"), "parsed.modifier", "status").collect()
     out, last = ["<table>"], object()
-    for r in rows:
+    for r in html_rows(scored).orderBy("pos").toLocalIterator():
         if r["section"] != last:
-            out.append(f'<tr><th colspan="5">{escape(r["section"] or "")}</th></tr>')
+            out.append(f'<tr><th colspan="8">{escape(r["section"] or "")}</th></tr>')
             last = r["section"]
-        out.append("<tr>" + "".join(f"<td>{escape(r[k] or '')}</td>" for k in ("input", "name", "amounts", "modifier", "status")) + "</tr>")
+        out.append(r["html"])
     return "\n".join([*out, "</table>"])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import parsing as P
@@ -12,10 +12,11 @@ from larder.kernel import documents as K
 
 RECIPE = (
     "struct<name:string,url:string,image:string,description:string,category:string,recipe_yield:struct<value:double,unit:string>,servings:int,"
-    "total_minutes:bigint,prep_minutes:bigint,cook_minutes:bigint,notes:array<string>,equipment:array<string>,ingredients:array<string>,instructions:array<string>>"
+    "total_minutes:bigint,prep_minutes:bigint,cook_minutes:bigint,total:string,prep:string,cook:string,notes:array<string>,equipment:array<string>,ingredients:array<string>,instructions:array<string>,"
+    "sections:array<struct<name:string,ingredients:array<string>,instructions:array<string>>>>"
 )
 _T = pa.list_(pa.string())
-_RECIPE = pa.struct([*((k, pa.string()) for k in ("name", "url", "image", "description", "category")), ("recipe_yield", pa.struct([("value", pa.float64()), ("unit", pa.string())])), ("servings", pa.int32()), *((f"{k}_minutes", pa.int64()) for k in ("total", "prep", "cook")), ("notes", _T), ("equipment", _T), ("ingredients", _T), ("instructions", _T)])
+_RECIPE = pa.struct([*((k, pa.string()) for k in ("name", "url", "image", "description", "category")), ("recipe_yield", pa.struct([("value", pa.float64()), ("unit", pa.string())])), ("servings", pa.int32()), *((f"{k}_minutes", pa.int64()) for k in ("total", "prep", "cook")), *((k, pa.string()) for k in ("total", "prep", "cook")), ("notes", _T), ("equipment", _T), ("ingredients", _T), ("instructions", _T), ("sections", pa.list_(pa.struct([("name", pa.string()), ("ingredients", _T), ("instructions", _T)])))])
 
 
 @arrow(RECIPE)
@@ -82,20 +83,14 @@ def parse_lines_by_recipe(lines: DataFrame, steps: DataFrame, key: str) -> DataF
 
 @arrow("struct<value:double,unit:string,servings:int>")
 def parse_yield(text: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else K.parse_yield(t) for t in text.to_pylist()], pa.struct([("value", pa.float64()), ("unit", pa.string()), ("servings", pa.int32())]))
+    return P.by_distinct(text, K.parse_yield, pa.struct([("value", pa.float64()), ("unit", pa.string()), ("servings", pa.int32())]))
 
 
 @arrow("string")
 def decode_entities(text: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else K.decode_entities(t) for t in text.to_pylist()], pa.string())
+    return P.by_distinct(text, K.decode_entities, pa.string())
 
 
 @arrow("array<string>")
 def null_paths(text: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else K.null_paths(t) for t in text.to_pylist()], pa.list_(pa.string()))
-
-
-def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in the order given."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    return P.by_distinct(text, K.null_paths, pa.list_(pa.string()))

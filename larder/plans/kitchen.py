@@ -22,7 +22,7 @@ def priced_lines(lines: DataFrame, mappings: DataFrame) -> DataFrame:
     """Lines (graph_id, line) with the price of their first amount by the mappings (graph_id, seq, text) of their graph."""
     stated = mappings.select("graph_id", "seq", P.parse_mapping("text").alias("m")).where("m.error is null").select("graph_id", "seq", "m.a", "m.b")
     rows = lines.withColumn("__p", P.parse_line("line")).withColumn("measure", F.get(F.col("__p.amounts"), F.lit(0))).drop("__p")
-    return conversion.convert(rows.where("measure is not null"), conversion.closure(stated), "money")
+    return conversion.convert(rows.where("measure is not null"), conversion.closure(stated, [conversion.goal_unit("money")]), "money")
 
 
 def cookbook_recipes(lines: DataFrame, extracted: DataFrame) -> DataFrame:

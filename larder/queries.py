@@ -228,7 +228,7 @@ def _(spark, sf_dir):
 @query("normalize_lines", "{BASE} SELECT n || ' cups ' || name AS line, count(*) AS n_rows FROM t GROUP BY 1")
 def _(spark, sf_dir):
     raw = text("  • the ", "@n", "  cups ", "@name", " (see note) (this page)*")
-    return counted(base(spark, sf_dir).select(N.normalize_line(raw).alias("line")), F.col("line"))
+    return counted(N.normalize_lines(base(spark, sf_dir).select(raw.alias("raw")), "raw", "line"), F.col("line"))
 
 
 @query("decompose_lines", "{BASE} SELECT n || ' cups' AS amount, name, 'sifted' AS modifier, count(*) AS n_rows FROM t GROUP BY n, name")

@@ -187,3 +187,38 @@ def test_slash_runs_are_linear():
     t = time.time()
     PARSER.parse("1/" * 3000 + "1")
     assert time.time() - t < 5
+
+
+HOSTILE = ["(" * 400 + "x", "(" * 5000 + ")" * 5000, "1 (" * 600 + ")" * 600, "[" * 900 + "2 g", "1 (2 (" * 300, "/" * 20_000, "1/" * 20_000, "1 or " * 5000, "1 plus " * 3000 + "2", "a, " * 10_000, " " * 50_000 + "x", "* " * 20_000 + "x", "*" * 50_000 + "x", "x" * 1_000_000, "minus " * 5000, "(minus" * 5000, "½" * 20_000, "-" * 20_000 + "1", "for the " * 5000, "1" * 5000, "chopped " * 3000, "(1" + "0" * 400 + " cups) x"]
+
+
+@pytest.mark.parametrize("k", range(len(HOSTILE)))
+def test_hostile_lines(k):
+    """Any line gives an ingredient in reasonable time; one that nests too deep falls back to itself and says so."""
+    import time
+
+    began = time.time()
+    got = PARSER.parse(HOSTILE[k])
+    PARSER.decompose(HOSTILE[k])
+    rich.parse(HOSTILE[k], ["a", "oats"])
+    rich.every_measure(HOSTILE[k])
+    assert time.time() - began < 20
+    if k < 1:
+        assert got.fell_back and got.name == HOSTILE[k] and "fell_back" in got.reasons()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 600), st.sampled_from(["(", "1 (", "(1 ", "2 (3-", "["]), st.text("ab1 )(,/½-", max_size=30), st.integers(0, 600))
+def test_nesting(n, opener, middle, m):
+    PARSER.parse(opener * n + middle + ")" * m)
+
+
+def test_nesting_that_is_read():
+    assert shown("(" * 150 + "2 cups" + ")" * 150 + " oats")[:2] == ("oats", ["2 cups"])
+
+
+def test_stage_report():
+    steps = PARSER.stages("•  2 cups chopped oats, optional")
+    assert [(s, n) for s, n, _, _ in steps] == [("normalize", "strip_leading_bullet"), ("normalize", "strip_optional_note"), ("recognize", "optional_wrapped"), ("recognize", "trailing_amount"), ("recognize", "x_of_construction"), ("grammar", "parse_ingredient"), ("refine", "extract_adjectives_from_name")]
+    assert PARSER.report("Juice of 2 lemons").splitlines()[2:4] == ["recognize: optional_wrapped ✗  trailing_amount ✗  x_of_construction ✓ → lemons", "grammar:   (skipped: a recognizer read the line)"]
+    assert PARSER.report("2eggs").splitlines()[3] == "grammar:   (no parse: fell back)"
