@@ -2,14 +2,18 @@
 
 Every document with a word gets a 256-bit SimHash of its distinct word pairs (of its one word, if it has one). Equal
 signatures are folded into one node. The nodes are partitioned by a hash of the signature alone, and every node is a query
-to every shard, its own and all others: a task holds one shard and reads the others from the shared folder one by one, so
+to every shard, its own and all others: a task holds one shard and reads others from the shared folder one by one, so
 that no two signatures are left uncompared. Of two shards one asks the other, as distance is symmetric.
-A shard builds a navigable small-world graph of its nodes and answers with a beam that doubles as long as it is full of
-partners; when the beam reaches `beam_most`, an exact scan of the shard takes over, so no partner is capped. A shard is
-audited by queries planted at exactly the radius from its nodes, one partner to be found by each, so that no group weighs
-more than another; under `recall` the beam is doubled, and beyond `beam_most` the shard answers all by exact scans. Edges
-are verified by the exact distance over all 256 bits and unioned over the whole corpus. Work grows with the square of the
-nodes.
+
+A shard's graph links each node with the nearest nodes met from it. Signatures of unlike texts all lie about as far from each other,
+so that no walk leads from afar to a query's few partners; the long jumps of the small world are entry points instead: tables of nodes by
+sampled bits, as many as let a partner at the radius share an entry with the query. From all nodes of its entries that lie within
+`reach`, a query's beam spreads over their links and expands as long as new nodes are within reach; nothing is cut off. A beam of more than
+`beam_most` nodes, and a query whose entries hold more nodes than a scan is worth, are answered by an exact scan of the shard instead. A shard is
+audited by queries planted at exactly the radius from its nodes, one partner to be found by each, so that no group weighs more than
+another, against the exact answer; under `recall` the number of entry tables is doubled, and beyond `tables_most` the shard answers
+all by exact scans. Shards of up to `core` nodes are scanned. Edges are verified by the exact distance over all 256 bits and unioned over
+the whole corpus. A query's work in a shard grows slowly with the shard; over the corpus work grows with nodes times shards.
 
 Defined results: null doc_id, null text, and texts without words are near copies of nothing. Rows that share a doc_id
 are one document: they fall into one group and stay or go together. Of each group the least doc_id stays. Other columns,
@@ -35,6 +39,7 @@ RADIUS = 54  # of 256 bits: word-pair sets of a Jaccard similarity near 0.65 at
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()  # a byte's bits, a byte each
 _S = ["s0", "s1", "s2", "s3"]
+CORE = 4096  # nodes that are scanned sooner than a graph is built
 
 
 def simhash(features: np.ndarray) -> np.ndarray:
@@ -73,19 +78,11 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.where("doc_id is not null and text is not null").mapInArrow(_sign, "doc_id bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
 
 
-def shards_of(nodes: int, most: int = 1 << 16, least: int = 1 << 12, tasks: int = 12) -> int:
+def shards_of(nodes: int, most: int = 1 << 18, least: int = 1 << 14, tasks: int = 12) -> int:
     """Number of shards: of `most` nodes at the most, and `tasks` of them unless they had fewer than `least`."""
     return max(1, -(-nodes // most), min(tasks, nodes // least))
 
 
-def distances(sig: np.ndarray, query: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Hamming distances of query rows (q, 4) to sig[ids], ids (q, k)."""
-    d = np.bitwise_count(sig[ids, 0] ^ query[:, 0:1]).astype(np.int64)
-    for k in range(1, 4):
-        d += np.bitwise_count(sig[ids, k] ^ query[:, k : k + 1])
-    return d
-
-
 def scan(sig: np.ndarray, query: np.ndarray, radius: int):
     """All (query row, node) within the radius, by comparing every pair; the first 192 bits rule most out."""
     n, cols = len(sig), [np.ascontiguousarray(sig[:, k]) for k in range(4)]
@@ -114,114 +111,128 @@ def _joined(parts) -> tuple[np.ndarray, np.ndarray]:
 
 
 class SmallWorld:
-    """Navigable small-world graph over a shard's nodes, and the search that builds it.
-
-    A core is linked by exact search. The others join in batches of up to the size so far: each node is a query to the
-    graph of those before it, by beam search, and links to the nearest it finds; it keeps these links, and the nearest
-    later comers fill a bounded number of links back. So every node is a query, and a pair is met when its later node
-    joins; nodes of one batch are compared with each other directly.
-    """
-
-    CORE, BATCH, LINKS, BACK = 1024, 2048, 12, 24
-    FAR = np.int64(1 << 62)
-
-    def __init__(self, sig: np.ndarray):
-        self.sig, n = sig, len(sig)
-        self.size = min(n, self.CORE)
+    """A shard's entry tables and graph, and the search over both."""
+
+    LINKS, BACK, SURE = 12, 24, 0.95
+
+    def __init__(self, sig: np.ndarray, radius: int, reach: int, beam_most: int, more: int = 1):
+        self.sig, self.radius, self.reach, self.beam_most, n = sig, radius, reach, beam_most, len(sig)
+        self.width = max(4, int(np.ceil(np.log2(max(n, 2) / 8))))
+        met = (1 - radius / BITS) ** self.width  # how likely a partner at the radius shares a table's entry
+        self.tables = more * int(np.ceil(np.log(1 - self.SURE) / np.log(1 - met)))
+        bits, rng = self.bits(sig), np.random.default_rng(n)
+        even = np.flatnonzero(np.abs(bits.mean(0) - 0.5) < 0.25)
+        even = even if len(even) >= 4 * self.width else np.arange(BITS)
+        self.places = [rng.choice(even, self.width, replace=False) for _ in range(self.tables)]
+        self.order, self.first = np.empty((self.tables, n), np.int32), np.empty((self.tables, (1 << self.width) + 1), np.int32)
+        for t, place in enumerate(self.places):
+            key = self.keys(bits, place)
+            self.order[t] = np.argsort(key, kind="stable")
+            self.first[t] = np.searchsorted(key[self.order[t]], np.arange((1 << self.width) + 1))
         self.links = np.full((n, self.LINKS + self.BACK), -1, np.int32)
-        self.back_d = np.full((n, self.BACK), 1 << 14, np.int32)
-        rows, k = np.arange(self.size), min(self.LINKS, self.size - 1)
-        for lo in range(0, self.size if k > 0 else 0, 256):
-            part = rows[lo : lo + 256]
-            d = sum(np.bitwise_count(sig[part, w][:, None] ^ sig[None, : self.size, w]).astype(np.int64) for w in range(4))
-            d[np.arange(len(part)), part] = 1 << 14
-            near = np.argpartition(d, k - 1, axis=1)[:, :k]
-            self.join(part, near, np.take_along_axis(d, near, 1))
 
     @staticmethod
-    def split(beam: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (beam >> 1) & 0x7FFFFFFF, beam >> 33
-
-    def join(self, rows: np.ndarray, near: np.ndarray, d: np.ndarray) -> None:
-        """Link rows to near (-1: none) and back."""
-        self.links[rows, : near.shape[1]] = near
-        ok = near.ravel() >= 0
-        to, by, dist = near.ravel()[ok], np.repeat(rows, near.shape[1])[ok], d.ravel()[ok]
-        hit = np.unique(to)
-        old = self.links[hit, self.LINKS :]
-        have = old >= 0
-        to = np.concatenate([to, np.broadcast_to(hit[:, None], old.shape)[have]])
-        by = np.concatenate([by, old[have]])
-        dist = np.concatenate([dist, self.back_d[hit][have]])
-        order = np.lexsort((by, dist, to))
-        to, by, dist = to[order], by[order], dist[order]
-        rank = np.arange(len(to)) - np.searchsorted(to, to)
-        keep = rank < self.BACK
-        self.links[to[keep], self.LINKS + rank[keep]] = by[keep]
-        self.back_d[to[keep], rank[keep]] = dist[keep]
-
-    def search(self, query: np.ndarray, beam: int) -> np.ndarray:
-        """The nearest found among the nodes so far to each signature, sorted, packed as distance, node, expanded; FAR where none."""
-        out, size = np.full((len(query), beam), self.FAR, np.int64), self.size
-        step = max(64, min(1024, (1 << 24) // max(size, 1)))
-        entry = np.linspace(0, size - 1, min(size, 16)).astype(np.int64)
-        for lo in range(0, len(query), step):
-            q = query[lo : lo + step]
-            live = np.arange(len(q))
-            seen = np.zeros((len(q), size), bool)
-            state = self._merge(out[lo : lo + step], q, live, np.broadcast_to(entry, (len(q), len(entry))), seen)
-            while len(live):
-                closed = (state[live] & 1) + (state[live] == self.FAR)
-                pick = closed.argmin(1)
-                on = closed[np.arange(len(live)), pick] == 0
-                live, pick = live[on], pick[on]
-                node = (state[live, pick] >> 1) & 0x7FFFFFFF
-                state[live, pick] |= 1
-                state[live] = self._merge(state[live], q[live], live, self.links[node], seen)
-            out[lo : lo + step] = state
-        return out
-
-    def _merge(self, state, query, rows, ids, seen) -> np.ndarray:
-        r, c = np.nonzero((ids >= 0) & ~seen[rows[:, None], ids])
-        flat = ids[r, c]
-        seen[rows[r], flat] = True
-        d = np.zeros(len(flat), np.int64)
-        for k in range(4):
-            d += np.bitwise_count(self.sig[flat, k] ^ query[r, k])
-        new = np.full(ids.shape, self.FAR, np.int64)
-        new[r, c] = (d << 33) | (flat.astype(np.int64) << 1)
-        return np.sort(np.concatenate([state, new], 1), axis=1)[:, : state.shape[1]]
-
-    def ask(self, query: np.ndarray, radius: int, beam: int, beam_most: int, first: list | None = None):
-        """Pairs (query row, node so far) within the radius; `first` takes the first beams."""
-        left, width = np.arange(len(query)), beam
-        while len(left):
-            state = self.search(query[left], width)
-            ids, d = self.split(state)
-            if first is not None and not first:
-                first.append((state, ids, d))
-            ok = (state != self.FAR) & (d <= radius)
-            full = ok.all(1)
-            row, col = np.nonzero(ok & ~full[:, None])
-            yield left[row], ids[row, col]
-            left, width = left[full], width * 2
-            if width > beam_most:
-                for q, o in scan(self.sig[: self.size], query[left], radius):
-                    yield left[q], o
-                break
-
-    def grow(self, radius: int, beam: int, beam_most: int):
-        """Join the nodes after the core; yields the pairs within the radius that each batch's queries find."""
-        while self.size < len(self.sig):
-            at, first = self.size, []
-            rows = np.arange(at, min(len(self.sig), at * 2, at + self.BATCH))
-            for q, o in self.ask(self.sig[rows], radius, beam, beam_most, first):
-                yield rows[q], o
-            for q, o in exact(self.sig[rows], np.arange(len(rows)), len(rows), radius):
-                yield q + at, o + at
-            state, ids, d = first[0]
-            self.join(rows, np.where(state[:, : self.LINKS] == self.FAR, -1, ids[:, : self.LINKS]), d[:, : self.LINKS])
-            self.size = int(rows[-1]) + 1
+    def bits(sig: np.ndarray) -> np.ndarray:
+        return np.unpackbits(np.ascontiguousarray(sig).view(np.uint8), axis=1)
+
+    @staticmethod
+    def keys(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+        key = np.zeros(len(bits), np.int32)
+        for j in place:
+            key = (key << 1) | bits[:, j]
+        return key
+
+    def near(self, query: np.ndarray, row: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The (query row, node) pairs within reach as row << 32 | node, each once and sorted, and their distances."""
+        d = np.bitwise_count(self.sig[node, 0] ^ query[row, 0])
+        d += np.bitwise_count(self.sig[node, 1] ^ query[row, 1])
+        some = np.flatnonzero(d <= self.reach)
+        row, node, d = row[some], node[some], d[some].astype(np.int32)
+        for k in (2, 3):
+            d += np.bitwise_count(self.sig[node, k] ^ query[row, k])
+        some = d <= self.reach
+        pair, at = np.unique((row[some].astype(np.int64) << 32) | node[some], return_index=True)
+        return pair, d[some][at]
+
+    def entries(self, query: np.ndarray, step: int = 2048, most: int = 1 << 21):
+        """For part after part of the queries: its first row and its queries, the pairs within reach among the nodes that share an entry
+        with a query, their distances, and the rows that are better scanned. A part has about `most` nodes to look at."""
+        for begin in range(0, len(query), step):
+            part = query[begin : begin + step]
+            bits = self.bits(part)
+            key = [self.keys(bits, p) for p in self.places]
+            size = np.stack([f[k + 1] - f[k] for f, k in zip(self.first, key)])
+            total = size.sum(0, dtype=np.int64)
+            heavy = total > max(len(self.sig) // 16, 32 * self.tables)
+            size[:, heavy] = 0
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(np.where(heavy, 0, total)) // most)) + 1).tolist(), len(part)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                rows, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for t, k in enumerate(key):
+                    n = size[t, lo:hi]
+                    if n.any():
+                        start = np.cumsum(n) - n
+                        rows.append(np.repeat(np.arange(hi - lo), n))
+                        nodes.append(self.order[t][np.repeat(self.first[t][k[lo:hi]] - start, n) + np.arange(int(n.sum()))])
+                pair, d = self.near(part[lo:hi], np.concatenate(rows), np.concatenate(nodes))
+                yield begin + lo, part[lo:hi], pair, d, np.flatnonzero(heavy[lo:hi])
+
+    def spread(self, query: np.ndarray, pair: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The beams spread over the links as long as they grow; the queries whose beams outgrow beam_most leave to be scanned."""
+        fresh, wide = pair, np.zeros(0, np.int64)
+        while len(fresh):
+            row, n = np.unique(pair >> 32, return_counts=True)
+            over = row[n > self.beam_most]
+            if len(over):
+                wide = np.concatenate([wide, over])
+                keep = ~np.isin(pair >> 32, over)
+                pair, d, fresh = pair[keep], d[keep], fresh[~np.isin(fresh >> 32, over)]
+            to = self.links[fresh & 0xFFFFFFFF]
+            r, c = np.nonzero(to >= 0)
+            asked = np.unique((fresh[r] >> 32 << 32) | to[r, c])
+            if len(pair):
+                at = np.minimum(np.searchsorted(pair, asked), len(pair) - 1)
+                asked = asked[pair[at] != asked]
+            fresh, more = self.near(query, asked >> 32, asked & 0xFFFFFFFF)
+            pair, d = np.concatenate([pair, fresh]), np.concatenate([d, more])
+            order = np.argsort(pair, kind="stable")
+            pair, d = pair[order], d[order]
+        return pair, d, wide
+
+    def ask(self, query: np.ndarray):
+        """Pairs (query row, node) within the radius."""
+        for lo, q, pair, d, heavy in self.entries(query):
+            pair, d, wide = self.spread(q, pair, d)
+            pair = pair[d <= self.radius]
+            yield (pair >> 32) + lo, pair & 0xFFFFFFFF
+            yield from self.scanned(q, np.concatenate([heavy, wide]), lo)
+
+    def scanned(self, query: np.ndarray, rows: np.ndarray, lo: int):
+        if len(rows):
+            for q, o in scan(self.sig, query[rows], self.radius):
+                yield rows[q] + lo, o
+
+    def grow(self):
+        """Link all nodes; yields the pairs within the radius that are met on the way."""
+        rows, nodes, ds = [], [], []
+        for lo, _, pair, d, _ in self.entries(self.sig):
+            row, node = (pair >> 32) + lo, pair & 0xFFFFFFFF
+            other = row != node
+            row, node, d = row[other], node[other], d[other]
+            yield row[d <= self.radius], node[d <= self.radius]
+            order = np.lexsort((node, d, row))  # the nearest of each node
+            row, node, d = row[order], node[order], d[order]
+            few = np.arange(len(row)) - np.searchsorted(row, row) < self.LINKS
+            rows.append(row[few])
+            nodes.append(node[few])
+            ds.append(d[few])
+        row, node, d = (np.concatenate(x) for x in (rows, nodes, ds))
+        self.links[row, np.arange(len(row)) - np.searchsorted(row, row)] = node
+        order = np.lexsort((row, d, node))
+        row, node = row[order], node[order]
+        rank = np.arange(len(node)) - np.searchsorted(node, node)
+        few = rank < self.BACK
+        self.links[node[few], self.LINKS + rank[few]] = row[few]
 
 
 def planted(sig: np.ndarray, rows: np.ndarray, radius: int) -> np.ndarray:
@@ -231,43 +242,46 @@ def planted(sig: np.ndarray, rows: np.ndarray, radius: int) -> np.ndarray:
 
 
 class Shard:
-    """A shard's answers. own() comes first: it builds the graph, and the audit settles the beam (0: exact scans)."""
+    """A shard's answers. own() comes first: it builds the graph, and the audit settles how many entry tables it has, if a graph does at all."""
 
-    def __init__(self, sig: np.ndarray, radius: int, beam: int = 24, beam_most: int = 96, audit: int = 256, recall: float = 0.9):
-        self.sig, self.radius, self.beam, self.beam_most, self.audit, self.least, self.recall = sig, radius, beam, beam_most, audit, recall, 1.0
+    def __init__(self, sig: np.ndarray, radius: int, core: int = CORE, reach: int = 26, beam_most: int = 256, tables_most: int = 4, audit: int = 256, recall: float = 0.9):
+        self.sig, self.radius, self.core, self.reach, self.beam_most, self.tables_most, self.audit, self.least = sig, radius, core, radius + reach, beam_most, tables_most, audit, recall
+        self.world: SmallWorld | None = None
+        self.recall = 1.0
 
-    def audited(self, beam: int) -> float:
-        """The share of planted queries whose beam finds the node that they were made from; full beams are scanned anyway."""
+    def audited(self, world: SmallWorld) -> float:
+        """The share of planted queries that find the node they were made from; its distance is the radius, so an exact scan finds it."""
         rows = np.unique(np.linspace(0, len(self.sig) - 1, self.audit).astype(np.int64))
-        state = self.world.search(planted(self.sig, rows, self.radius), beam)
-        ids, d = self.world.split(state)
-        near = (state != self.world.FAR) & (d <= self.radius)
-        asked = ~near.all(1)
-        return float((near & (ids == rows[:, None])).any(1)[asked].mean()) if asked.any() else 1.0
+        found = np.zeros(len(rows), bool)
+        for q, o in world.ask(planted(self.sig, rows, self.radius)):
+            found[q[rows[q] == o]] = True
+        return float(found.mean())
+
+    def build(self):
+        """Settle how the shard answers; yields the pairs within the radius that are met on the way."""
+        more = 1
+        while len(self.sig) > self.core and more <= self.tables_most:
+            world = SmallWorld(self.sig, self.radius, self.reach, self.beam_most, more)
+            yield from world.grow()
+            self.recall = self.audited(world)
+            if self.recall >= self.least:
+                self.world = world
+                return
+            more *= 2
+        self.recall = 1.0
 
     def own(self):
         """Pairs (row, other) of the shard's own nodes, every row being a query."""
-        n, core = len(self.sig), min(len(self.sig), SmallWorld.CORE)
-        yield from exact(self.sig, np.arange(core), core, self.radius)
-        if n <= core:
-            self.beam = 0
+        yield from self.build()
+        if self.world is None:
+            yield from exact(self.sig, np.arange(len(self.sig)), len(self.sig), self.radius)
             return
-        self.world, first = SmallWorld(self.sig), self.beam
-        yield from self.world.grow(self.radius, self.beam, self.beam_most)
-        while self.beam <= self.beam_most:
-            self.recall = self.audited(self.beam)
-            if self.recall >= self.least:
-                break
-            self.beam *= 2
-        else:
-            self.beam, self.recall = 0, 1.0
-        if self.beam != first:
-            for q, o in self.meets(self.sig):
-                yield q[q != o], o[q != o]
+        for q, o in self.meets(self.sig):
+            yield q[q != o], o[q != o]
 
     def meets(self, query: np.ndarray):
         """Pairs (query row, row) of other signatures with the shard's nodes."""
-        return self.world.ask(query, self.radius, self.beam, self.beam_most) if self.beam else scan(self.sig, query, self.radius)
+        return self.world.ask(query) if self.world else scan(self.sig, query, self.radius)
 
 
 def partners(sig: np.ndarray, radius: int, **settings):
@@ -326,26 +340,38 @@ def asked_by(shard: int, shards: int) -> list[int]:
     return [(shard + k) % shards for k in range(1, half + 1) if 2 * k != shards or shard < half]
 
 
-def _edges(path: str, shards: int, radius: int):
+def _edges(path: str, radius: int, core: int):
+    """Edges of (shard, others, own) rows: of the shard's own nodes with each other where `own`, and with the nodes of the others."""
+
     def run(batches):
         for batch in batches:
-            for i in batch.column(0).to_pylist():
+            for i, others, own in zip(*(c.to_pylist() for c in batch.columns)):
                 ids, sig = _read(path, i)
                 if not len(ids):  # what this shard holds none of meets nothing here
                     continue
-                shard = Shard(sig, radius)
-                a, b = _forest(len(ids), shard.own())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
-                for j in asked_by(i, shards):
-                    others, query = _read(path, j)
-                    a, b = _forest(len(ids) + len(others), ((q + len(ids), o) for q, o in shard.meets(query)))
-                    both = np.concatenate([ids, others])
+                shard = Shard(sig, radius, core)
+                a, b = _forest(len(ids), shard.own() if own else shard.build())
+                if own:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+                for j in others:
+                    theirs, query = _read(path, j)
+                    a, b = _forest(len(ids) + len(theirs), ((q + len(ids), o) for q, o in shard.meets(query)))
+                    both = np.concatenate([ids, theirs])
                     yield pa.RecordBatch.from_arrays([pa.array(both[a]), pa.array(both[b])], ["a", "b"])
 
     return run
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def work(shards: int, most: int = 16) -> list[tuple[int, list[int], bool]]:
+    """The tasks: a shard and the others that ask it, `most` of them at once, so that tasks grow in number and not in length."""
+    out = []
+    for i in range(shards):
+        others = asked_by(i, shards)
+        out += [(i, others[k : k + most], k == 0) for k in range(0, max(1, len(others)), most)]
+    return out
+
+
+def near_groups(docs: DataFrame, radius: int = RADIUS, core: int = CORE) -> DataFrame:
     """(doc_id, kept_id) of every document that is a near copy of another in its group and isn't the one that stays."""
     spark = docs.sparkSession
     sig = materialize(signatures(docs), "signatures")
@@ -353,7 +379,9 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     shards = shards_of(nodes.count())
     path = scratch_path(spark, "shards")
     nodes.select("node", *_S, F.pmod(F.xxhash64(*_S), F.lit(shards)).alias("shard")).repartition(shards, "shard").write.partitionBy("shard").parquet(path)
-    edges = spark.range(0, shards, 1, shards).mapInArrow(_edges(path, shards, radius), "a bigint, b bigint")
+    todo = work(shards)
+    todo = spark.createDataFrame([(k, *w) for k, w in enumerate(todo)], "k int, shard int, others array<int>, own boolean").repartitionByRange(len(todo), "k").drop("k")
+    edges = todo.mapInArrow(_edges(path, radius, core), "a bigint, b bigint")
     roots = components(edges)
     known = nodes.join(roots, "node", "left").withColumn("kept_id", F.coalesce("root", "node"))
     known = known.where("root is not null or last <> node").select(*_S, "kept_id")
