@@ -433,8 +433,13 @@ def format_quantity_ascii(v: Col) -> Column:
     part = F.abs(x) - whole
     tries = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda d: F.struct(d.alias("d"), F.round(part * d).cast("int").alias("n")))
     found = F.get(F.filter(tries, lambda t: F.abs(t["n"] / t["d"] - part) < 1e-9), F.lit(0))
-    up = found["n"] == found["d"]
-    head = whole + F.when(up, 1).otherwise(0)
-    sign = F.when(x < 0, "-").otherwise("")
-    text = F.when(up | (found["n"] == 0), F.concat(sign, head.cast("string"))).otherwise(F.concat(sign, F.when(whole == 0, "").otherwise(F.concat(whole.cast("string"), F.lit(" "))), found["n"].cast("string"), F.lit("/"), found["d"].cast("string")))
-    return F.when(x == 0, "0").when(found.isNotNull(), text).otherwise(F.regexp_replace(F.format_string("%.4f", x), r"\.?0+$", ""))
+    plain = F.regexp_replace(F.format_string("%.4f", x), r"\.?0+$", "")
+
+    def shown(f: Column) -> Column:
+        up = f["n"] == f["d"]
+        sign = F.when(x < 0, "-").otherwise("")
+        head = F.when(whole == 0, "").otherwise(F.concat(whole.cast("string"), F.lit(" ")))
+        text = F.when(up | (f["n"] == 0), F.concat(sign, (whole + F.when(up, 1).otherwise(0)).cast("string"))).otherwise(F.concat(sign, head, f["n"].cast("string"), F.lit("/"), f["d"].cast("string")))
+        return F.when(f.isNotNull(), text).otherwise(plain)
+
+    return F.when(x == 0, "0").otherwise(let(found, shown))

@@ -172,6 +172,19 @@ def _chunks(text: str, names: tuple[str, ...], extra: tuple[str, ...] = ()) -> l
     return None if got is None else [{"kind": k, "text": s, "measures": None if ms is None else [measure_row(m) for m in ms]} for k, s, ms in got]
 
 
+@lru_cache(KEPT)
+def _amount_string(text: str) -> dict:
+    try:
+        return {"measure": measure_row(grammar.parse_amount_string(text)), "error": None}
+    except ValueError as e:
+        return {"measure": None, "error": str(e)}
+
+
+def parse_amount_string(text: Column | str) -> Column:
+    """struct<measure, error> of a text that is one amount: "4 lb", "$5", "120g"; `error` says what is wrong with any other."""
+    return arrow_function(_amount_string, pa.struct([("measure", _MEASURE), ("error", pa.string())]), f"struct<measure:{T.MEASURE},error:string>")(_text(text))
+
+
 def rich_text(text: Column | str, names: Column, extra_units: tuple[str, ...] = ()) -> Column:
     """CHUNKS of instruction prose, `names` being an array of the recipe's ingredient names."""
     extra = tuple(extra_units)

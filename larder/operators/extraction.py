@@ -85,9 +85,8 @@ def lenient_texts(text: pa.Array) -> pa.Array:
 def fill_minutes(times: Column | str) -> Column:
     """TIMES with the minutes that its texts say, where no count is given."""
     t = F.col(times) if isinstance(times, str) else times
-    for k in K.TIMES:
-        t = t.withField(f"{k}_minutes", F.coalesce(t[f"{k}_minutes"], N.prose_minutes(t[k])))
-    return t
+    minutes = [F.coalesce(t[f"{k}_minutes"], N.prose_minutes(t[k])).alias(f"{k}_minutes") for k in K.TIMES]
+    return F.when(t.isNotNull(), F.struct(*(t[k].alias(k) for k in K.TIMES), *minutes))
 
 
 def _asked(requests: DataFrame, extractor: Extractor, model: str, attempt: int) -> DataFrame:

@@ -116,7 +116,7 @@ def _(spark, sf_dir):
 
 @query("parse_paren_size", "{BASE} SELECT 'can' AS unit, CAST(a AS DOUBLE) AS value, 'oz' AS unit2, CAST(n AS DOUBLE) AS value2, name, count(*) AS n_rows FROM t GROUP BY a, n, name")
 def _(spark, sf_dir):
-    return counted(parsed(spark, sf_dir, "@a", " (", "@n", "-ounce) cans ", "@name"), *first("value", "unit2", "value2", "name"), F.regexp_replace(amount(0, "unit"), "s$", "").alias("unit"))
+    return counted(parsed(spark, sf_dir, "@a", " (", "@n", "-ounce) cans ", "@name"), *first("unit", "value", "unit2", "value2", "name"))
 
 
 @query("parse_bracket", "{BASE} SELECT 'tbsp' AS unit, CAST(n AS DOUBLE) AS value, 'g' AS unit2, CAST(a AS DOUBLE) AS value2, name, count(*) AS n_rows FROM t GROUP BY a, n, name")
@@ -349,9 +349,18 @@ def _(spark, sf_dir):
     return conversion.islands(_geography(spark, sf_dir)).select(F.array_join(F.array_sort("units"), ",").alias("units"))
 
 
-@query("conversion_dot", "SELECT count(*) AS n_edges FROM nation")
+@query(
+    "conversion_dot",
+    "SELECT unnest(['nation' || n_nationkey, 'region' || n_regionkey]) AS node, 'other' AS class, label, CAST(n_nationkey AS BIGINT) AS edge FROM (SELECT *, CASE WHEN n_nationkey = min(n_nationkey) OVER (PARTITION BY n_regionkey) THEN '2' ELSE '0.5' END AS label FROM nation)",
+)
 def _(spark, sf_dir):
-    return conversion.dot(_geography(spark, sf_dir)).select(F.regexp_count("dot", F.lit(" -> ")).cast("bigint").alias("n_edges"))
+    """Each edge of the drawing with the nodes at its ends, read back from the text."""
+    lines = conversion.dot(_geography(spark, sf_dir)).select(F.explode(F.split("dot", "\n")).alias("l"))
+    nodes = lines.select(F.regexp_extract("l", r'^ +(\d+) \[ label = "(.*?)", class = "(.*?)"', 1).alias("i"), F.regexp_extract("l", r'label = "(.*?)"', 1).alias("node"), F.regexp_extract("l", r'class = "(.*?)"', 1).alias("class")).where("i <> ''")
+    edges = lines.select(F.regexp_extract("l", r"^ +(\d+) -> (\d+)", 1).alias("a"), F.regexp_extract("l", r"^ +(\d+) -> (\d+)", 2).alias("b"), F.regexp_extract("l", r'label = "(.*?)"', 1).alias("label")).where("a <> ''")
+    ends = lambda c: nodes.select(F.col("i").alias(c), F.col("node").alias(f"node_{c}"))
+    named = edges.join(ends("a"), "a").join(ends("b"), "b").withColumn("edge", F.regexp_extract(F.concat_ws(" ", "node_a", "node_b"), r"nation(\d+)", 1).cast("bigint"))
+    return named.select("label", "edge", F.explode(F.array("a", "b")).alias("i")).join(nodes, "i").select("node", "class", "label", "edge")
 
 
 @query("parse_mappings", "{BASE} SELECT CASE WHEN a % 2 = 0 THEN 'lb' END AS unit, CASE WHEN a % 2 = 0 THEN CAST(n AS DOUBLE) END AS value, CASE WHEN a % 2 = 0 THEN brand END AS source, a % 2 = 1 AS failed, count(*) AS n_rows FROM t GROUP BY 1, 2, 3, 4")
@@ -400,11 +409,12 @@ def _(spark, sf_dir):
 
 @query(
     "rich_measures",
-    "{BASE}, c AS (SELECT noun, unnest(['ing', 'measure', 'text', 'text', 'text']) AS kind FROM t) SELECT noun, kind, count(*) AS n_chunks FROM c GROUP BY 1, 2",
+    "{BASE}, c AS (SELECT noun, unnest([{'kind': 'text', 'text': 'Cook the ' || left(name, length(name) - length(noun)), 'value': NULL}, {'kind': 'ing', 'text': noun, 'value': NULL}, {'kind': 'text', 'text': ' for ', 'value': NULL}, {'kind': 'measure', 'text': 'minute', 'value': CAST(n AS DOUBLE)}, {'kind': 'text', 'text': '.', 'value': NULL}]) AS k FROM (SELECT *, name FROM t WHERE name LIKE '% ' || noun)) SELECT k.kind AS kind, k.text AS text, k.value AS value, count(*) AS n_chunks FROM c GROUP BY ALL",
 )
 def _(spark, sf_dir):
-    rows = base(spark, sf_dir).withColumn("c", P.rich_text(text("Cook the ", "@name", " for ", "@n", " minutes."), F.array("noun")))
-    return rows.select("noun", F.explode("c").alias("k")).groupBy("noun", F.col("k.kind").alias("kind")).agg(F.count("*").alias("n_chunks"))
+    rows = base(spark, sf_dir).where("name like '% ' || noun").withColumn("c", P.rich_text(text("Cook the ", "@name", " for ", "@n", " minutes."), F.array("noun")))
+    k, m = F.col("k"), F.get(F.col("k.measures"), F.lit(0))
+    return rows.select(F.explode("c").alias("k")).groupBy(k["kind"].alias("kind"), F.coalesce(k["text"], m["unit"]).alias("text"), m["value"].alias("value")).agg(F.count("*").alias("n_chunks"))
 
 
 @query("document_measures")
@@ -437,10 +447,13 @@ def _(spark, sf_dir):
     return made.select("url", names.alias("names"), said.alias("mentioned"))
 
 
-@query("pages_scraped")
+@query("pages_scraped", "SELECT page_id, CASE WHEN page_id % 3 = 0 AND html IS NOT NULL THEN 'Pie ' || page_id END AS name FROM pages")
 def _(spark, sf_dir):
-    """The recipes of the real pages, which hold few or none."""
-    return recipes.scrape(table(spark, sf_dir, "pages")).select("url", "recipe.name")
+    """All real pages scraped whole, a third of them with linked data of a recipe put before their end."""
+    block = F.format_string('<script type="application/' + 'ld+json">{"name":"Pie %s","recipeIngredient":["1 g salt"],"recipeInstructions":[]}</script></html>', F.col("page_id").cast("string"))
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.when(F.col("page_id") % 3 == 0, F.concat(F.regexp_replace("html", "</html>", ""), block)).otherwise(F.col("html")))
+    found = recipes.scrape(pages.select(F.col("page_id").cast("string").alias("url"), "html")).select(F.col("url").cast("bigint").alias("id"), "recipe.name")
+    return pages.join(found, F.col("page_id") == F.col("id"), "left").select("page_id", "name")
 
 
 @query("page_lines")
@@ -559,11 +572,10 @@ def _(spark, sf_dir):
     return books.usage_cost(usage, prices).select("model", F.round("cost_usd", 9).alias("cost_usd"))
 
 
-@query("cache_keys", "SELECT doc_id, sha256('v1' || chr(0) || lang || chr(0) || text || chr(0)) AS cache_key FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL AND doc_id % 2 = 1")
+@query("cache_keys", "SELECT doc_id, sha256('v1' || chr(0) || lang || chr(0) || text || chr(0)) AS cache_key FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL")
 def _(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang is not null and text is not null").select("doc_id", N.cache_key(F.lit("v1"), "lang", "text", F.lit(None)).alias("cache_key"))
-    keyed = docs.where("doc_id % 2 = 0").select("cache_key")
-    return docs.where("doc_id % 2 = 1").join(keyed.where("false"), "cache_key", "left_anti").select("doc_id", "cache_key")
+    docs = table(spark, sf_dir, "documents").where("lang is not null and text is not null")
+    return docs.select("doc_id", N.cache_key(F.lit("v1"), "lang", "text", F.lit(None)).alias("cache_key"))
 
 
 @query("uncached_requests", "SELECT count(*) AS n FROM documents WHERE text IS NOT NULL AND text NOT IN (SELECT text FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0)")
@@ -633,9 +645,16 @@ def _(spark, sf_dir):
     return counted(spans, F.col("s.span_id").cast("bigint").alias("span_id"), F.col("s.stage").alias("stage"), F.col("s.name").alias("name"))
 
 
-@query("unfired_passes", "SELECT CAST(28 AS BIGINT) AS n_passes")
+_PASSES = "strip_nbsp strip_leading_bullet strip_footnote_markers strip_trailing_footnote_markers split_crossref_optional strip_cross_reference strip_note_reference rewrite_batch_of_to_recipe strip_leading_determiner strip_minus_equivalence strip_total_in_measure_paren lift_leading_dimension lift_leading_piece_dimension optional_wrapped trailing_amount x_of_construction fix_leading_prep_phrase fix_leading_minus_clause recover_head_noun_from_modifier recover_parenthetical_alias_from_modifier recover_shared_head_from_alternatives extract_secondary_amounts_from_modifier extract_postfix_produce_unit extract_size_unit_from_name extract_leading_prep_alternative extract_trailing_prep_clause extract_adjectives_from_name extract_purpose_gerund extract_alternatives_from_name"
+
+
+@query(
+    "unfired_passes",
+    f"{{BASE}}, f AS (SELECT DISTINCT unnest(CASE WHEN n % 2 = 0 THEN ['extract_adjectives_from_name'] ELSE ['strip_leading_bullet', 'extract_purpose_gerund'] END) AS pass FROM t) SELECT pass FROM (SELECT unnest(string_split('{_PASSES}', ' ')) AS pass) WHERE pass NOT IN (SELECT pass FROM f)",
+)
 def _(spark, sf_dir):
-    return corpus.unfired(base(spark, sf_dir).select(text("@n", " cups chopped ", "@name").alias("line"))).agg(F.count("*").alias("n_passes"))
+    line = F.when(F.col("n") % 2 == 0, text("@n", " cups chopped ", "@noun")).otherwise(text("• ", "@n", " cups ", "@noun", " for frying"))
+    return corpus.unfired(base(spark, sf_dir).select(line.alias("line"))).select("pass")
 
 
 @query("low_confidence_lines", "{BASE} SELECT name || ' no' || n AS line, count(*) AS n_rows FROM t WHERE a % 2 = 0 GROUP BY 1")
@@ -670,3 +689,6 @@ def _(spark, sf_dir):
     run = totals.writeStream.outputMode("complete").option("checkpointLocation", scratch_path(spark, "stream-state")).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(out).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "kind", "total", "n")
+
+
+from larder import more_queries  # noqa: E402, F401  it registers its queries
