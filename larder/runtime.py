@@ -68,32 +68,47 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _sweep() -> None:
+    """Remove what was written; where one path can't be, the others still are."""
     for spark, path in _written:
         try:
             if spark.sparkContext._jsc is not None:
                 _delete(spark, path)
-        except Exception:
-            return  # the JVM has gone; its shared folder is the cluster's to clean
+        except Exception:  # noqa: S112  the JVM may have gone; its shared folder is the cluster's to clean
+            continue
+
+
+def _write(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file through the file system that the path names."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver was not started from its folder."""
+    """Let Python workers import this package when the driver was not started from its folder.
+
+    The package goes as an archive to the shared folder, through its own file system, and from there to the workers.
+    """
     known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
     if _ROOT in (os.path.abspath(p) for p in known if p):
         return
     if _ROOT not in sys.path:
         sys.path.insert(0, _ROOT)
-    includes = getattr(spark, "_larder_shipped", False)
-    if not includes:
-        import io
-        import zipfile
-
-        data = io.BytesIO()
-        with zipfile.ZipFile(data, "w") as z:
-            for p in Path(_ROOT, "larder").rglob("*.py"):
-                z.write(p, p.relative_to(_ROOT))
-        path = f"{shared_dir(spark).removeprefix('file://').removeprefix('file:')}/larder-src-{uuid.uuid4().hex}.zip"
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        Path(path).write_bytes(data.getvalue())
-        spark.sparkContext.addPyFile(path)
-        spark._larder_shipped = True
+    if getattr(spark, "_larder_shipped", False):
+        return
+    import io
+    import zipfile
+
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for p in Path(_ROOT, "larder").rglob("*.py"):
+            z.write(p, p.relative_to(_ROOT))
+    path = f"{shared_dir(spark)}/larder/src-{uuid.uuid4().hex}.zip"
+    _write(spark, path, data.getvalue())
+    _written.append((spark, path))
+    spark.sparkContext.addPyFile(path)
+    spark._larder_shipped = True
