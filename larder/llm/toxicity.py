@@ -4,7 +4,8 @@ Texts are TF-IDF vectors of hashed words and of the 4- and 5-grams inside them;
 A classifier looks at the `telling` features that set confirmed examples apart most in its sample. Classifiers are trained by numpy
 from confirmed toxic examples and unlabelled documents with the risk
     prior x E_toxic[loss(+)] + max(0, E_unlabelled[loss(-)] - prior x E_toxic[loss(-)])
-under the logistic loss; the class prior is the toxic share of all labelled rows, or a parameter. The sample has at most about
+under the logistic loss; the class prior is a parameter, or the toxic share of all labelled rows, but no more than the documents
+allow: a feature that a share of the confirmed examples has can't be rarer in all documents than that share of the toxic ones. The sample has at most about
 `positives` toxic and `unlabelled` other rows, drawn by a hash of the text; texts fall into
 folds by a hash, and each of the classifiers is trained without one fold, so that a wrong label can't be learnt by heart. Every document is scored over its whole text, by the one classifier that its fold wasn't shown to; above 0.5 it is toxic.
 
@@ -34,16 +35,21 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def nnpu(data, positive: np.ndarray, prior: float, epochs: int = 150, rate: float = 12.0, momentum: float = 0.9, l2: float = 1e-5, beta: float = 0.0, gamma: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights over the sample's features and the bias that minimise the non-negative risk, by gradient descent."""
+def nnpu(data, positive: np.ndarray, prior: float, epochs: int = 150, rate: float = 0.3, l2: float | None = None, beta: float = 0.0, gamma: float = 1.0, adaptive: bool = True) -> tuple[np.ndarray, float]:
+    """Weights over the sample's features and the bias that minimise the non-negative risk.
+
+    Steps are Adam's (Kingma and Ba, 2015), by which features that few examples have are learnt as soon as common ones; plain gradient
+    steps without `adaptive`. The penalty on weights is a hundredth by the number of rows unless it is given.
+    """
+    l2 = 0.01 / max(1, len(positive)) if l2 is None else l2
     at, feature, value = data
     size = int(feature.max()) + 1 if len(feature) else 1
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     n_p, n_u = max(1, int(positive.sum())), max(1, int((~positive).sum()))
-    w, bias = np.zeros(size), 0.0
-    vw, vb = np.zeros(size), 0.0
-    for _ in range(epochs):
-        z = np.bincount(row, value * w[feature], len(at) - 1) + bias
+    w = np.zeros(size + 1)  # the bias last
+    first, second = np.zeros(size + 1), np.zeros(size + 1)
+    for t in range(1, epochs + 1):
+        z = np.bincount(row, value * w[feature], len(at) - 1) + w[-1]
         s, loss = sigmoid(z), np.logaddexp(0, z)  # the loss for "-" and its slope s; for "+" the slope is s - 1
         minus = loss[~positive].sum() / n_u - prior * loss[positive].sum() / n_p
         g = np.where(positive, -prior / n_p * s, s / n_u)
@@ -51,10 +57,25 @@ def nnpu(data, positive: np.ndarray, prior: float, epochs: int = 150, rate: floa
             g = g + np.where(positive, prior / n_p * (s - 1), 0.0)
         else:
             g = -gamma * g
-        vw = momentum * vw - rate * (np.bincount(feature, value * g[row], size) + l2 * w)
-        vb = momentum * vb - rate * 0.1 * g.sum()
-        w, bias = w + vw, bias + vb
-    return w, float(bias)
+        slope = np.append(np.bincount(feature, value * g[row], size), g.sum())
+        slope[:-1] += l2 * w[:-1]
+        if adaptive:
+            first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
+            step = first / (1 - 0.9**t) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+        else:
+            step = slope
+        w = w - rate * step
+    return w[:-1], float(w[-1])
+
+
+def allowed(share: float, p: np.ndarray, n_p: int, everywhere: np.ndarray, total: int, least: int = 10, common: float = 0.2) -> float:
+    """The class prior: the share of toxic documents, held under what each feature that is common among the examples allows."""
+    seen = p / max(n_p, 1)
+    use = (p >= least) & (seen >= common)
+    if not use.any() or not total:
+        return share
+    sure = seen - np.sqrt(seen * (1 - seen) / n_p)  # less one standard error
+    return float(min(share, (everywhere[use] / total / np.maximum(sure[use], 1e-9)).min()))
 
 
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED, most: int = TELLING, least_df: int = 5):
@@ -63,9 +84,8 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positi
     n, bad = marked.agg(F.count("*"), F.sum("toxic")).first()
     if not bad:
         return None
-    prior = prior if prior is not None else min(0.9, bad / n)
-    df, total = document_frequencies(docs, word_parts, BITS)
-    weight = idf(df, total)
+    everywhere, total = document_frequencies(docs, word_parts, BITS)
+    weight = idf(everywhere, total)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("text <> ''")
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003
     toxic = marked.where("toxic = 1").select("id")
@@ -76,6 +96,8 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positi
     df, n_of = label_frequencies(sample, word_parts, BITS, 2 * FOLDS)
     if not n_of[FOLDS:].any():
         return None
+    if prior is None:
+        prior = allowed(min(0.9, bad / n), df[FOLDS:].sum(0), int(n_of[FOLDS:].sum()), everywhere, total)
     chosen, shown = [], np.zeros(1 << BITS, bool)
     for k in range(FOLDS):
         use = [i for i in range(FOLDS) if i != k]
