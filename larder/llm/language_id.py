@@ -6,7 +6,8 @@ follow-the-regularised-leader (FTRL-Proximal, McMahan et al., 2013) with elastic
 temperature by which scores are divided before they are read as probabilities. Every document is scored over its whole text.
 
 Defined results: texts without a letter, null or empty texts are 'und' with confidence 0; so is everything when no row has a
-label. With one label only, texts with letters get it. Every row gives one row, repeated rows and null doc_ids included.
+label. Of the labels the `MOST_LABELS` commonest are learnt, so that a column of noise can't fill the driver; rows of others are left out of
+the sample and get the likeliest of those. With one label only, texts with letters get it. Every row gives one row, repeated rows and null doc_ids included.
 Labels are used as they stand; ties go to the label that sorts first. Other columns, whatever their names, aren't looked at. An empty table gives an empty result.
 """
 
@@ -21,7 +22,7 @@ from larder.llm.features import characters, document_frequencies, idf, products,
 from larder.llm.textual import slices
 from larder.runtime import ship
 
-BITS, PER_CLASS = 15, 1000
+BITS, PER_CLASS, MOST_LABELS = 15, 1000, 512
 OUT = "doc_id bigint, lang string, confidence double"
 
 
@@ -64,18 +65,19 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def fit(docs: DataFrame, label: str = "lang", per_class: int = PER_CLASS):
+def fit(docs: DataFrame, label: str = "lang", per_class: int = PER_CLASS, most_labels: int = MOST_LABELS):
     """(labels, idf, weights, temperature, held-out accuracy), or None where no row has a label."""
     df, n = document_frequencies(docs, characters, BITS)
     weight = idf(df, n)
     rows = docs.select(F.col(label).cast("string").alias("label"), F.col("text").cast("string").alias("text")).where("label is not null and text <> ''")
-    count = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    common = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_labels)
+    count = {r[0]: r[1] for r in common.collect()}  # most_labels rows at most
     if not count:
         return None
     labels = sorted(count)
     share = F.create_map(*[F.lit(x) for k in labels for x in (k, min(1.0, per_class / count[k]))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003
-    y, at, feature, value = vectors(rows.where(draw < share[F.col("label")]), characters, BITS, weight)
+    y, at, feature, value = vectors(rows.where(draw < F.try_element_at(share, F.col("label"))), characters, BITS, weight)
     y = np.array([labels.index(v) for v in y], np.int64)
     order = np.random.default_rng(11).permutation(np.lexsort((np.diff(at), y)))
     held, used = order[: len(order) // 4], order[len(order) // 4 :]
