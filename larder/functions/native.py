@@ -39,7 +39,7 @@ def _one_of(c: Column, words) -> Column:
 _GLYPHS = M.GLYPH_CLASS
 _SEE, _GAP, _INSIDE = r"(?:see\s+)?", r"[\s,;]*", r"[^)]*"
 _PAGE = _SEE + r"(?:page\s+\d+|this page)"
-_PAGES = rf"\(\s*{_PAGE}(?:{_GAP}(?:and|or|to)?{_GAP}{_PAGE})*"
+_PAGES = rf"\(\s*{_PAGE}(?:{_GAP}(?:and|or|to)?{_GAP}{_PAGE})*+"
 _AMOUNT = r"\d¼-¾⅐-⅞"
 _PATTERNS = [
     (r"(?U)^\s*[*·•∙–—-]\s+", ""),
@@ -95,7 +95,7 @@ def _minus(s: Column, cut: Column) -> Column:
 
 
 def _cut_minus(s: Column) -> Column:
-    return F.when(s.contains("minus"), F.regexp_replace(s, rf"(?U)\s*\({_INSIDE}\bminus\b{_INSIDE}\)", ""))
+    return F.when(s.contains("minus"), F.regexp_replace(s, r"(?U)\s*\((?=[^)]*+\))[^)]*?\bminus\b[^)]*+\)", ""))
 
 
 def _total(s: Column) -> Column:
@@ -308,7 +308,7 @@ def truncate_text(c: Col, most: int) -> Column:
 def iso_minutes(c: Col) -> Column:
     """Whole minutes of an ISO 8601 duration of days, hours, minutes and seconds; null when zero or malformed."""
     s = F.trim(col(c))
-    form = r"^P(?=.)(?:(\d+)D)?(?:T(?:\d+[HMS])*)?$"
+    form = r"^P(?=.)(?:(\d+)D)?(?:T(?:\d+[HMS])*+)?$"
     days = F.try_to_number(F.nullif(F.regexp_extract(s, form, 1), F.lit("")), F.lit("9999999999")).cast("bigint")
     time = F.split(s, "T")[F.size(F.split(s, "T")) - 1]
     clock = F.when(s.contains("T"), time).otherwise("")
@@ -333,7 +333,7 @@ def prose_minutes(c: Col) -> Column:
     s = F.lower(F.trim(col(c)))
     s = F.regexp_replace(s, r"^(?:about |approximately |approx\. |approx |around |roughly |~) *", "")
     unit = r"(?:hours?|hrs?|h|minutes?|mins?|m)"
-    ok = s.rlike(rf"^(?: *\d+ *{unit}(?![a-z])\.?)+ *$")
+    ok = s.rlike(rf"^(?: *\d+ *{unit}(?![a-z])\.?)++ *$")
 
     def total(units: str, by: int) -> Column:
         found = F.regexp_extract_all(s, F.lit(rf"(\d+) *(?:{units})(?![a-z])"), F.lit(1))

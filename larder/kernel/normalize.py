@@ -9,7 +9,7 @@ from larder.kernel.measures import GLYPH_CLASS
 
 _SEE, _GAP, _INSIDE = r"(?:see\s+)?", r"[\s,;]*", r"[^)]*"
 _PAGE = _SEE + r"(?:page\s+\d+|this page)"
-_PAGES = rf"\(\s*{_PAGE}(?:{_GAP}(?:and|or|to)?{_GAP}{_PAGE})*"
+_PAGES = rf"\(\s*{_PAGE}(?:{_GAP}(?:and|or|to)?{_GAP}{_PAGE})*+"
 CROSS_REF = re.compile(rf"\s*{_PAGES}\s*\)", re.I)
 _CROSS_OPTIONAL = re.compile(rf"{_PAGES}[\s,;]+optional\s*\)", re.I)
 NOTE_REF = re.compile(rf"\s*\(\s*{_SEE}notes?\s*\)", re.I)

@@ -24,6 +24,14 @@ def test_native_rewrites_agree(spark):
     assert {r["line"]: r["n"] for r in N.normalize_lines(lines, "line", "n").collect()} == want
 
 
+def test_native_functions_take_long_texts(spark):
+    long = ["1 h " * 20_000, "PT" + "1M" * 20_000, "2 cups x (" + "see page 1, " * 20_000 + "see page 2)", "(" * 50_000, "*" * 50_000 + "x", " " * 50_000, "1-" * 20_000, "minus (" * 5_000]
+    rows = spark.createDataFrame([(x,) for x in long], "line string")
+    got = N.normalize_lines(rows, "line", "n").select("line", "n", N.prose_minutes("line").alias("p"), N.iso_minutes("line").alias("i")).collect()
+    by = {r["line"]: r for r in got}
+    assert by[long[0]]["p"] == 20_000 * 60 and by[long[1]]["i"] == 20_000 and all(by[x]["n"] == K.normalize(x) for x in long)
+
+
 def test_document_measures_reads_whole_documents(spark, tmp_path):
     from larder.kernel import rich
     from larder.queries import QUERIES
