@@ -11,7 +11,7 @@ from larder.functions import native as N
 from larder.functions import parsing as P
 from larder.operators import books, conversion, corpus, extraction, measures, recipes
 from larder.plans import kitchen
-from larder.queries import amount, base, counted, query, table, text
+from larder.queries import amount, base, counted, part_rows, query, table, text
 from larder.runtime import materialize, scratch_path, ship
 from larder.sources import readers, writers
 
@@ -382,7 +382,7 @@ def _(spark, sf_dir):
         F.lit('&nbsp;g\n salt</li></ul><p>Mix &amp;\t wait<style/></p><table><tr><td>flour</td><td>'), F.col("p_size").cast("string"),
         F.lit(' g</td></tr><tr><td>alone</td><td>two</td></tr></table><p>end <a href="x.xhtml#p1">see</a> <a href="http://y.org">out</a><img src="../i/a.png" alt="alt"></p></body></html>'),
     )
-    rows = table(spark, sf_dir, "part").select("p_partkey", books.page_lines(html).alias("l"))
+    rows = part_rows(spark, sf_dir).select("p_partkey", books.page_lines(html).alias("l"))
     every = lambda part, *fields: F.array_join(F.transform(F.flatten(F.transform("l", lambda x: x[part])), lambda x: F.concat_ws(" ", *(x[f] for f in fields))), "|").alias(part)
     return rows.select("p_partkey", F.array_join(F.transform("l", lambda x: x["text"]), "|").alias("lines"), every("links", "text", "href"), every("images", "path", "mime", "alt"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import native as N
 from larder.functions.arrow import arrow
+from larder.functions.parsing import by_distinct
 from larder.kernel import documents as K
 
 LINKS = "array<struct<text:string,href:string>>"
@@ -57,7 +58,7 @@ def book_images(data: pa.Array, paths: pa.Array) -> pa.Array:
 @arrow(f"array<struct<text:string,links:{LINKS},images:{IMAGES}>>")
 def page_lines(html: pa.Array) -> pa.Array:
     """Lines of one page."""
-    return pa.array([None if h is None else K.page_lines(h) for h in html.to_pylist()], pa.list_(pa.struct([("text", pa.string()), ("links", _LINKS), ("images", _IMAGES)])))
+    return by_distinct(html, lambda h: None if h is None else K.page_lines(h), pa.list_(pa.struct([("text", pa.string()), ("links", _LINKS), ("images", _IMAGES)])))
 
 
 def window_chunks(lines: DataFrame, budget: int = K.BUDGET, slack: int = K.SLACK) -> DataFrame:

@@ -14,7 +14,7 @@ from larder.functions import native as N
 from larder.functions import parsing as P
 from larder.operators import books, conversion, corpus, measures, recipes
 from larder.plans import kitchen
-from larder.runtime import scratch_path
+from larder.runtime import scratch_path, spread
 from larder.sources import writers
 from larder.streaming import streams
 
@@ -41,6 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`part` spread over all cores: its file is small, and what is made of each row is not."""
+    return spread(table(spark, sf_dir, "part"))
+
+
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, parts = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     rows = items.join(parts, items["l_partkey"] == parts["p_partkey"])

@@ -53,6 +53,17 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, *keys: str, parts: int = 0) -> DataFrame:
+    """The rows in enough partitions for all cores, `parts` at least, by the keys where there are any.
+
+    Narrow rows of a small file are one task, and what a shuffle leaves of compressible rows is few, however much work each row stands for;
+    the number is given, so that nothing puts them together again by their bytes. It shuffles the rows, so it stands before they are widened.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism, parts)
+    return df.repartition(n, *keys)
+
+
 def forget(df: DataFrame) -> None:
     """Remove a table made by materialize() that nothing will read again."""
     path = getattr(df, "_larder_path", None)
