@@ -11,7 +11,7 @@ from larder.functions import native as N
 from larder.functions import parsing as P
 from larder.operators import books, conversion, corpus, extraction, measures, recipes
 from larder.plans import kitchen
-from larder.queries import amount, base, counted, part_rows, query, table, text
+from larder.queries import amount, base, counted, once, part_rows, query, table, text
 from larder.runtime import materialize, scratch_path, ship
 from larder.sources import readers, writers
 
@@ -26,6 +26,11 @@ def _made(template: str) -> Column:
     return text(*(f"@{x[1:-1]}" if re.fullmatch(r"\{\w+\}", x) else x for x in re.split(r"(\{\w+\})", template) if x))
 
 
+def _rows(spark: SparkSession, sf_dir: str, template: str, *more: str) -> DataFrame:
+    """The distinct values that a template names, with `__n`."""
+    return once(spark, sf_dir, *dict.fromkeys([*re.findall(r"\{(\w+)\}", template), *more]))
+
+
 def _sql(columns: dict[str, str]) -> str:
     return "{BASE} SELECT " + ", ".join(f"{e} AS {c}" for c, e in columns.items()) + ", count(*) AS n_rows FROM t GROUP BY ALL"
 
@@ -35,7 +40,7 @@ def line(name: str, template: str, units: tuple[str, ...] = (), **out: str) -> N
 
     @query(name, _sql(out))
     def _(spark, sf_dir):
-        rows = base(spark, sf_dir).withColumn("p", P.parse_line(_made(template), units))
+        rows = _rows(spark, sf_dir, template).withColumn("p", P.parse_line(_made(template), units))
         return counted(rows, *(_OUT[c]().alias(c) for c in out))
 
 
@@ -44,7 +49,7 @@ def rewrite(name: str, template: str, clean: str, **out: str) -> None:
 
     @query(name, _sql({"line": clean} | out))
     def _(spark, sf_dir):
-        rows = N.normalize_lines(base(spark, sf_dir).withColumn("raw", _made(template)), "raw", "line").withColumn("p", P.parse_line("raw"))
+        rows = N.normalize_lines(_rows(spark, sf_dir, template).withColumn("raw", _made(template)), "raw", "line").withColumn("p", P.parse_line("raw"))
         return counted(rows, F.col("line"), *(_OUT[c]().alias(c) for c in out))
 
 
@@ -91,7 +96,7 @@ line("usage_surplus", "{n} g {noun}, plus more for dusting", usage="'normal'", f
 @query("usage_by_section", "{BASE} SELECT CASE WHEN a % 3 = 0 THEN 'marinade' WHEN a % 3 = 1 THEN 'normal' ELSE 'garnish' END AS usage, count(*) AS n_rows FROM t GROUP BY 1")
 def _(spark, sf_dir):
     section = F.when(F.col("a") % 3 == 1, "For the brined pork").otherwise("For the Brine")
-    rows = base(spark, sf_dir).withColumn("p", P.parse_line(F.when(F.col("a") % 3 == 2, _made("{n} g {noun}, for garnish")).otherwise(_made("{n} g {noun}"))))
+    rows = once(spark, sf_dir, "a", "n", "noun").withColumn("p", P.parse_line(F.when(F.col("a") % 3 == 2, _made("{n} g {noun}, for garnish")).otherwise(_made("{n} g {noun}"))))
     native, kernel = N.section_usage("p.usage", section), P.classify_usage("p.name", "p.modifier", _made("{n} g {noun}"), section)
     return counted(rows, F.when((native == kernel) | (native == "garnish"), native).otherwise("they differ").alias("usage"))
 
@@ -99,7 +104,7 @@ def _(spark, sf_dir):
 @query("clause_parens", _sql({"kinds": "'prep_chain,minus_measure,prose,head_candidate'", "parens": "'cross_reference|note_reference|optional,descriptive,amount,alias,other|minus_equivalence'", "stripped": "'minced and dried|minus ' || a || ' cup|with care|' || noun"}))
 def _(spark, sf_dir):
     made = _made("minced and dried (see page {n}), minus {a} cup (see note), with care (optional) (110°F) ({n} g) (kasha) (no. {n} of those), {noun} (2 cups minus {a} g)")
-    rows = base(spark, sf_dir).withColumn("c", P.clauses(made))
+    rows = once(spark, sf_dir, "n", "a", "noun").withColumn("c", P.clauses(made))
     each = lambda f, sep: F.array_join(F.transform("c", f), sep)
     return counted(rows, each(lambda c: c["kind"], ",").alias("kinds"), each(lambda c: F.array_join(c["parens"], ","), "|").alias("parens"), each(lambda c: c["stripped"], "|").alias("stripped"))
 
@@ -107,7 +112,7 @@ def _(spark, sf_dir):
 @query("amount_strings", "{BASE} SELECT CASE a % 3 WHEN 0 THEN '$' WHEN 1 THEN 'lb' END AS unit, CASE WHEN a % 3 < 2 THEN CAST(n AS DOUBLE) END AS value, a % 3 = 2 AS failed, count(*) AS n_rows FROM t GROUP BY ALL")
 def _(spark, sf_dir):
     made = F.when(F.col("a") % 3 == 0, _made("${n}")).when(F.col("a") % 3 == 1, _made("{n} lb")).otherwise(_made("{n}"))
-    rows = base(spark, sf_dir).withColumn("m", P.parse_amount_string(made))
+    rows = once(spark, sf_dir, "a", "n").withColumn("m", P.parse_amount_string(made))
     return counted(rows, F.col("m.measure.unit").alias("unit"), F.col("m.measure.value").alias("value"), F.col("m.error").isNotNull().alias("failed"))
 
 
@@ -122,7 +127,7 @@ def _chunks(rows: DataFrame) -> Column:
 def prose(name: str, template: str, names: str, chunks: str) -> None:
     @query(name, _sql({"chunks": chunks}))
     def _(spark, sf_dir):
-        rows = base(spark, sf_dir).withColumn("c", P.rich_text(_made(template), F.array(*(F.col(x) for x in names.split()))))
+        rows = _rows(spark, sf_dir, template, *names.split()).withColumn("c", P.rich_text(_made(template), F.array(*(F.col(x) for x in names.split()))))
         return counted(rows, _chunks(rows))
 
 
@@ -161,23 +166,23 @@ def _(spark, sf_dir):
 
 @query("ascii_quantities", "{BASE} SELECT n || CASE WHEN a % 8 = 0 THEN '' ELSE ' ' || (a % 8 // gcd(a % 8, 8)) || '/' || (8 // gcd(a % 8, 8)) END AS shown, count(*) AS n_rows FROM t GROUP BY ALL")
 def _(spark, sf_dir):
-    return counted(base(spark, sf_dir), N.format_quantity_ascii(F.col("n") + F.col("a") % 8 / 8).alias("shown"))
+    return counted(once(spark, sf_dir, "n", "a"), N.format_quantity_ascii(F.col("n") + F.col("a") % 8 / 8).alias("shown"))
 
 
 @query("truncations", "{BASE} SELECT trunc((n + a / 7.0) * 1000) / 1000 AS value, CASE WHEN length(name) <= 9 THEN name ELSE left(name, 9) || '...' END AS short, count(*) AS n_rows FROM t GROUP BY ALL")
 def _(spark, sf_dir):
-    return counted(base(spark, sf_dir), N.truncate_number(F.col("n") + F.col("a") / 7.0).alias("value"), N.truncate_text("name", 9).alias("short"))
+    return counted(once(spark, sf_dir, "n", "a", "name"), N.truncate_number(F.col("n") + F.col("a") / 7.0).alias("value"), N.truncate_text("name", 9).alias("short"))
 
 
 @query("scaled_ingredients", _sql({"food": "name", "value": "n * 2.5", "unit2": "'minute'", "value2": "CAST(a AS DOUBLE)"}))
 def _(spark, sf_dir):
-    rows = base(spark, sf_dir).withColumn("p", P.parse_line(_made("{n} cups / {a} minutes {name}")))
+    rows = once(spark, sf_dir, "n", "a", "name").withColumn("p", P.parse_line(_made("{n} cups / {a} minutes {name}")))
     return counted(measures.scale_ingredients(rows, 2.5, "p"), *(_OUT[c]().alias(c) for c in ("food", "value", "unit2", "value2")))
 
 
 @query("equal_ingredients", _sql({"same": "a = n"}))
 def _(spark, sf_dir):
-    rows = base(spark, sf_dir).withColumns({"p": P.parse_line(_made("{n} cups {name}, sifted")), "q": P.parse_line(_made("{a} cup {name}, sifted"))})
+    rows = once(spark, sf_dir, "n", "a", "name").withColumns({"p": P.parse_line(_made("{n} cups {name}, sifted")), "q": P.parse_line(_made("{a} cup {name}, sifted"))})
     rows = rows.withColumn("q", F.col("q").withField("parse_notes", F.col("q.parse_notes").withField("confidence", F.lit("low"))))
     return counted(rows, corpus.same_ingredient(F.col("p"), F.col("q")).alias("same"))
 
@@ -255,7 +260,7 @@ def _(spark, sf_dir):
 @query("digit_spans", _sql({"spans": "'0-' || length(CAST(n AS VARCHAR)) || ' ' || n || ';' || (length(CAST(n AS VARCHAR)) + 1 + length(noun) + 2) || '-' || (length(CAST(n AS VARCHAR)) + 1 + length(noun) + 4) || ' ½' || a", "n_marked": "CAST(2 AS BIGINT)"}))
 def _(spark, sf_dir):
     made = _made("{n}e{noun} é½{a}")
-    rows = base(spark, sf_dir).withColumn("line", made).withColumn("p", P.parse_line("line"))
+    rows = once(spark, sf_dir, "n", "a", "noun").withColumn("line", made).withColumn("p", P.parse_line("line"))
     shown = F.array_join(F.transform(N.digit_spans("line"), lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"), F.lit(" "), s["text"])), ";")
     return counted(rows, shown.alias("spans"), F.size(N.diagnostics("line", "p")).cast("bigint").alias("n_marked"))
 
@@ -263,25 +268,25 @@ def _(spark, sf_dir):
 @query("stage_report", _sql({"stages": "'normalize strip_leading_bullet • ' || n || ' cups chopped ' || noun || ' > ' || n || ' cups chopped ' || noun || '|recognize optional_wrapped ' || n || ' cups chopped ' || noun || ' > ✗|recognize trailing_amount ' || n || ' cups chopped ' || noun || ' > ✗|recognize x_of_construction ' || n || ' cups chopped ' || noun || ' > ✗|grammar parse_ingredient ' || n || ' cups chopped ' || noun || ' > ' || noun || '|refine extract_adjectives_from_name chopped ' || noun || ' > ' || noun || ', chopped'"}))
 def _(spark, sf_dir):
     one = lambda s: F.concat(s["stage"], F.lit(" "), s["name"], F.lit(" "), s["before"], F.lit(" > "), F.coalesce(s["after"], F.lit("✗")))
-    rows = base(spark, sf_dir).withColumn("s", P.trace_stages(_made("• {n} cups chopped {noun}")))
+    rows = once(spark, sf_dir, "n", "noun").withColumn("s", P.trace_stages(_made("• {n} cups chopped {noun}")))
     return counted(rows, F.array_join(F.transform("s", one), "|").alias("stages"))
 
 
 @query("stage_text", _sql({"shown": "'input:     \"Juice of ' || n || ' cups ' || noun || '\"' || chr(10) || 'normalize: (no rewrites fired)' || chr(10) || 'recognize: optional_wrapped ✗  trailing_amount ✗  x_of_construction ✓ → ' || noun || chr(10) || 'grammar:   (skipped: a recognizer read the line)' || chr(10) || 'refine:    (no passes changed it)' || chr(10) || 'result:    name=\"' || noun || '\"' || chr(10)"}))
 def _(spark, sf_dir):
-    return counted(base(spark, sf_dir), P.trace_text(_made("Juice of {n} cups {noun}")).alias("shown"))
+    return counted(once(spark, sf_dir, "n", "noun"), P.trace_text(_made("Juice of {n} cups {noun}")).alias("shown"))
 
 
 @query("trace_json", _sql({"names": "'parse_line,extract_adjectives_from_name'", "n_refs": "CAST(1 AS BIGINT)"}))
 def _(spark, sf_dir):
     kind = "data array<struct<spans:array<struct<operationName:string,references:array<struct<refType:string>>>>>>"
-    rows = base(spark, sf_dir).withColumn("j", F.from_json(P.trace_json(_made("{n} cups chopped {noun}")), kind)["data"][0]["spans"])
+    rows = once(spark, sf_dir, "n", "noun").withColumn("j", F.from_json(P.trace_json(_made("{n} cups chopped {noun}")), kind)["data"][0]["spans"])
     return counted(rows, F.array_join(F.transform("j", lambda s: s["operationName"]), ",").alias("names"), F.size(F.flatten(F.transform("j", lambda s: s["references"]))).cast("bigint").alias("n_refs"))
 
 
 @query("fired_passes", _sql({"passes": "'strip_leading_bullet,strip_footnote_markers,extract_size_unit_from_name,extract_adjectives_from_name'"}))
 def _(spark, sf_dir):
-    return counted(base(spark, sf_dir), F.array_join(P.passes(_made("• {n} large chopped {noun}①")), ",").alias("passes"))
+    return counted(once(spark, sf_dir, "n", "noun"), F.array_join(P.passes(_made("• {n} large chopped {noun}①")), ",").alias("passes"))
 
 
 @query("amount_tables", _sql({"unit": "'cup'", "value": _N, "shown": "n || CASE WHEN n > 1 THEN ' cups' ELSE ' cup' END"}))
@@ -472,7 +477,7 @@ _LISTS = ['["a", "b"]', "null", '"[\\"a\\", \\"b\\"]"', '""', '["a", 1]']
 
 @query("lenient_lists", "{BASE} SELECT CASE a % 5 WHEN 0 THEN 'a|b' WHEN 1 THEN '' WHEN 2 THEN 'a|b' WHEN 3 THEN '' END AS texts, count(*) AS n_rows FROM t GROUP BY 1")
 def _(spark, sf_dir):
-    rows = base(spark, sf_dir).withColumn("l", extraction.lenient_texts(F.element_at(F.array(*map(F.lit, _LISTS)), F.col("a") % 5 + 1)))
+    rows = once(spark, sf_dir, "a").withColumn("l", extraction.lenient_texts(F.element_at(F.array(*map(F.lit, _LISTS)), F.col("a") % 5 + 1)))
     return counted(rows, F.when(F.col("l").isNotNull(), F.array_join("l", "|")).alias("texts"))
 
 
@@ -566,7 +571,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     none = F.lit(None).cast("bigint")
     times = F.struct(F.lit(None).cast("string").alias("active"), _made("about {n} hr. {a} min").alias("total"), F.lit("1 hour").alias("prep"), F.lit("1 to 2 hours").alias("cook"), none.alias("active_minutes"), none.alias("total_minutes"), F.lit(7).cast("bigint").alias("prep_minutes"), none.alias("cook_minutes"))
-    rows = base(spark, sf_dir).withColumn("t", times).withColumn("f", extraction.fill_minutes("t"))
+    rows = once(spark, sf_dir, "n", "a").withColumn("t", times).withColumn("f", extraction.fill_minutes("t"))
     return counted(rows, *(F.col(f"f.{k}_minutes").alias(k) for k in ("total", "prep", "cook")))
 
 

@@ -55,13 +55,20 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def once(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The distinct rows of base() in these columns, `__n` being how many rows each stands for: what is made of them is made once for equal rows."""
+    return base(spark, sf_dir).groupBy(*columns).agg(F.count("*").alias("__n"))
+
+
 def text(*parts: Column | str) -> Column:
     """Columns by name between literal texts: "@n" names a column."""
     return F.concat(*((F.col(p[1:]).cast("string") if p.startswith("@") else F.lit(p)) if isinstance(p, str) else p for p in parts))
 
 
 def parsed(spark: SparkSession, sf_dir: str, *line: Column | str) -> DataFrame:
-    return base(spark, sf_dir).withColumn("line", text(*line)).withColumn("p", P.parse_line("line"))
+    """Each distinct line and its parse, with `__n`, how many rows have it."""
+    lines = base(spark, sf_dir).groupBy(text(*line).alias("line")).agg(F.count("*").alias("__n"))
+    return lines.withColumn("p", P.parse_line("line"))
 
 
 def amount(k: int, part: str) -> Column:
@@ -74,12 +81,14 @@ def first(*more: str) -> list[Column]:
 
 
 def counted(df: DataFrame, *columns: Column) -> DataFrame:
-    return df.groupBy(*columns).agg(F.count("*").alias("n_rows"))
+    """How many rows there are of each value; of rows with `__n`, how many they stand for."""
+    n = F.coalesce(F.sum("__n"), F.lit(0)) if "__n" in df.columns else F.count("*")
+    return df.groupBy(*columns).agg(n.alias("n_rows"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grams of each brand, from free text."""
-    rows = parsed(spark, sf_dir, "@n", " g ", "@name", ", chopped").select("brand", F.explode("p.amounts").alias("m"))
+    rows = base(spark, sf_dir).select("brand", F.explode(P.parse_line(text("@n", " g ", "@name", ", chopped"))["amounts"]).alias("m"))
     rows = rows.select("brand", F.struct(*(F.col("m")[k].alias(k) for k in ("unit", "value", "upper_value"))).alias("measure"))
     made = measures.sum_measures(rows, ["brand"])
     return made.where("kind = 'weight'").select("brand", F.col("total.value").alias("grams"))
@@ -233,19 +242,19 @@ def _(spark, sf_dir):
 @query("normalize_lines", "{BASE} SELECT n || ' cups ' || name AS line, count(*) AS n_rows FROM t GROUP BY 1")
 def _(spark, sf_dir):
     raw = text("  • the ", "@n", "  cups ", "@name", " (see note) (this page)*")
-    return counted(N.normalize_lines(base(spark, sf_dir).select(raw.alias("raw")), "raw", "line"), F.col("line"))
+    return counted(N.normalize_lines(once(spark, sf_dir, "n", "name").withColumn("raw", raw), "raw", "line"), F.col("line"))
 
 
 @query("decompose_lines", "{BASE} SELECT n || ' cups' AS amount, name, 'sifted' AS modifier, count(*) AS n_rows FROM t GROUP BY n, name")
 def _(spark, sf_dir):
-    rows = base(spark, sf_dir).withColumn("d", P.decompose(text("@n", " cups ", "@name", ", sifted")))
+    rows = once(spark, sf_dir, "n", "name").withColumn("d", P.decompose(text("@n", " cups ", "@name", ", sifted")))
     part = lambda f: F.get(F.filter("d.spans", lambda s: s["field"] == f), F.lit(0))["text"].alias(f)
     return counted(rows, part("amount"), part("name"), part("modifier"))
 
 
 @query("clause_kinds", "{BASE} SELECT 'head_candidate,known_prep_phrase,purpose,alternative' AS kinds, count(*) AS n_rows FROM t")
 def _(spark, sf_dir):
-    rows = base(spark, sf_dir).withColumn("c", P.clauses(text("@name", ", to taste, for serving, or other ", "@noun")))
+    rows = once(spark, sf_dir, "name", "noun").withColumn("c", P.clauses(text("@name", ", to taste, for serving, or other ", "@noun")))
     return counted(rows, F.array_join(F.transform("c", lambda x: x["kind"]), ",").alias("kinds"))
 
 
@@ -290,7 +299,7 @@ def _(spark, sf_dir):
 
 @query("format_quantities", "{BASE} SELECT n || CASE a WHEN 1 THEN '⅛' WHEN 2 THEN '¼' WHEN 3 THEN '⅜' WHEN 4 THEN '½' WHEN 5 THEN '⅝' WHEN 6 THEN '¾' WHEN 7 THEN '⅞' END AS shown, count(*) AS n_rows FROM t GROUP BY 1")
 def _(spark, sf_dir):
-    return counted(base(spark, sf_dir), N.format_quantity(F.col("n") + F.col("a") / 8).alias("shown"))
+    return counted(once(spark, sf_dir, "n", "a"), N.format_quantity(F.col("n") + F.col("a") / 8).alias("shown"))
 
 
 @query("scale_measures", "{BASE} SELECT 'cup' AS unit, n * 2.5 AS value, (n + a) * 2.5 AS upper_value, count(*) AS n_rows FROM t GROUP BY n, a")
@@ -371,7 +380,7 @@ def _(spark, sf_dir):
 @query("parse_mappings", "{BASE} SELECT CASE WHEN a % 2 = 0 THEN 'lb' END AS unit, CASE WHEN a % 2 = 0 THEN CAST(n AS DOUBLE) END AS value, CASE WHEN a % 2 = 0 THEN brand END AS source, a % 2 = 1 AS failed, count(*) AS n_rows FROM t GROUP BY 1, 2, 3, 4")
 def _(spark, sf_dir):
     line = F.when(F.col("a") % 2 == 0, text("$5/", "@n", " lb @ ", "@brand")).otherwise(text("@n", " lb"))
-    rows = base(spark, sf_dir).withColumn("m", P.parse_mapping(line))
+    rows = once(spark, sf_dir, "a", "n", "brand").withColumn("m", P.parse_mapping(line))
     return counted(rows, F.col("m.a.unit").alias("unit"), F.col("m.a.value").alias("value"), F.col("m.source").alias("source"), F.col("m.error").isNotNull().alias("failed"))
 
 
@@ -380,12 +389,12 @@ def _(spark, sf_dir):
 
 @query("iso_minutes", "{BASE} SELECT CAST(n * 60 + a AS BIGINT) AS minutes, count(*) AS n_rows FROM t GROUP BY 1")
 def _(spark, sf_dir):
-    return counted(base(spark, sf_dir), N.iso_minutes(text("PT", "@n", "H", "@a", "M")).alias("minutes"))
+    return counted(once(spark, sf_dir, "n", "a"), N.iso_minutes(text("PT", "@n", "H", "@a", "M")).alias("minutes"))
 
 
 @query("prose_minutes", "{BASE} SELECT CAST(n * 60 + a AS BIGINT) AS minutes, count(*) AS n_rows FROM t GROUP BY 1")
 def _(spark, sf_dir):
-    return counted(base(spark, sf_dir), N.prose_minutes(text("about ", "@n", " hr. ", "@a", " min")).alias("minutes"))
+    return counted(once(spark, sf_dir, "n", "a"), N.prose_minutes(text("about ", "@n", " hr. ", "@a", " min")).alias("minutes"))
 
 
 @query("humanize_minutes", "{BASE} SELECT n || CASE WHEN n = 1 THEN ' hour ' ELSE ' hours ' END || a || CASE WHEN a = 1 THEN ' minute' ELSE ' minutes' END AS shown, count(*) AS n_rows FROM t GROUP BY 1")
@@ -395,18 +404,18 @@ def _(spark, sf_dir):
 
 @query("yield_servings", "{BASE} SELECT CAST(n AS DOUBLE) AS value, 'serving' AS unit, CAST(n AS BIGINT) AS servings, count(*) AS n_rows FROM t GROUP BY n")
 def _(spark, sf_dir):
-    rows = base(spark, sf_dir).withColumn("y", recipes.parse_yield(text("Makes ", "@n", " servings")))
+    rows = once(spark, sf_dir, "n").withColumn("y", recipes.parse_yield(text("Makes ", "@n", " servings")))
     return counted(rows, F.col("y.value").alias("value"), F.col("y.unit").alias("unit"), F.col("y.servings").cast("bigint").alias("servings"))
 
 
 @query("entity_decode", "{BASE} SELECT name || ' & ½ <' || noun || '>' AS decoded, count(*) AS n_rows FROM t GROUP BY 1")
 def _(spark, sf_dir):
-    return counted(base(spark, sf_dir), recipes.decode_entities(text("@name", " &amp;amp; &frac12; &lt;", "@noun", "&gt;")).alias("decoded"))
+    return counted(once(spark, sf_dir, "name", "noun"), recipes.decode_entities(text("@name", " &amp;amp; &frac12; &lt;", "@noun", "&gt;")).alias("decoded"))
 
 
 @query("null_paths", "{BASE} SELECT 'a.b,c[1]' AS paths, count(*) AS n_rows FROM t")
 def _(spark, sf_dir):
-    return counted(base(spark, sf_dir), F.array_join(recipes.null_paths(text('{"a": {"b": null}, "c": [', "@n", ", null]}")), ",").alias("paths"))
+    return counted(once(spark, sf_dir, "n"), F.array_join(recipes.null_paths(text('{"a": {"b": null}, "c": [', "@n", ", null]}")), ",").alias("paths"))
 
 
 # prose
@@ -417,9 +426,10 @@ def _(spark, sf_dir):
     "{BASE}, c AS (SELECT noun, unnest([{'kind': 'text', 'text': 'Cook the ' || left(name, length(name) - length(noun)), 'value': NULL}, {'kind': 'ing', 'text': noun, 'value': NULL}, {'kind': 'text', 'text': ' for ', 'value': NULL}, {'kind': 'measure', 'text': 'minute', 'value': CAST(n AS DOUBLE)}, {'kind': 'text', 'text': '.', 'value': NULL}]) AS k FROM (SELECT *, name FROM t WHERE name LIKE '% ' || noun)) SELECT k.kind AS kind, k.text AS text, k.value AS value, count(*) AS n_chunks FROM c GROUP BY ALL",
 )
 def _(spark, sf_dir):
-    rows = base(spark, sf_dir).where("name like '% ' || noun").withColumn("c", P.rich_text(text("Cook the ", "@name", " for ", "@n", " minutes."), F.array("noun")))
+    rows = once(spark, sf_dir, "n", "name", "noun").where("name like '% ' || noun").withColumn("c", P.rich_text(text("Cook the ", "@name", " for ", "@n", " minutes."), F.array("noun")))
     k, m = F.col("k"), F.get(F.col("k.measures"), F.lit(0))
-    return rows.select(F.explode("c").alias("k")).groupBy(k["kind"].alias("kind"), F.coalesce(k["text"], m["unit"]).alias("text"), m["value"].alias("value")).agg(F.count("*").alias("n_chunks"))
+    made = counted(rows.select("__n", F.explode("c").alias("k")), k["kind"].alias("kind"), F.coalesce(k["text"], m["unit"]).alias("text"), m["value"].alias("value"))
+    return made.withColumnRenamed("n_rows", "n_chunks")
 
 
 @query("document_measures")
@@ -646,7 +656,7 @@ def _(spark, sf_dir):
 
 @query("trace_spans", "{BASE}, s AS (SELECT unnest([0, 1]) AS span_id FROM t) SELECT CAST(span_id AS BIGINT) AS span_id, CASE WHEN span_id = 0 THEN 'line' ELSE 'refine' END AS stage, CASE WHEN span_id = 0 THEN 'parse_line' ELSE 'extract_adjectives_from_name' END AS name, count(*) AS n_rows FROM s GROUP BY 1, 2, 3")
 def _(spark, sf_dir):
-    spans = base(spark, sf_dir).select(F.explode(P.trace_spans(text("@n", " cups chopped ", "@name"))).alias("s"))
+    spans = once(spark, sf_dir, "n", "name").select("__n", F.explode(P.trace_spans(text("@n", " cups chopped ", "@name"))).alias("s"))
     return counted(spans, F.col("s.span_id").cast("bigint").alias("span_id"), F.col("s.stage").alias("stage"), F.col("s.name").alias("name"))
 
 
@@ -659,12 +669,12 @@ _PASSES = "strip_nbsp strip_leading_bullet strip_footnote_markers strip_trailing
 )
 def _(spark, sf_dir):
     line = F.when(F.col("n") % 2 == 0, text("@n", " cups chopped ", "@noun")).otherwise(text("• ", "@n", " cups ", "@noun", " for frying"))
-    return corpus.unfired(base(spark, sf_dir).select(line.alias("line"))).select("pass")
+    return corpus.unfired(once(spark, sf_dir, "n", "noun").select(line.alias("line"))).select("pass")
 
 
 @query("low_confidence_lines", "{BASE} SELECT name || ' no' || n AS line, count(*) AS n_rows FROM t WHERE a % 2 = 0 GROUP BY 1")
 def _(spark, sf_dir):
-    rows = base(spark, sf_dir).select(F.when(F.col("a") % 2 == 0, text("@name", " no", "@n")).otherwise(text("@n", " g ", "@name")).alias("line")).withColumn("parsed", P.parse_line("line"))
+    rows = once(spark, sf_dir, "a", "n", "name").select("__n", F.when(F.col("a") % 2 == 0, text("@name", " no", "@n")).otherwise(text("@n", " g ", "@name")).alias("line")).withColumn("parsed", P.parse_line("line"))
     return counted(books.low_confidence_lines(rows), F.col("line"))
 
 

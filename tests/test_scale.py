@@ -14,3 +14,11 @@ pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="the driver's ta
 def test_small_files_are_spread(spark, name):
     """One small file was one task."""
     assert QUERIES[name](spark, DATA).rdd.getNumPartitions() >= 4
+
+
+@pytest.mark.parametrize("name", ["clause_parens"])
+def test_equal_rows_are_read_once(spark, name):
+    """Python was asked of every row and the results counted; it stands above the count of distinct rows now."""
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    asked = [i for i, line in enumerate(plan) if "ArrowEvalPython" in line]
+    assert asked and any("Aggregate" in line for line in plan[asked[-1] + 1 :])
