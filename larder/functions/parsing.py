@@ -84,6 +84,13 @@ def by_distinct(texts: pa.Array, kernel: Callable, kind: pa.DataType) -> pa.Arra
     return pa.array([kernel(t) for t in coded.dictionary.to_pylist()], kind).take(coded.indices)
 
 
+def by_equal(rows: list, kernel: Callable, kind: pa.DataType) -> pa.Array:
+    """The same for rows that Arrow can't encode, such as tuples; they must hash."""
+    at: dict = {}
+    indices = [at.setdefault(r, len(at)) for r in rows]
+    return pa.array([kernel(r) for r in at], kind).take(pa.array(indices, pa.int32()))
+
+
 def arrow_function(kernel: Callable, kind: pa.DataType, sql: str | DataType):
     """A Column function of one text column that gives kernel(text)."""
 
@@ -190,7 +197,8 @@ def rich_text(text: Column | str, names: Column, extra_units: tuple[str, ...] =
     extra = tuple(extra_units)
 
     def run(texts: pa.Array, names: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else _chunks(t, tuple(x for x in n or () if x), extra) for t, n in zip(texts.to_pylist(), names.to_pylist())], _CHUNKS)
+        rows = [(t, tuple(x for x in n or () if x)) for t, n in zip(texts.to_pylist(), names.to_pylist())]
+        return by_equal(rows, lambda r: None if r[0] is None else _chunks(*r, extra), _CHUNKS)
 
     return F.arrow_udf(run, T.CHUNKS)(_text(text), names)
 

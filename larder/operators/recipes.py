@@ -37,7 +37,9 @@ def scrape(pages: DataFrame) -> DataFrame:
     """(url, recipe) of each page of (url, html) that holds a recipe. Pages that can't hold one are ruled out before Python."""
     rows = pages.select("url", "html").where(F.col("html").isNotNull())
     may = F.col("html").contains("ld+json") | F.col("html").contains("jetpack-recipe") | F.col("url").contains("chefsteps.com")
-    return rows.where(may).select("url", scraped("html", F.coalesce("url", F.lit(""))).alias("recipe")).where("recipe is not null")
+    # no filter on `recipe`: it would be pushed down with the function, which would then read each page twice and where the rows aren't spread yet
+    found = F.array_compact(F.array(scraped("html", F.coalesce("url", F.lit("")))))
+    return rows.where(may).select("url", F.explode(found).alias("recipe"))
 
 
 def parse_recipes(recipes: DataFrame, key: str = "url") -> DataFrame:
@@ -56,22 +58,21 @@ _INGREDIENTS = f"array<{P.T.INGREDIENT}>"
 
 @arrow(_INGREDIENTS)
 def parsed_lines(lines: pa.Array) -> pa.Array:
-    return pa.array([None if ls is None else [P._ingredient(t, ()) for t in ls if t is not None] for ls in lines.to_pylist()], pa.list_(P._INGREDIENT))
+    rows = [None if ls is None else tuple(ls) for ls in lines.to_pylist()]
+    return P.by_equal(rows, lambda ls: None if ls is None else [P._ingredient(t, ()) for t in ls if t is not None], pa.list_(P._INGREDIENT))
 
 
 @arrow(f"array<{P.T.CHUNKS}>")
 def chunked_steps(steps: pa.Array, names: pa.Array) -> pa.Array:
-    """Chunks of each instruction; one with a malformed number is left out."""
-    from larder.kernel import rich
+    """Chunks of each instruction; one with a malformed number is left out. Steps differ from page to page, so none are kept beyond a batch."""
 
-    def row(k, s, ms):
-        return {"kind": k, "text": s, "measures": None if ms is None else [P.measure_row(m) for m in ms]}
+    def chunked(row: tuple) -> list | None:
+        texts, known = row
+        made = [P._chunks.__wrapped__(t, known or ()) for t in texts or () if t is not None]
+        return None if texts is None else [m for m in made if m is not None]
 
-    out = []
-    for texts, known in zip(steps.to_pylist(), names.to_pylist()):
-        made = [rich.parse(t, known or []) for t in texts or [] if t is not None]
-        out.append(None if texts is None else [[row(*c) for c in m] for m in made if m is not None])
-    return pa.array(out, pa.list_(P._CHUNKS))
+    fixed = lambda c: [None if x is None else tuple(x) for x in c.to_pylist()]
+    return P.by_equal(list(zip(fixed(steps), fixed(names))), chunked, pa.list_(P._CHUNKS))
 
 
 def parse_lines_by_recipe(lines: DataFrame, steps: DataFrame, key: str) -> DataFrame:

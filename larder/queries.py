@@ -445,7 +445,7 @@ _LD = "<html><head><script type=\"application/" + 'ld+json">{"@graph":[{"@type":
 
 
 def _recipe_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("http://example.org/"), F.col("p_partkey").cast("string")).alias("url"), F.format_string(_LD.replace("%", "%"), "p_name", "p_name", F.split("p_name", " ")[1]).alias("html"))
+    return part_rows(spark, sf_dir).select(F.concat(F.lit("http://example.org/"), F.col("p_partkey").cast("string")).alias("url"), F.format_string(_LD.replace("%", "%"), "p_name", "p_name", F.split("p_name", " ")[1]).alias("html"))
 
 
 @query("scrape_recipes", "SELECT 'http://example.org/' || p_partkey AS url, p_name AS name, CAST(4 AS BIGINT) AS servings, CAST(65 AS BIGINT) AS total_minutes, '2 cups ' || p_name || ', sifted|1 tsp salt' AS ingredients, 'pan' AS equipment FROM part")

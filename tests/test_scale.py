@@ -10,7 +10,7 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="the driver's tables aren't here")
 
 
-@pytest.mark.parametrize("name", ["made_page_lines"])
+@pytest.mark.parametrize("name", ["made_page_lines", "parse_recipe_pages"])
 def test_small_files_are_spread(spark, name):
     """One small file was one task."""
     assert QUERIES[name](spark, DATA).rdd.getNumPartitions() >= 4
@@ -22,3 +22,10 @@ def test_equal_rows_are_read_once(spark, name):
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     asked = [i for i, line in enumerate(plan) if "ArrowEvalPython" in line]
     assert asked and any("Aggregate" in line for line in plan[asked[-1] + 1 :])
+
+
+@pytest.mark.parametrize("name", ["parse_recipe_pages"])
+def test_pages_are_scraped_once(spark, name):
+    """The filter on what was scraped was pushed down with a second call."""
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("scraped(" in line and "ArrowEvalPython" in line for line in plan) == 1
