@@ -307,20 +307,20 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("a") % 4
     wrong, excused = F.when(k.isin(0, 2), "wrong").otherwise(F.col("name")), F.when(k.isin(1, 2), "known")
     labels = F.to_json(F.struct(_made("{n} g {name}").alias("input"), wrong.alias("name"), F.array(F.struct(F.lit("g").alias("unit"), F.col("n").alias("value"))).alias("amounts"), excused.alias("xfail")))
-    rows = base(spark, sf_dir).select(F.lit("s").alias("section"), F.lit(0).alias("pos"), labels.alias("text")).withColumn("r", corpus.read_labels("text")).select("section", "pos", "r.labels", "r.problem")
+    rows = once(spark, sf_dir, "a", "n", "name").select("__n", F.lit("s").alias("section"), F.lit(0).alias("pos"), labels.alias("text")).withColumn("r", corpus.read_labels("text")).select("__n", "section", "pos", "r.labels", "r.problem")
     return corpus.score(rows)
 
 
 @query("status_filter", "{BASE} SELECT CASE WHEN a % 4 = 2 THEN 'xfails' WHEN a % 4 = 1 THEN 'promotes' ELSE 'regressions' END AS filter, count(*) AS n FROM t WHERE a % 4 < 3 GROUP BY 1")
 def _(spark, sf_dir):
-    scored = materialize(_scored(spark, sf_dir).select("pos", "status"), "scored")
-    parts = [corpus.by_status(scored, f).groupBy(F.lit(f).alias("filter")).agg(F.count("*").alias("n")) for f in ("regressions", "promotes", "xfails")]
+    scored = materialize(_scored(spark, sf_dir).select("pos", "status", "__n"), "scored")
+    parts = [corpus.by_status(scored, f).groupBy(F.lit(f).alias("filter")).agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n")) for f in ("regressions", "promotes", "xfails")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("scored_html", "{BASE} SELECT '<tr><td>' || n || ' g ' || name || '</td><td>' || name || '</td><td>' || n || ' g</td><td></td><td>' || CASE WHEN a % 4 IN (0, 2) THEN 'wrong' ELSE name END || '</td><td>' || n || ' g</td><td></td><td>' || CASE a % 4 WHEN 0 THEN 'regression' WHEN 1 THEN 'promote' WHEN 2 THEN 'xfail' ELSE 'exact' END || '</td></tr>' AS html, count(*) AS n_rows FROM t GROUP BY 1")
 def _(spark, sf_dir):
-    return counted(corpus.html_rows(_scored(spark, sf_dir)), F.col("html"))
+    return counted(corpus.html_rows(_scored(spark, sf_dir), "__n"), F.col("html"))
 
 
 @query("corpus_file", "{BASE}, d AS (SELECT DISTINCT n FROM t) SELECT CASE WHEN n % 5 = 0 THEN 'bad' ELSE 'g' END AS unit, count(*) AS n, 'Made' AS section FROM d GROUP BY ALL")

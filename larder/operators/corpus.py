@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from larder.functions import native as N
 from larder.functions import parsing as P
 from larder.functions.arrow import arrow
-from larder.kernel.line import LineParser, stage_names
+from larder.kernel.line import stage_names
 from larder.kernel.measures import fraction_text, parse_fraction, rational, shown, unit_of
 
 FIELDS = tuple("name amounts modifier optional usage".split())
@@ -37,8 +37,8 @@ def _labels(text: str) -> tuple[dict | None, str | None]:
 
 @arrow(f"struct<labels:{LABELS},problem:string>")
 def read_labels(text: pa.Array) -> pa.Array:
-    made = [_labels(t) if t is not None else (None, None) for t in text.to_pylist()]
-    return pa.array([{"labels": a, "problem": b} for a, b in made], pa.struct([("labels", _LABELS), ("problem", pa.string())]))
+    read = lambda t: dict(zip(("labels", "problem"), _labels(t) if t is not None else (None, None)))
+    return P.by_equal(text.to_pylist(), read, pa.struct([("labels", _LABELS), ("problem", pa.string())]))
 
 
 def fill_sections(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -128,7 +128,7 @@ def order_parsed(rows: DataFrame, by: str, descending: bool = False) -> DataFram
 
 
 def _corpus_row(line: str) -> tuple[str | None, str | None]:
-    r = LineParser().parse(line)
+    r = P._parser(()).parse(line)
     if r.reasons() or not r.name.strip():
         return None, (r.reasons() or ["empty_name"])[0]
 
@@ -147,8 +147,8 @@ def _corpus_row(line: str) -> tuple[str | None, str | None]:
 @arrow("struct<json:string,refused:string>")
 def corpus_row(line: pa.Array) -> pa.Array:
     """A line as a labelled row of JSON, or why it makes none: fell_back, unparsed_digit or empty_name."""
-    made = [_corpus_row(t) if t is not None else (None, None) for t in line.to_pylist()]
-    return pa.array([{"json": a, "refused": b} for a, b in made], pa.struct([("json", pa.string()), ("refused", pa.string())]))
+    read = lambda t: dict(zip(("json", "refused"), _corpus_row(t) if t is not None else (None, None)))
+    return P.by_equal(line.to_pylist(), read, pa.struct([("json", pa.string()), ("refused", pa.string())]))
 
 
 FILTERS = {"all": None, "regressions": "regression", "promotes": "promote", "xfails": "xfail"}
@@ -171,12 +171,12 @@ def amount_table(rows: DataFrame, parsed: str = "parsed") -> DataFrame:
     return m.select("line", "m.unit", "m.value", "m.upper_value", N.display_measure("m").alias("shown"))
 
 
-def html_rows(scored: DataFrame) -> DataFrame:
-    """(section, pos, html): a table row for each scored row, parsed beside labelled, to be written in any number of files."""
+def html_rows(scored: DataFrame, *keep: str) -> DataFrame:
+    """(section, pos, keep, html): a table row for each scored row, parsed beside labelled, to be written in any number of files."""
     cell = lambda c: F.concat(F.lit("<td>"), _escaped(F.coalesce(c, F.lit(""))), F.lit("</td>"))
     amounts = lambda c: F.array_join(F.transform(c, N.display_measure), ", ")
     cells = [F.col("labels.input"), F.col("parsed.name"), amounts("parsed.amounts"), F.col("parsed.modifier"), F.col("labels.name"), amounts("labels.amounts"), F.col("labels.modifier"), F.col("status")]
-    return scored.select("section", "pos", F.concat(F.lit("<tr>"), *map(cell, cells), F.lit("</tr>")).alias("html"))
+    return scored.select("section", "pos", *keep, F.concat(F.lit("<tr>"), *map(cell, cells), F.lit("</tr>")).alias("html"))
 
 
 def _escaped(c: Column) -> Column:

@@ -615,7 +615,7 @@ def _(spark, sf_dir):
     wrong, excused = F.when(k.isin(0, 2), "wrong").otherwise(F.col("name")), F.when(k.isin(1, 2), "known")
     amounts = F.array(F.struct(F.lit("cup").alias("unit"), F.concat(F.col("n").cast("string"), F.lit(" 1/3")).alias("value")))
     labels = F.to_json(F.struct(text("@n", " 1/3 cups ", "@name", ", sifted").alias("input"), wrong.alias("name"), amounts.alias("amounts"), F.lit("sifted").alias("modifier"), excused.alias("xfail")))
-    rows = base(spark, sf_dir).select(F.lit(0).alias("pos"), labels.alias("text")).withColumn("r", corpus.read_labels("text")).select("pos", "r.labels")
+    rows = once(spark, sf_dir, "a", "n", "name").select("__n", F.lit(0).alias("pos"), labels.alias("text")).withColumn("r", corpus.read_labels("text")).select("__n", "pos", "r.labels")
     return counted(corpus.score(rows), F.col("status"), F.array_join("differs", ",").alias("differs"))
 
 
@@ -680,13 +680,13 @@ def _(spark, sf_dir):
 
 @query("parsed_json", "{BASE} SELECT '{\"line\":\"' || n || ' g ' || name || '\",\"name\":\"' || name || '\",\"amounts\":[{\"unit\":\"g\",\"value\":' || n || '.0,\"upper_value\":null}],\"modifier\":null}' AS value, count(*) AS n_rows FROM t GROUP BY 1")
 def _(spark, sf_dir):
-    rows = base(spark, sf_dir).select(text("@n", " g ", "@name").alias("line")).withColumn("parsed", P.parse_line("line"))
-    return counted(writers.parsed_json(rows), F.col("value"))
+    rows = once(spark, sf_dir, "n", "name").select("__n", text("@n", " g ", "@name").alias("line")).withColumn("parsed", P.parse_line("line"))
+    return counted(writers.parsed_json(rows, "__n"), F.col("value"))
 
 
 @query("corpus_rows", "{BASE} SELECT '{\"input\": \"2/3 cups ' || name || ', ' || n || ' g\", \"name\": \"' || name || '\", \"amounts\": [{\"unit\": \"cup\", \"value\": \"2/3\"}], \"modifier\": \"' || n || ' g\"}' AS json, count(*) AS n_rows FROM t GROUP BY 1")
 def _(spark, sf_dir):
-    return counted(writers.corpus_rows(base(spark, sf_dir).select(text("2/3 cups ", "@name", ", ", "@n", " g").alias("line"))), F.col("json"))
+    return counted(writers.corpus_rows(once(spark, sf_dir, "name", "n").select("__n", text("2/3 cups ", "@name", ", ", "@n", " g").alias("line"))), F.col("json"))
 
 
 # streams

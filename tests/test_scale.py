@@ -16,7 +16,7 @@ def test_small_files_are_spread(spark, name):
     assert QUERIES[name](spark, DATA).rdd.getNumPartitions() >= 4
 
 
-@pytest.mark.parametrize("name", ["clause_parens"])
+@pytest.mark.parametrize("name", ["clause_parens", "corpus_rows"])
 def test_equal_rows_are_read_once(spark, name):
     """Python was asked of every row and the results counted; it stands above the count of distinct rows now."""
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().splitlines()
@@ -29,3 +29,16 @@ def test_pages_are_scraped_once(spark, name):
     """The filter on what was scraped was pushed down with a second call."""
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert sum("scraped(" in line and "ArrowEvalPython" in line for line in plan) == 1
+
+
+def test_equal_labels_are_read_once(monkeypatch):
+    import pyarrow as pa
+
+    from larder.operators import corpus
+
+    asked = []
+    monkeypatch.setattr(corpus, "_corpus_row", lambda t: asked.append(t) or (t, None))
+    monkeypatch.setattr(corpus, "_labels", lambda t: asked.append(t) or (None, t))
+    assert corpus.corpus_row.__wrapped__(pa.array(["a", "b", None, "a"])).field("json").to_pylist() == ["a", "b", None, "a"]
+    assert corpus.read_labels.__wrapped__(pa.array(["a", "b", None, "a"])).field("problem").to_pylist() == ["a", "b", None, "a"]
+    assert asked == ["a", "b", "a", "b"]
