@@ -16,7 +16,7 @@ def test_small_files_are_spread(spark, name):
     assert QUERIES[name](spark, DATA).rdd.getNumPartitions() >= 4
 
 
-@pytest.mark.parametrize("name", ["clause_parens", "corpus_rows"])
+@pytest.mark.parametrize("name", ["clause_parens", "corpus_rows", "scored_html"])
 def test_equal_rows_are_read_once(spark, name):
     """Python was asked of every row and the results counted; it stands above the count of distinct rows now."""
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().splitlines()
