@@ -191,7 +191,7 @@ def _(spark, sf_dir):
 
 
 def _stated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").where("p_size > 0").select(F.col("p_partkey").cast("string").alias("graph_id"), "p_size")
+    parts = part_rows(spark, sf_dir).where("p_size > 0").select(F.col("p_partkey").cast("string").alias("graph_id"), "p_size")
     rows = parts.select("graph_id", F.explode(F.array(F.lit("1 cup = 120 g"), F.concat(F.lit("1 stick = "), F.col("p_size").cast("string"), F.lit(" g")))).alias("t"))
     rows = rows.withColumn("seq", F.when(F.col("t").startswith("1 cup"), 0).otherwise(1)).withColumn("m", P.parse_mapping("t"))
     nutrient = parts.select("graph_id", F.lit(2).alias("seq"), _m("g", F.lit(100.0)).alias("a"), _m("g protein", F.col("p_size")).alias("b"))

@@ -10,6 +10,9 @@ the highest `seq` holds, of equal ones the one that sorts last. A measure that n
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +20,11 @@ from pyspark.sql import functions as F
 from larder.functions import native as N
 from larder.kernel import convert as K
 from larder.kernel.measures import Measure, rational, unit_of
+from larder.runtime import spread
 
 CLOSURE = "graph_id string, from_unit string, to_unit string, factor double, upper_factor double, steps array<struct<from_unit:string,to_unit:string,factor:double>>"
+EDGES = 100_000  # mappings to a partition
+GRAPHS = 256  # graphs whose rows a worker holds at once
 _STEPS = pa.list_(pa.struct([("from_unit", pa.string()), ("to_unit", pa.string()), ("factor", pa.float64())]))
 _SCHEMA = pa.schema([("graph_id", pa.string()), ("from_unit", pa.string()), ("to_unit", pa.string()), ("factor", pa.float64()), ("upper_factor", pa.float64()), ("steps", _STEPS)])
 
@@ -31,16 +37,22 @@ def _graph(edges: list[dict]) -> K.Graph:
     return K.make_graph([(_measure(r["a"]), _measure(r["b"])) for r in edges])
 
 
-def _per_graph(mappings: DataFrame, rows_of, schema: pa.Schema, sql: str) -> DataFrame:
-    """rows_of(graph_id, graph) of each graph."""
-
-    def run(batches):
-        for batch in batches:
-            made = [r for name, edges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for r in rows_of(name, _graph(edges))]
+def _in_slices(batches: Iterator[pa.RecordBatch], rows_of: Callable, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """rows_of(graph_id, graph) of batches of (graph_id, edges), a few graphs at a time: a graph's rows are many times its edges."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, GRAPHS):
+            part = batch.slice(at, GRAPHS)
+            made = [r for name, edges in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for r in rows_of(name, _graph(edges))]
             yield pa.RecordBatch.from_pylist(made, schema)
 
-    rows = _edges(mappings).groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("seq", "a", "b"))).alias("edges"))
-    return rows.mapInArrow(run, sql)
+
+def _per_graph(mappings: DataFrame, rows_of, schema: pa.Schema, sql: str) -> DataFrame:
+    """rows_of(graph_id, graph) of each graph, in as many partitions as the counted mappings need, which _converted() keeps to."""
+    parts = math.ceil(mappings.count() / EDGES)
+    rows = spread(_edges(mappings), "graph_id", parts=parts).groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("seq", "a", "b"))).alias("edges"))
+    made = rows.mapInArrow(lambda batches: _in_slices(batches, rows_of, schema), sql)
+    made._larder_parts = parts
+    return made
 
 
 def _edges(mappings: DataFrame) -> DataFrame:
@@ -77,9 +89,11 @@ _WAY = "struct<factor:double,upper_factor:double,steps:array<struct<from_unit:st
 def _converted(measures: DataFrame, closed: DataFrame, goals: dict[str, str], measure: str, each) -> DataFrame:
     """The measures, each joined once to its graph's units and ways to all goals, with the columns that `each` makes of the results by name."""
     units = list(dict.fromkeys(goals.values()))
-    way = F.struct("factor", "upper_factor", "steps").cast(_WAY)
-    held = [F.map_from_entries(F.collect_list(F.when(F.col("to_unit") == u, F.struct("from_unit", way)))).alias(f"__w{i}") for i, u in enumerate(units)]
-    graphs = closed.groupBy(F.col("graph_id").alias("__g")).agg(F.collect_set("from_unit").alias("__known"), *held)
+    way = F.when(F.col("to_unit").isin(*units), F.struct("factor", "upper_factor", "steps").cast(_WAY))  # other ways aren't shuffled
+    ways = closed.select(F.col("graph_id").alias("__g"), "from_unit", "to_unit", way.alias("__way"))
+    ways = spread(ways, "__g", parts=getattr(closed, "_larder_parts", 0))
+    held = [F.map_from_entries(F.collect_list(F.when(F.col("to_unit") == u, F.struct("from_unit", "__way")))).alias(f"__w{i}") for i, u in enumerate(units)]
+    graphs = ways.groupBy("__g").agg(F.collect_set("from_unit").alias("__known"), *held)
     m = N.normalize_measure(measure)
     rows = measures.withColumn("__m", F.struct(*(m[k].alias(k) for k in ("unit", "value", "upper_value"))))
     rows = rows.join(graphs, F.col("graph_id").cast("string") == F.col("__g"), "left")

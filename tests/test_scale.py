@@ -42,3 +42,36 @@ def test_equal_labels_are_read_once(monkeypatch):
     assert corpus.corpus_row.__wrapped__(pa.array(["a", "b", None, "a"])).field("json").to_pylist() == ["a", "b", None, "a"]
     assert corpus.read_labels.__wrapped__(pa.array(["a", "b", None, "a"])).field("problem").to_pylist() == ["a", "b", None, "a"]
     assert asked == ["a", "b", "a", "b"]
+
+
+def _stated(spark, n):
+    from larder.operators import conversion
+
+    rows = [(str(i), 0, ("cup", 1.0, None), ("g", 120.0, None)) for i in range(n)]
+    return spark.createDataFrame(rows, "graph_id string, seq int, a struct<unit:string,value:double,upper_value:double>, b struct<unit:string,value:double,upper_value:double>"), conversion
+
+
+def test_conversion_partitions_grow_with_the_mappings(spark, monkeypatch):
+    """Their number was what the bytes of a shuffle came to, so that a task's graphs grew with the table."""
+    stated, conversion = _stated(spark, 40)
+    monkeypatch.setattr(conversion, "EDGES", 1)
+    closed = conversion.closure(stated, ["g"])
+    assert closed.rdd.getNumPartitions() == 40
+    measures = stated.selectExpr("graph_id", "a AS measure")
+    made = conversion.convert(measures, closed, "weight")
+    assert made.rdd.getNumPartitions() == 40
+    assert {(r["graph_id"], r["converted"]["value"], r["converted"]["unit"]) for r in made.collect()} == {(str(i), 120.0, "g") for i in range(40)}
+
+
+def test_closures_leave_a_worker_in_slices(spark):
+    """A batch's closures were one batch of rows, with a Python object for each step of each."""
+    import pyarrow as pa
+
+    from larder.operators import conversion
+
+    edge = {"seq": 0, "a": {"unit": "cup", "value": 1.0, "upper_value": None}, "b": {"unit": "g", "value": 120.0, "upper_value": None}}
+    n = conversion.GRAPHS + 1
+    batch = pa.RecordBatch.from_pylist([{"graph_id": str(i), "edges": [edge]} for i in range(n)])
+    out = list(conversion._in_slices([batch], lambda name, g: [{"graph_id": name}], pa.schema([("graph_id", pa.string())])))
+    assert [b.num_rows for b in out] == [conversion.GRAPHS, 1]
+    assert [x for b in out for x in b.column(0).to_pylist()] == [str(i) for i in range(n)]
