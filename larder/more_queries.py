@@ -453,7 +453,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """A title and five lines of a hundred characters, twice: each title begins a window."""
     part = F.concat(F.array(F.concat(F.lit("Title "), F.col("p_name"))), F.array_repeat(F.lit("x" * 99 + "."), 5))
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("book"), F.posexplode(F.concat(part, part)).alias("pos", "text")).withColumn("doc_path", F.lit("d"))
+    rows = part_rows(spark, sf_dir).select(F.col("p_partkey").cast("string").alias("book"), F.posexplode(F.concat(part, part)).alias("pos", "text")).withColumn("doc_path", F.lit("d"))
     return books.window_chunks(rows, 400, 300).select(F.col("book").cast("bigint").alias("p_partkey"), F.col("chunk_idx").cast("bigint").alias("chunk_idx"), F.col("first_line").cast("bigint").alias("first_line"), F.col("n_lines").cast("bigint").alias("n_lines"))
 
 
@@ -461,7 +461,7 @@ def _(spark, sf_dir):
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(
+    return part_rows(spark, sf_dir).select(
         F.col("p_brand").alias("book"), F.col("p_partkey").cast("int").alias("chunk_idx"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).alias("title_hint"), F.lit("d.xhtml").alias("doc_path"), F.concat(F.lit("text of "), F.col("p_name")).alias("text"), F.col("p_size").cast("int").alias("size")
     )
 

@@ -10,6 +10,7 @@ from larder.functions import native as N
 from larder.functions.arrow import arrow
 from larder.functions.parsing import by_distinct
 from larder.kernel import documents as K
+from larder.runtime import spread
 
 LINKS = "array<struct<text:string,href:string>>"
 IMAGES = "array<struct<path:string,mime:string,alt:string>>"
@@ -62,17 +63,30 @@ def page_lines(html: pa.Array) -> pa.Array:
 
 
 def window_chunks(lines: DataFrame, budget: int = K.BUDGET, slack: int = K.SLACK) -> DataFrame:
-    """CHUNK of (book, pos, doc_path, text). A cut depends on the cuts before it, so a task folds one book; books are spread by key."""
-
-    def run(table: pa.Table) -> pa.Table:
-        t = table.sort_by("pos")
-        made = K.windows(list(zip(t.column("doc_path").to_pylist(), t.column("text").to_pylist())), budget, slack)
-        book = t.column("book")[0].as_py()
-        rows = [{"book": book, "chunk_idx": i, "title_hint": w["title_hint"], "doc_path": w["doc_path"], "first_line": w["first"], "n_lines": w["n_lines"], "text": w["text"]} for i, w in enumerate(made)]
-        return pa.Table.from_pylist(rows, pa.schema([("book", pa.string()), ("chunk_idx", pa.int32()), ("title_hint", pa.string()), ("doc_path", pa.string()), ("first_line", pa.int32()), ("n_lines", pa.int32()), ("text", pa.string())]))
+    """CHUNK of (book, pos, doc_path, text). A cut depends on the cuts before it, so one task folds a book, its books one after the other from
+    sorted rows; books are spread by key. Of lines with one pos the first by path, then by text, stands first."""
+    schema = pa.schema([("book", pa.string()), ("chunk_idx", pa.int32()), ("title_hint", pa.string()), ("doc_path", pa.string()), ("first_line", pa.int32()), ("n_lines", pa.int32()), ("text", pa.string())])
+
+    def folded(book: str, held: list[tuple]) -> list[dict]:
+        made = K.windows(held, budget, slack)
+        return [{"book": book, "chunk_idx": i, "title_hint": w["title_hint"], "doc_path": w["doc_path"], "first_line": w["first"], "n_lines": w["n_lines"], "text": w["text"]} for i, w in enumerate(made)]
+
+    def run(batches):
+        book, held = None, []
+        for batch in batches:
+            out = []
+            for name, path, text in zip(*(batch.column(c).to_pylist() for c in ("book", "doc_path", "text"))):
+                if name != book:
+                    out += folded(book, held) if held else []
+                    book, held = name, []
+                held.append((path, text))
+            yield pa.RecordBatch.from_pylist(out, schema)
+        if held:
+            yield pa.RecordBatch.from_pylist(folded(book, held), schema)
 
     rows = lines.select(F.col("book").cast("string").alias("book"), F.col("pos").cast("bigint").alias("pos"), F.col("doc_path").cast("string").alias("doc_path"), F.col("text").cast("string").alias("text"))
-    return rows.where("book is not null and pos is not null and text is not null").groupBy("book").applyInArrow(run, CHUNK)
+    rows = spread(rows.where("book is not null and pos is not null and text is not null"), "book").sortWithinPartitions("book", "pos", "doc_path", "text")
+    return rows.select("book", "doc_path", "text").mapInArrow(run, CHUNK)
 
 
 def mock_extract(chunks: DataFrame, rules: DataFrame) -> DataFrame:

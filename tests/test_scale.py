@@ -10,7 +10,7 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="the driver's tables aren't here")
 
 
-@pytest.mark.parametrize("name", ["made_page_lines", "parse_recipe_pages"])
+@pytest.mark.parametrize("name", ["made_page_lines", "parse_recipe_pages", "chunk_windows"])
 def test_small_files_are_spread(spark, name):
     """One small file was one task."""
     assert QUERIES[name](spark, DATA).rdd.getNumPartitions() >= 4
@@ -58,8 +58,13 @@ def test_conversion_partitions_grow_with_the_mappings(spark, monkeypatch):
     closed = conversion.closure(stated, ["g"])
     assert closed.rdd.getNumPartitions() == 40
     measures = stated.selectExpr("graph_id", "a AS measure")
-    made = conversion.convert(measures, closed, "weight")
-    assert made.rdd.getNumPartitions() == 40
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are too large to be broadcast
+    try:
+        made = conversion.convert(measures, closed, "weight")
+        assert made.rdd.getNumPartitions() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert {(r["graph_id"], r["converted"]["value"], r["converted"]["unit"]) for r in made.collect()} == {(str(i), 120.0, "g") for i in range(40)}
 
 
@@ -75,3 +80,29 @@ def test_closures_leave_a_worker_in_slices(spark):
     out = list(conversion._in_slices([batch], lambda name, g: [{"graph_id": name}], pa.schema([("graph_id", pa.string())])))
     assert [b.num_rows for b in out] == [conversion.GRAPHS, 1]
     assert [x for b in out for x in b.column(0).to_pylist()] == [str(i) for i in range(n)]
+
+
+def test_books_are_folded_across_batches(spark):
+    """A book's lines may come in several batches, and several books in one; the order of a book's lines is that of pos, then of their text."""
+    from larder.operators import books
+
+    rows = [(f"b{b}", p, "d", f"line {p} of {b}") for b in range(9) for p in (3, 1, 2)] + [("b0", 2, "d", "a")]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        made = books.window_chunks(spark.createDataFrame(rows, "book string, pos int, doc_path string, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    texts = {r["book"]: r["text"].split("\n") for r in made}
+    assert texts == {f"b{b}": [f"line {p} of {b}" if p else "a" for p in ((1, 0, 2, 3) if b == 0 else (1, 2, 3))] for b in range(9)}
+
+
+def test_equal_payloads_are_read_once(monkeypatch):
+    import pyarrow as pa
+
+    from larder.operators import extraction
+
+    asked = []
+    monkeypatch.setattr(extraction.K, "recipes_of", lambda t: asked.append(t) or ([], t))
+    assert extraction.parse_payload.__wrapped__(pa.array(["x", None, "x"])).field("problem").to_pylist() == ["x", None, "x"]
+    assert asked == ["x"]
