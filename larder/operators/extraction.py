@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from larder.functions import native as N
 from larder.functions.arrow import arrow
+from larder.functions.parsing import by_equal
 from larder.kernel import payload as K
-from larder.runtime import materialize
+from larder.runtime import materialize, spread
 
 Extractor = Callable[[DataFrame], DataFrame]
 TOKENS = ("input_tokens", "output_tokens", "cache_write_tokens", "cache_read_tokens")
@@ -65,8 +66,8 @@ def chunk_requests(chunks: DataFrame) -> DataFrame:
 @arrow(f"struct<recipes:array<{EXTRACTED}>,problem:string>")
 def parse_payload(text: pa.Array) -> pa.Array:
     """The recipes of a payload's JSON, or what is wrong with it; lists may be null, or be written as text. Null gives no recipes."""
-    made = [([], None) if t is None else K.recipes_of(t) for t in text.to_pylist()]
-    return pa.array([{"recipes": r, "problem": p} for r, p in made], _PAYLOAD)
+    read = lambda t: dict(zip(("recipes", "problem"), ([], None) if t is None else K.recipes_of(t)))
+    return by_equal(text.to_pylist(), read, _PAYLOAD)
 
 
 @arrow("array<string>")
@@ -98,7 +99,7 @@ def _asked(requests: DataFrame, extractor: Extractor, model: str, attempt: int)
     given = given.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
     given = materialize(given, "answers")
     rows = keys.join(given, F.col("__b").eqNullSafe(F.col("book")) & F.col("__c").eqNullSafe(F.col("chunk_idx")), "left").drop("book", "chunk_idx")
-    rows = rows.withColumn("__p", parse_payload("input"))
+    rows = spread(rows).withColumn("__p", parse_payload("input"))
     tokens = [F.coalesce(t, F.lit(0)).alias(t) for t in TOKENS]
     return rows.select(F.col("__b").alias("book"), F.col("__c").alias("chunk_idx"), "__p.recipes", "__p.problem", F.coalesce("truncated", F.lit(False)).alias("truncated"), *tokens, F.lit(model).alias("model"))
 
