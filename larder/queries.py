@@ -428,7 +428,9 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     rows = once(spark, sf_dir, "n", "name", "noun").where("name like '% ' || noun").withColumn("c", P.rich_text(text("Cook the ", "@name", " for ", "@n", " minutes."), F.array("noun")))
     k, m = F.col("k"), F.get(F.col("k.measures"), F.lit(0))
-    made = counted(rows.select("__n", F.explode("c").alias("k")), k["kind"].alias("kind"), F.coalesce(k["text"], m["unit"]).alias("text"), m["value"].alias("value"))
+    # explode() would have a filter on `c` inferred and pushed down to every row, with a second call of the function
+    chunks = rows.select("__n", F.explode_outer("c").alias("k")).where("k is not null")
+    made = counted(chunks, k["kind"].alias("kind"), F.coalesce(k["text"], m["unit"]).alias("text"), m["value"].alias("value"))
     return made.withColumnRenamed("n_rows", "n_chunks")
 
 

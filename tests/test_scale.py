@@ -10,13 +10,13 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="the driver's tables aren't here")
 
 
-@pytest.mark.parametrize("name", ["made_page_lines", "parse_recipe_pages", "chunk_windows"])
+@pytest.mark.parametrize("name", ["made_page_lines", "parse_recipe_pages", "chunk_windows", "scrape_recipes"])
 def test_small_files_are_spread(spark, name):
     """One small file was one task."""
     assert QUERIES[name](spark, DATA).rdd.getNumPartitions() >= 4
 
 
-@pytest.mark.parametrize("name", ["clause_parens", "corpus_rows", "scored_html"])
+@pytest.mark.parametrize("name", ["clause_parens", "corpus_rows", "scored_html", "rich_measures", "rewrite_minus"])
 def test_equal_rows_are_read_once(spark, name):
     """Python was asked of every row and the results counted; it stands above the count of distinct rows now."""
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().splitlines()
@@ -24,7 +24,7 @@ def test_equal_rows_are_read_once(spark, name):
     assert asked and any("Aggregate" in line for line in plan[asked[-1] + 1 :])
 
 
-@pytest.mark.parametrize("name", ["parse_recipe_pages"])
+@pytest.mark.parametrize("name", ["parse_recipe_pages", "scrape_recipes"])
 def test_pages_are_scraped_once(spark, name):
     """The filter on what was scraped was pushed down with a second call."""
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().splitlines()
@@ -106,3 +106,21 @@ def test_equal_payloads_are_read_once(monkeypatch):
     monkeypatch.setattr(extraction.K, "recipes_of", lambda t: asked.append(t) or ([], t))
     assert extraction.parse_payload.__wrapped__(pa.array(["x", None, "x"])).field("problem").to_pylist() == ["x", None, "x"]
     assert asked == ["x"]
+
+
+@pytest.mark.parametrize("name", ["ascii_quantities", "status_filter"])
+def test_rows_are_counted_before_they_are_shown(spark, name):
+    """Interpreted expressions were asked of every row. status_filter reads what it has written, with the counts."""
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") > 1 and "__n" in plan
+
+
+def test_equal_prose_is_read_once():
+    import pyarrow as pa
+
+    from larder.functions import parsing as P
+
+    asked = []
+    rows = [("a", ("x",)), ("b", ()), ("a", ("x",)), (None, ())]
+    made = P.by_equal(rows, lambda r: asked.append(r) or r[0], pa.string())
+    assert made.to_pylist() == ["a", "b", "a", None] and asked == rows[:2] + rows[3:]
